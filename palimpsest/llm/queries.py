@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe
-from .common import table
+from . import bpe, langid, simhash
+from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,9 +19,23 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def language_model(docs: DataFrame):
+    """Learned from text and language of all documents but those of fold 2 of 4."""
+    return langid.learn(docs.where(fold(F.col("doc_id"), 4).isin(0, 1, 3)))
+
+
+def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(id_text(docs), *language_model(docs)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
+
+
 def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op8_bpe_prefix_dp,)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op8_bpe_prefix_dp)}
 ORACLE_SQL: dict[str, str] = {}
