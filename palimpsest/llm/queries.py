@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, simhash
+from . import bpe, langid, simhash, substring, suffix
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,5 +37,13 @@ def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op8_bpe_prefix_dp)}
+def op9_suffix_merge_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_digests(table(spark, sf_dir, "documents"), window=200)
+
+
+def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_digests(table(spark, sf_dir, "documents"), window=50)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
 ORACLE_SQL: dict[str, str] = {}
