@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, langid, simhash, substring, suffix
+from . import bpe, digest, langid, lm, simhash, substring, suffix
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op4_quartile_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_log_bilinear_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
+
+
 def op8_bpe_prefix_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -49,5 +53,5 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(table(spark, sf_dir, "documents"), window=50)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op4_quartile_digest, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
 ORACLE_SQL: dict[str, str] = {}
