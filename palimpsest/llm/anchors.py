@@ -32,7 +32,7 @@ _B = np.uint64(0x5851F42D4C957F2D)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
 #: Windows handled at once; a longer text is cut into pieces that overlap.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Anchors that a map task gathers before it sends them.
 HELD = 1 << 21
 #: Anchors of one key that are compared in one task; more are dealt by whole windows.
@@ -51,6 +51,7 @@ class Kind:
     window: int
     kmer: int
     earlier: bool
+    block: int = 1 << 20  # bytes of text turned into tokens at once
 
     @property
     def reach(self) -> int:
@@ -221,7 +222,7 @@ def _send(kind: Kind, buckets: int, ties: int) -> Callable[[Iterator[pa.RecordBa
 
     def run(batches):
         held, n = [], 0
-        for rows, data, off in text_blocks(batches):
+        for rows, data, off in text_blocks(batches, limit=kind.block):
             values, first = kind.tokens(data, off)
             row, place, near, far, key, ctx = find_anchors(values, first, kind)
             uid = rows.column(1).to_numpy(zero_copy_only=False)[row].astype(np.int64)

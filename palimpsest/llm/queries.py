@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, digest, langid, lm, quality, simhash, substring, suffix
+from . import bpe, decontam, digest, langid, lm, quality, simhash, substring, suffix
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,6 +29,10 @@ def op1_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(id_text(docs), *language_model(docs)).select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op2_rare_seed_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), radius=2)
 
@@ -59,5 +63,5 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(table(spark, sf_dir, "documents"), window=50)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
 ORACLE_SQL: dict[str, str] = {}

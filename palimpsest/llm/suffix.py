@@ -40,7 +40,7 @@ def _byte_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def kind_of(window: int = WINDOW) -> Kind:
-    return Kind(_byte_tokens, window, max(1, window * 36 // 100), earlier=False)
+    return Kind(_byte_tokens, window, max(1, window * 36 // 100), earlier=False, block=1 << 19)
 
 
 def shared(a: np.ndarray) -> np.ndarray:
