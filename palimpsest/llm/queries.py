@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, digest, langid, lm, quality, simhash, substring, suffix
+from . import bpe, decontam, digest, langid, licenses, lm, quality, simhash, substring, suffix
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,6 +45,10 @@ def op5_log_bilinear_nce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), fold(F.col("doc_id"), 10) == 0)
 
 
+def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_attention_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels").where(fold(F.col("doc_id"), 5) > 0))
@@ -63,5 +67,5 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(table(spark, sf_dir, "documents"), window=50)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op6_license_digests, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
+ORACLE_SQL: dict[str, str] = {"op6_license_digests": licenses.oracle_sql()}
