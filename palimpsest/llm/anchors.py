@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, id_text, mixed, stored, text_blocks
+from .common import bucket_count, mixed, stored, text_blocks
 
 _B = np.uint64(0x5851F42D4C957F2D)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -144,12 +144,14 @@ _FIELDS = (np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8)  # key,
 _SENT = "bucket int, blob binary, uid long, begin int, stop int"
 
 
-def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
-    """(doc_id, text, uid) with a distinct uid for different rows, and how many low bits of uid tell ties apart.
+def numbered(docs: DataFrame, doc_id: str, text: str, rest: bool = False) -> tuple[DataFrame, int]:
+    """(doc_id, text, uid) with a distinct uid for different (doc_id, text), and how many low bits of uid tell ties apart.
 
-    Where every doc_id is there and distinct, it is the uid.
+    Where every doc_id is there and distinct, it is the uid.  ``rest`` adds a column
+    with a struct of all columns of the input.
     """
-    docs = id_text(docs, doc_id, text).withColumn("text", F.coalesce("text", F.lit("")))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), *([whole] if rest else []))
     if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id < 0").isEmpty():
         return docs.withColumn("uid", F.col("doc_id")), 0
     from pyspark.sql import Window as W
@@ -168,7 +170,7 @@ def numbered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
     tie = F.row_number().over(W.partitionBy("doc_id").orderBy("sha"))
     ranked = pairs.withColumn("tie", tie).join(ids, pairs.doc_id.eqNullSafe(ids.doc_id)).select(pairs.doc_id, "sha", (F.shiftleft("rank", TIES) + F.col("tie")).alias("uid"))
     joined = docs.withColumn("sha", own).alias("d").join(ranked.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.sha") == F.col("r.sha")))
-    return stored(joined.select("d.doc_id", "d.text", "r.uid"), "numbered"), TIES
+    return stored(joined.select("d.doc_id", "d.text", *(["d.rest"] if rest else []), "r.uid"), "numbered"), TIES
 
 
 def _groups(key: np.ndarray) -> np.ndarray:

@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .anchors import numbered
 from .common import checkpointed, id_text, lowered, stored, text_blocks, words
 
 SEGMENTS = 4
@@ -261,3 +262,17 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
     named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.select("fp", "root").join(named, "root").select("fp", "component_id")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """All columns of one document of each component: the one with the least doc_id.
+
+    Rows of equal id and text are one document; of different texts under one id in a component the first stays.
+    """
+    rows, ties = numbered(docs, doc_id, text, rest=True)
+    if not ties:
+        keep = near_duplicates(docs, radius, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
+        return docs.join(keep, F.col(f"`{doc_id}`") == F.col("keep"), "left_semi")
+    keep = near_duplicates(rows.select("uid", "text"), radius, "uid", "text").where("doc_id = component_id").select(F.col("doc_id").alias("uid")).distinct()
+    first = rows.join(keep, "uid").groupBy("uid").agg(F.first("rest").alias("rest"))
+    return first.select("rest.*")

@@ -116,12 +116,12 @@ def _resolve(fetched: DataFrame, buckets: int, kind: Kind, ties: int) -> DataFra
     return by_bucket(dealt, buckets).sortWithinPartitions("key").mapInArrow(trees, "uid long, begin int, stop int")
 
 
-def _cleaned(docs: DataFrame, window: int, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, text, spans) of every document; spans in words, null where nothing goes."""
-    rows, ties = numbered(docs, doc_id, text)
-    spans = repeated_spans(rows, ties, kind_of(window), _resolve)
+def _cleaned(docs: DataFrame, window: int, doc_id: str, text: str, rest: bool = False) -> DataFrame:
+    """(doc_id, text, spans) of every document, and perhaps rest; spans in words, null where nothing goes."""
+    rows, ties = numbered(docs, doc_id, text, rest)
+    spans = repeated_spans(rows.select("doc_id", "text", "uid"), ties, kind_of(window), _resolve)
     gone = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    return rows.join(gone, "uid", "left").select("doc_id", "text", "spans")
+    return rows.join(gone, "uid", "left").select("doc_id", "text", "spans", *(["rest"] if rest else []))
 
 
 def _kept(n: int, spans: pa.Scalar) -> np.ndarray:
@@ -155,17 +155,18 @@ def remove_digests(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
 
 
 def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The operator's general form: doc_id, n_removed and the text without the repeated words.
+    """The operator's general form: all columns of ``docs``, the text without the repeated words.
 
-    A document that loses nothing keeps its text as it is; else kept words are joined by one space.
+    A document that loses nothing keeps its text as it is (a null one too); else kept words are joined by one space.
     """
 
     def run(batches):
         for rows, data, off in text_blocks(batches):
-            out, gone = [], []
-            for k, (n, kept) in enumerate(_each(rows, data, off)):
-                gone.append(n - len(kept))
-                out.append(rows.column(1)[k].as_py() if n == len(kept) else b" ".join(kept).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["doc_id", "n_removed", "text"])
-
-    return _cleaned(docs, window, doc_id, text).mapInArrow(run, "doc_id long, n_removed long, text string")
+            out = [rows.column(1)[k].as_py() if n == len(kept) else b" ".join(kept).decode("utf-8", "replace") for k, (n, kept) in enumerate(_each(rows, data, off))]
+            rest = rows.column("rest")
+            old = rest.field(text).to_pylist()
+            new = pa.array([None if o is None else x for o, x in zip(old, out, strict=True)], rest.field(text).type)
+            yield pa.RecordBatch.from_arrays([new if c == text else rest.field(c) for c in names], names=names)
+
+    names = docs.columns
+    return _cleaned(docs, window, doc_id, text, rest=True).mapInArrow(run, docs.schema)
