@@ -7,6 +7,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..settings import DEFAULT, Settings
 
@@ -39,12 +40,12 @@ def printable_of(data: bytes | None) -> float:
     return float(four(_PRINTABLE[np.frombuffer(data, np.uint8)].mean())) if data else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     return pd.Series([entropy_of(x) for x in data], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def printable_ratio(data: pd.Series) -> pd.Series:
     return pd.Series([printable_of(x) for x in data], dtype="float64")
 
@@ -68,8 +69,6 @@ def window_entropies(data: bytes, window: int, step: int) -> tuple[np.ndarray, n
 
 def entropy_windows(df: DataFrame, data: str = "data", keys: tuple[str, ...] = ("id",), s: Settings = DEFAULT) -> DataFrame:
     """A row for every window: keys, window_start, window_end, entropy."""
-    from pyspark.sql import types as T
-
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("window_start", T.LongType()), T.StructField("window_end", T.LongType()), T.StructField("entropy", T.DoubleType())])
 
     def run(batches):
@@ -86,7 +85,10 @@ def entropy_windows(df: DataFrame, data: str = "data", keys: tuple[str, ...] = (
     return df.select(*keys, data).mapInArrow(run, schema)
 
 
-@F.pandas_udf("entropy double, printable_ratio double, n_windows bigint, low double, high double")
+_PROFILE = T.StructType([T.StructField(n, T.LongType() if n == "n_windows" else T.DoubleType()) for n in ("entropy", "printable_ratio", "n_windows", "low", "high")])
+
+
+@F.pandas_udf(_PROFILE)
 def byte_profile(data: pd.Series) -> pd.DataFrame:
     """Everything the classification needs, in one pass over the bytes."""
     rows = []
