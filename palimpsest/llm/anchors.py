@@ -114,7 +114,8 @@ def find_anchors(values: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.
         a = a[cut]
         near, far = a - end, a - begin
         ctx = mixed(hash_(begin, end + w) ^ (near * 1024 + far).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        out.append((row[begin], a + lo - first[row[begin]], near, far, runs[a], ctx))
+        # the run's hash is the least of its window; hashed once more, keys spread evenly
+        out.append((row[begin], a + lo - first[row[begin]], near, far, mixed(runs[a] ^ _B), ctx))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.view(np.uint64), z.view(np.uint64)
