@@ -66,8 +66,9 @@ def fold(doc_id, n: int):
 def bucket_count(df: DataFrame, bytes_each: int = 24 << 20) -> int:
     """Buckets for an exchange whose size follows the input: the session's setting, or more for large inputs."""
     spark = df.sparkSession
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), min(1 << 17, int(float(str(size)) / bytes_each)))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(1 << 17, size // bytes_each) if size < 1 << 60 else 0  # larger: Spark does not know
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), wanted)
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
