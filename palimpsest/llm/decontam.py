@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import _LOWER, id_text, mixed, text_blocks, word_hashes, words
 
 GRAM = 3
-SPAN = 4
+SPAN = 2
 THRESHOLD = 0.5
 BLOCK_BYTES = 32 << 20
 _SLOTS = 22
