@@ -30,8 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.components import star_components
 from .anchors import numbered
-from .common import checkpointed, id_text, lowered, stored, text_blocks, words
+from .common import id_text, lowered, stored, text_blocks, words
 
 SEGMENTS = 4
 TILE = 1 << 14
@@ -235,24 +236,6 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     return dealt.repartition(n, "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(compare, "u long, v long")
 
 
-def star_components(edges: DataFrame) -> DataFrame:
-    """(u, root) for every node with a link: root is the least node reachable.  Alternating large and small stars."""
-    edges = checkpointed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.unionByName(low.where("m < u").select("u", F.col("m").alias("v"))).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = checkpointed(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.groupBy("u").agg(F.min("v").alias("root"))
-        seen = state
-
-
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id for every document."""
     fps = stored(fingerprints(docs, doc_id, text), "simhash")
