@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,11 +17,14 @@ from pyspark.sql import functions as F
 from ..functions.profile import round4
 from ..settings import DEFAULT, Settings
 from .components import star_components
+from .intervals import global_rank
 from .vectors import cosine, dot
 
 # Types of archives.
 ARCHIVES = ("zip", "tar", "7z", "rar", "wim", "gz", "bz2")
 BIN = 1 << 17
+#: More than rounding to four places can add to a weight.
+SLACK = 1e-3
 
 
 def gap(a: str, b: str) -> Column:
@@ -99,7 +104,7 @@ def reason() -> Column:
 
 
 def edges(pairs: DataFrame, min_weight: float | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """Edges of the relation graph among given pairs (``all_pairs`` of one evidence, or ``near_pairs`` of many)."""
+    """Edges of the relation graph among given pairs: whole from ``close_pairs`` (or ``all_pairs``), only those of near fragments from ``near_pairs``."""
     low = s.min_edge_weight if min_weight is None else min_weight
     if "extent_linked" not in pairs.schema["a"].dataType.names:
         pairs = pairs.select(F.col("a").withField("extent_linked", F.lit(False)).alias("a"), F.col("b").withField("extent_linked", F.lit(False)).alias("b"))
@@ -110,12 +115,83 @@ def edges(pairs: DataFrame, min_weight: float | None = None, s: Settings = DEFAU
 
 def all_pairs(fragments: DataFrame) -> DataFrame:
     """Every pair of one evidence's fragments, in order.  The relation graph asks for all of them: type and similarity
-    alone make an edge at any distance.  Use ``near_pairs`` where an evidence has more fragments than that can bear."""
+    alone make an edge at any distance.  ``close_pairs`` gives the same edges without a row a pair."""
     whole = F.struct(*fragments.columns)
     left, right = fragments.select(whole.alias("a"), F.col("evidence").alias("e")), fragments.select(whole.alias("b"), F.col("evidence").alias("e"))
     return left.join(right, "e").where("a.seq < b.seq").select("a", "b")
 
 
+def _unit_rows(vectors: list) -> np.ndarray:
+    """Unit vectors, shorter ones filled with zeros; zeros where the cosine is defined as 0."""
+    m = np.zeros((len(vectors), max((len(v) for v in vectors if v is not None), default=0)))
+    for i, v in enumerate(vectors):
+        if v is not None:
+            m[i, : len(v)] = v
+    with np.errstate(all="ignore"):
+        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        return np.where(np.isfinite(norm) & (norm > 0), m / norm, 0.0)
+
+
+def close_pairs(fragments: DataFrame, evidence: str | None = None, min_weight: float | None = None, s: Settings = DEFAULT, block: int = 4096) -> DataFrame:
+    """Pairs a, b (structs; a.seq < b.seq) that can be edges, at any distance: with ``edges`` the graph of ``all_pairs``.
+
+    Fragments go out in blocks of a fixed size and every task weighs its rows against a block by
+    one matrix product, so all pairs are looked at but only those within rounding of an edge leave
+    the task; ``edges`` measures these exactly.  All fragments are one evidence, or ``evidence``
+    names the column that tells them apart: blocks then follow its order, and a task leaves out
+    the rows of evidences that a block does not hold.
+    """
+    low = s.min_edge_weight if min_weight is None else min_weight
+    total = s.similarity_weight + s.proximity_weight + s.type_weight
+    code = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
+    one = F.lit(0).cast("bigint") if evidence is None else code(F.col(evidence).cast("string"))
+    kind = F.lower(F.coalesce("type_hint", F.lit("unknown")))
+    rows = fragments.where("seq is not null").select(
+        F.col("seq").cast("bigint").alias("seq"), one.alias("evidence"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("offset").cast("double").alias("at"), F.col("length").cast("double").alias("length"),
+        code(kind).alias("kind"), (kind == "unknown").alias("unknown"), (F.coalesce("characterization", F.lit("binary")) == "text").alias("text"), F.col("vector").cast("array<double>").alias("vector"),
+    )
+    rows = rows.withColumn("known", F.col("source") != "").withColumn("source", F.xxhash64("source"))
+    names = ["seq", "evidence", "source", "known", "at", "length", "kind", "unknown", "text"]
+
+    def columns(batch):
+        return {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names} | {"v": _unit_rows(batch.column(batch.schema.get_field_index("vector")).to_pylist())}
+
+    def met(a, b):
+        """Places in a and b of the pairs, a first, whose weight or similarity can reach the minimum."""
+        x = {n: a[n][:, None] for n in names}
+        width = min(a["v"].shape[1], b["v"].shape[1])
+        sim = np.maximum(a["v"][:, :width] @ b["v"][:, :width].T, 0)
+        gap = np.maximum(np.maximum(b["at"] - x["at"] - x["length"], x["at"] - b["at"] - b["length"]), 0)
+        prox = np.where(x["known"] & b["known"] & (x["source"] != b["source"]), 0, np.exp(-gap / s.decay_bytes))
+        type_ = np.where((x["kind"] == b["kind"]) & ~x["unknown"], 1.0, np.where(x["text"] & b["text"], 0.85, np.where(x["unknown"] | b["unknown"], 0.20, 0.0)))
+        weight = (s.similarity_weight * sim + s.proximity_weight * prox + s.type_weight * type_) / total
+        ok = ((weight >= low - SLACK) | (sim >= s.min_similarity - SLACK)) & (x["seq"] < b["seq"]) & (x["evidence"] == b["evidence"])
+        return np.nonzero(ok)
+
+    n = rows.count()
+    blocks = [rows]
+    if n > block:
+        ranked = global_rank(rows, [F.asc("evidence"), F.asc("seq")], "row")
+        blocks = [ranked.where(F.col("row").between(k + 1, k + block)).drop("row") for k in range(0, n, block)]
+    out = fragments.sparkSession.createDataFrame([], "u long, v long")
+    for part in blocks:
+        shared = fragments.sparkSession.sparkContext.broadcast(columns(part.toArrow().combine_chunks()))
+
+        def run(batches, shared=shared):
+            for b in batches:
+                b = b.filter(pa.array(np.isin(b.column(1).to_numpy(zero_copy_only=False), shared.value["evidence"])))
+                for k in range(0, b.num_rows, 1024):
+                    mine = columns(b.slice(k, 1024))
+                    i, j = met(shared.value, mine)
+                    yield pa.RecordBatch.from_arrays([pa.array(shared.value["seq"][i]), pa.array(mine["seq"][j])], names=["u", "v"])
+
+        out = out.unionByName(rows.mapInArrow(run, "u long, v long"))
+    whole = F.struct(*fragments.columns)
+    same = F.lit(True) if evidence is None else F.col(f"a.{evidence}").eqNullSafe(F.col(f"b.{evidence}"))
+    left, right = fragments.select(F.col("seq").alias("u"), whole.alias("a")), fragments.select(F.col("seq").alias("v"), whole.alias("b"))
+    return out.distinct().join(left, "u").join(right, "v").where(same).select("a", "b")
+
+
 def distance(s: Settings = DEFAULT) -> Column:
     """Distance of a measured pair of one source, by the first rule that applies."""
     headers = F.col("a.header_flag") & F.col("b.header_flag") & (F.col("a.offset") != F.col("b.offset"))

@@ -71,6 +71,7 @@ class Engine:
         t["clusters"] = stored(rolled.join(single, "label").withColumn("cluster_id", cluster).withColumn("confidence", F.when(F.col("is_singleton"), 1.0).otherwise(F.col("confidence"))), "clusters")
         t["orphans"] = orphans.select(F.col("id").alias("seq")).join(nodes.select("seq", "id", "source", "offset", "length", "type_hint", "header_flag"), "seq")
         t["nodes"] = nodes
+        t["edges"] = stored(relations.edges(relations.close_pairs(nodes, "source", s=self.s), s=self.s), "edges")
 
     def reassemble(self) -> None:
         t = self.tables

@@ -176,6 +176,23 @@ def edge_basis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy("relationship_basis").agg(F.count("*").alias("n"), profile.round4(F.avg("edge_weight")).alias("mean_weight"))
 
 
+_ALL_PAIRS_SQL = f"""{_FRAGMENTS_SQL},
+p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, greatest(b.o - a.o - 4096, 0) AS gap, {_round_sql("list_cosine_similarity(a.v, b.v)")} AS similarity, CASE WHEN a.source <> b.source THEN 0.0 ELSE {_round_sql("exp(-greatest(b.o - a.o - 4096, 0) / 65536.0)")} END AS offset_proximity,
+  CASE WHEN a.kind = b.kind AND a.kind <> 'unknown' THEN 1.0 WHEN a.text AND b.text THEN 0.85 WHEN a.kind = 'unknown' OR b.kind = 'unknown' THEN 0.20 ELSE 0.0 END AS type_match FROM frags a JOIN frags b ON a.id < b.id),
+m AS (SELECT *, {_round_sql("greatest(0, least(1, 0.6 / 1.0 * greatest(0, similarity) + 0.2 / 1.0 * offset_proximity + 0.2 / 1.0 * type_match))")} AS edge_weight FROM p)"""
+
+
+@query(f"WITH {_ALL_PAIRS_SQL} SELECT a AS source_id, b AS target_id, similarity, offset_proximity, CAST(type_match AS DOUBLE) AS type_match, edge_weight, {_BASIS_SQL} AS relationship_basis, {_TYPE_SQL} AS relationship_type FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50")
+def whole_fragment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.edges(relations.close_pairs(embedded_fragments(spark, sf_dir))).drop("reason")
+
+
+@query(f"WITH {_ALL_PAIRS_SQL} SELECT {_BASIS_SQL} AS relationship_basis, count(*) AS n, {_round_sql('avg(edge_weight)')} AS mean_weight FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50 GROUP BY 1")
+def whole_edge_basis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = relations.edges(relations.close_pairs(embedded_fragments(spark, sf_dir)))
+    return e.groupBy("relationship_basis").agg(F.count("*").alias("n"), profile.round4(F.avg("edge_weight")).alias("mean_weight"))
+
+
 #: Random vectors are nearly orthogonal: a wider radius than the engine's lets type and place form clusters.
 LOOSE = Settings(eps=0.62)
 _NEAR_SQL = f"""{_PAIRS_SQL}, near AS (SELECT a AS u, b AS v FROM m WHERE NOT (type_match <= 0 OR headers OR offset_proximity < 0.15) AND 1.0 - edge_weight <= 0.62),

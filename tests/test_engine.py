@@ -1,5 +1,6 @@
 import pytest
 
+from palimpsest.operators import relations
 from palimpsest.plans import reports
 from palimpsest.plans.engine import Engine
 from palimpsest.sources import evidence as ev
@@ -30,6 +31,12 @@ def test_headers_never_merge(engine):
     assert engine.tables["clusters"].where("is_singleton").count() == 8
 
 
+def test_edges_are_those_of_all_pairs(engine):
+    nodes = engine.tables["nodes"]
+    want = relations.edges(relations.all_pairs(nodes.withColumn("evidence", nodes["source"])))
+    assert sorted(engine.tables["edges"].collect()) == sorted(want.collect()) and want.count() > 0
+
+
 def test_reports(engine):
     ranked = engine.tables["ranked"]
     total = reports.overview(ranked).first()
