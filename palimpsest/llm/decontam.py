@@ -1,12 +1,16 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and non-ASCII characters, lower-cased.  Each test
-item gives seeds: in every ``SPAN`` consecutive 3-grams the one that all documents
-together contain least often, so that any copied stretch of ``SPAN + 2`` words holds
-a seed, and common phrases are avoided without leaving a copy out.  Documents are
-searched for seeds; around each hit the item is aligned locally (match 2, mismatch
-and gap -1), and the score is the best alignment's share of the item's own score.
-Copies with edits keep most of it.
+Words are runs of letters, digits and non-ASCII characters, lower-cased.  A test item
+is aligned locally (match 2, mismatch and gap -1) with the text around its seeds, and
+the score is the best alignment's share of the item's own score.  Copies with edits
+keep most of it.
+
+Seeds are the words and pairs of words of the item that all documents together contain
+least often, so many that no alignment above the threshold goes without one.  With n
+words, M of them matched and G pairs matched as pairs, an alignment has M - G runs and
+loses at least 1 between two runs, so its score is at most 2 M - (M - G - 1) = M + G + 1.
+An item has n words and n - 1 pairs; where the score needed is s and none of any
+2 n - s + 1 of these is matched, M + G is below s - 1 and the score below s.
 
 Test items are read in blocks of at most ``BLOCK_BYTES`` of text, so what travels to
 the executors has a fixed bound whatever the benchmark; documents are scanned twice
@@ -19,6 +23,7 @@ repeated documents are each reported; no item or no document gives no row.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 
 import numpy as np
@@ -28,8 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import _LOWER, id_text, mixed, text_blocks, word_hashes, words
 
-GRAM = 3
-SPAN = 2
+LEAST_WORDS = 3
 THRESHOLD = 0.5
 BLOCK_BYTES = 32 << 20
 _SLOTS = 22
@@ -43,15 +47,15 @@ def _tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(plain, start, end), first
 
 
-def _grams(tokens: np.ndarray) -> np.ndarray:
-    """Hash of the 3-gram at each place; the last two places have none."""
-    if len(tokens) < GRAM:
-        return np.zeros(0, np.uint64)
-    n = len(tokens) - GRAM + 1
-    h = np.zeros(n, np.uint64)
-    for k in range(GRAM):
-        h = mixed(h * np.uint64(3) + tokens[k : k + n])
-    return h
+def _grams(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word at each place, and of the pair; the last place has no pair."""
+    one = mixed(tokens)
+    return one, mixed(one[:-1] * np.uint64(3) + tokens[1:])
+
+
+def _needed(n: int, threshold: float) -> int:
+    """Least alignment score of an item of n words that can reach the threshold."""
+    return max(1, math.ceil(threshold * 2 * n - 1e-6))
 
 
 def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> int:
@@ -66,17 +70,25 @@ def align(item: np.ndarray, text: np.ndarray, match: int = 2, miss: int = -1, ga
     return best
 
 
+def _bound(item: np.ndarray, text: np.ndarray) -> int:
+    """No alignment scores more: each matched word, and each matched pair, is in the text."""
+    there = set(text.tolist())
+    words = sum(w in there for w in item.tolist())
+    pairs = int(np.isin(_grams(item)[1], _grams(text)[1]).sum()) if words else 0
+    return min(2 * words, words + pairs + 1)
+
+
 class Seeds:
     """Test items of a block, by their seeds."""
 
-    def __init__(self, ids: list, tokens: list[np.ndarray], count: dict[int, int]):
+    def __init__(self, ids: list, tokens: list[np.ndarray], count: dict[int, int], threshold: float):
         self.ids, self.tokens = ids, tokens
         at: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for i, t in enumerate(tokens):
-            grams = _grams(t).tolist()
-            rank = [(count.get(g, 0), k) for k, g in enumerate(grams)]
-            for k in {min(rank[lo : lo + SPAN])[1] for lo in range(max(1, len(grams) - SPAN + 1))} if grams else ():
-                at[grams[k]].append((i, k))
+            rank = sorted((count.get(g, 0), k, g) for grams in _grams(t) for k, g in enumerate(grams.tolist()))
+            for n, k, g in rank[: 2 * len(t) - _needed(len(t), threshold) + 1]:
+                if n:
+                    at[g].append((i, k))
         self.grams = np.array(sorted(at), np.uint64)
         self.at = [at[g] for g in self.grams.tolist()]
         self.there = slots(self.grams)
@@ -97,14 +109,21 @@ def _found(grams: np.ndarray, wanted: np.ndarray, there: np.ndarray) -> tuple[np
     return at[ok], k[ok]
 
 
-def _within(at: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of places, and which grams lie in one row."""
-    row = np.searchsorted(first, at, side="right") - 1
-    return row, at + GRAM <= first[row + 1]
+def _hits(tokens: np.ndarray, first: np.ndarray, wanted: np.ndarray, there: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places whose word, or pair within one row, is wanted, in order; which it is; their rows."""
+    found = []
+    for size, grams in enumerate(_grams(tokens), 1):
+        at, k = _found(grams, wanted, there)
+        row = np.searchsorted(first, at, side="right") - 1
+        ok = at + size <= first[row + 1]
+        found.append((at[ok], k[ok], row[ok]))
+    at, k, row = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(at, kind="stable")
+    return at[order], k[order], row[order]
 
 
 def count_grams(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
-    """Occurrences of each wanted 3-gram in all documents."""
+    """Occurrences of each wanted word and pair in all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
@@ -112,9 +131,7 @@ def count_grams(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
         there, total = slots(wanted), np.zeros(len(wanted), np.int64)
         for _, data, off in text_blocks(batches, limit=1 << 20):
             tokens, first = _tokens(data, off)
-            at, k = _found(_grams(tokens), wanted, there)
-            _, ok = _within(at, first)
-            np.add.at(total, k[ok], 1)
+            np.add.at(total, _hits(tokens, first, wanted, there)[1], 1)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["k", "n"])
 
@@ -124,13 +141,11 @@ def count_grams(docs: DataFrame, wanted: np.ndarray) -> dict[int, int]:
 
 def matches_of(tokens: np.ndarray, first: np.ndarray, seeds: Seeds, threshold: float) -> list[tuple[int, int, float]]:
     """(row, item, score) of the pairs that reach the threshold."""
-    at, k = _found(_grams(tokens), seeds.grams, seeds.there)
-    row, ok = _within(at, first)
     spans: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-    for p, g, r in zip(at[ok].tolist(), k[ok].tolist(), row[ok].tolist(), strict=True):
+    for p, g, r in zip(*(x.tolist() for x in _hits(tokens, first, seeds.grams, seeds.there)), strict=True):
         for i, q in seeds.at[g]:
             m = len(seeds.tokens[i])
-            slack = m // 2 + 4
+            slack = 2 * m - _needed(m, threshold) + 1  # more words between would cost too much
             lo, hi = max(p - q - slack, int(first[r])), min(p - q + m + slack, int(first[r + 1]))
             old = spans[r, i]
             if old and old[-1][1] >= lo:
@@ -142,7 +157,7 @@ def matches_of(tokens: np.ndarray, first: np.ndarray, seeds: Seeds, threshold: f
         item, best = seeds.tokens[i], 0
         for lo, hi in regions:
             text = tokens[lo:hi]
-            if np.isin(item, text).sum() >= threshold * len(item):  # each matched word is in the text
+            if _bound(item, text) >= _needed(len(item), threshold):
                 best = max(best, align(item, text))
         if best >= threshold * 2 * len(item):
             out.append((r, i, best / (2 * len(item))))
@@ -160,16 +175,16 @@ def blocks_of(benchmark: DataFrame, item_id: str, text: str):
         for r in rows:
             data = np.frombuffer(r.text.encode(), np.uint8)
             t, _ = _tokens(data, np.array([0, len(data)]))
-            if len(t) >= GRAM:
+            if len(t) >= LEAST_WORDS:
                 ids.append(r.item_id), tokens.append(t)
         if ids:
             yield ids, tokens
 
 
-def _seeds(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str):
+def _seeds(docs: DataFrame, benchmark: DataFrame, item_id: str, text: str, threshold: float):
     for ids, tokens in blocks_of(benchmark, item_id, text):
-        count = count_grams(docs, np.unique(np.concatenate([_grams(t) for t in tokens])))
-        yield docs.sparkSession.sparkContext.broadcast(Seeds(ids, tokens, count))
+        count = count_grams(docs, np.unique(np.concatenate([g for t in tokens for g in _grams(t)])))
+        yield docs.sparkSession.sparkContext.broadcast(Seeds(ids, tokens, count, threshold))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -178,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     docs = id_text(docs, doc_id, text).withColumn("text", F.lower("text"))
     schema = "doc_id long, item_id long, score double"
     out = spark.createDataFrame([], schema)
-    for shared in _seeds(docs, benchmark, item_id, item_text):
+    for shared in _seeds(docs, benchmark, item_id, item_text, threshold):
 
         def run(batches, shared=shared):
             for rows, data, off in text_blocks(batches, limit=1 << 20):
@@ -197,7 +212,7 @@ def without(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
     while low in docs.columns:
         low += "_"
     schema = docs.schema
-    for shared in _seeds(docs.select(F.lower(F.col(f"`{text}`")).alias("text")), benchmark, item_id, item_text):
+    for shared in _seeds(docs.select(F.lower(F.col(f"`{text}`")).alias("text")), benchmark, item_id, item_text, threshold):
 
         def run(batches, shared=shared):
             for rows, data, off in text_blocks(batches, low, limit=1 << 20):

@@ -230,6 +230,32 @@ def test_decontamination(spark, nothing):
     assert decontam.contaminated(nothing, bench).count() == 0 and decontam.contaminated(df, bench.where("item_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.7])
+def test_decontamination_equals_alignment_of_all_pairs(spark, threshold):
+    rng = random.Random(21)
+    vocab = [f"w{i}" for i in range(60)]
+    say = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [say(n) for n in (16, 60, 30, 3, 4, 5, 20, 45, 17, 24)]
+    docs = [say(rng.randint(1, 150)) for _ in range(40)]
+    for w in items:
+        for every in (2, 3, 4, 5):
+            docs.append(say(20) + [x if k % every else f"new{k}" for k, x in enumerate(w, 1)] + say(20))
+        docs += [[y for x in w for y in (x, "between")], [x for x in w if rng.random() < 0.7], [y for x in w for y in ((x, "in", "two") if rng.random() < 0.3 else (x,))]]
+    want = {}
+    code = {w: k for k, w in enumerate({w for t in docs + items for w in t})}
+    coded = lambda t: np.array([code[w] for w in t])
+    for d, text in enumerate(docs):
+        for i, w in enumerate(items):
+            share = decontam.align(coded(w), coded(text)) / (2 * len(w))
+            if share >= threshold:
+                want[d, i] = share
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    assert {(r.doc_id, r.item_id): r.score for r in decontam.contaminated(df, bench, threshold).collect()} == want
+    assert (42, 0) in want or threshold > 0.65  # every fourth word replaced
+    assert sorted(r.doc_id for r in decontam.without(df, bench, threshold).collect()) == [d for d in range(len(docs)) if not any((d, i) in want for i in range(len(items)))]
+
+
 def test_alignment_equals_the_plain_recurrence():
     rng = np.random.default_rng(6)
     for _ in range(30):
