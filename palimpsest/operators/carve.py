@@ -2,8 +2,8 @@
 
 A source is a table of chunks (source, chunk_start, total_size, data): consecutive
 stretches of an image, each with the bytes after it that the largest scan may need.
-A hit belongs to the chunk in which it starts, so an image of any size is carved by
-many tasks.
+A hit belongs to the chunk in which it starts, so chunks of an image can be carved by
+different tasks.
 """
 
 from __future__ import annotations
