@@ -1,26 +1,25 @@
-"""Repeated windows of tokens: anchors that equal windows share, and their exchange.
+"""Sampled suffixes: which of them can share a window of tokens, and where their text is.
 
 A window is ``window`` consecutive tokens (bytes or words) of one document.  Its
-anchor is the start of the ``kmer``-token run with the least hash inside it, the
-first of equals: equal windows have equal anchors at equal distance, wherever they
-stand.  So repeats need only be looked for among anchors with equal runs, about one
-token in (window - kmer) / 2, and the text around an anchor decides the rest.
-
-Every anchor is sent as its run's hash (``key``), the hash of all tokens of the
-windows it serves (``ctx``), its document and place.  Anchors with equal ctx serve
-equal windows, which settles them without their text; a map task settles its own
-first, so that a text which a third of all rows repeat costs one row a task.  Only
-where one key has several ctx (the edges of a repeat) the tokens themselves are
-fetched and compared.
+anchor is the start of the run of tokens with the least hash inside it, the first of
+equals: equal windows have equal anchors at equal distance, wherever they stand.  So
+suffixes are sampled at anchors only, about one token in (window - prefix) / 2, and a
+suffix answers for the windows that start ``near`` to ``far`` tokens before it.
+
+Suffixes that share a window share their prefix.  ``candidates`` counts the prefixes
+of all suffixes by hash and drops those that occur once: the hash only ever excludes,
+what repeats is decided by the operators on the text itself.  Where more than
+``HEAVY`` different surroundings share one prefix (a common line, say), the suffixes
+behind it are sampled more densely, which makes the prefix that two of them must
+share longer, and are counted again, until the prefix is the whole window.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,29 +32,36 @@ _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
 _LOW = np.uint64(0xFFFFFFFF)
 #: Windows handled at once; a longer text is cut into pieces that overlap.
 PIECE = 1 << 18
-#: Anchors that a map task gathers before it sends them.
+#: Suffixes that a task gathers before it sends or sorts them.
 HELD = 1 << 21
-#: Anchors of one key that are compared in one task; more are dealt by whole windows.
-GROUP = 1 << 16
-#: Ties of one doc_id, as bits, where ids repeat.
-TIES = 24
+#: Different surroundings of one prefix that are compared in one task; beyond, the prefix is made longer.
+HEAVY = 512
+#: Suffixes whose surroundings are taken at once.
+CHUNK = 1 << 14
+#: Heavy prefixes that are sent to every task; more are joined.
+SENT_KEYS = 1 << 18
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 @dataclass(frozen=True)
 class Kind:
-    """What repeats: tokens of a block (values, and each row's first), the sizes, and whether only smaller documents count."""
+    """What repeats: tokens of a block (values, and each row's first), the window, and the prefix that suffixes share."""
 
     tokens: Tokens
     window: int
-    kmer: int
-    earlier: bool
+    prefix: int
     block: int = 1 << 20  # bytes of text turned into tokens at once
+    heavy: int = HEAVY
 
     @property
     def reach(self) -> int:
-        return self.window - self.kmer
+        """Greatest distance of a served window."""
+        return self.window - self.prefix
+
+    def longer(self) -> Kind:
+        """Suffixes at an eighth of the distance: so the prefix grows towards the window."""
+        return replace(self, prefix=self.window + 1 - -(-(self.reach + 1) // 8))
 
 
 _POWERS: list[np.ndarray] = []
@@ -70,13 +76,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][: n + 1], _POWERS[1][: n + 1]
 
 
+def _scrambled(values: np.ndarray) -> np.ndarray:
+    return mixed(values + np.uint64(0x2545F4914F6CDD1D))
+
+
 class Spans:
     """Hash of any span of tokens: differences of prefix sums, moved to the origin."""
 
     def __init__(self, values: np.ndarray):
         up, self.down = _powers(len(values))
         self.sums = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(mixed(values + np.uint64(0x2545F4914F6CDD1D)) * up[:-1], out=self.sums[1:])
+        np.cumsum(_scrambled(values) * up[:-1], out=self.sums[1:])
 
     def every(self, size: int) -> np.ndarray:
         """Of each run of ``size`` tokens."""
@@ -87,9 +97,9 @@ class Spans:
 
 
 def find_anchors(values: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
-    """(row, place in row, least and greatest distance of served windows, key, ctx) of a block's anchors."""
+    """(row, place in row, least and greatest distance of served windows, prefix hash, hash of all that is served) of a block's anchors."""
     out: list[tuple[np.ndarray, ...]] = []
-    w, k = kind.window, kind.kmer
+    w, k = kind.window, kind.prefix
     span = w - k + 1
     for lo in range(0, max(len(values) - w + 1, 0), PIECE):
         part = values[lo : lo + PIECE + w - 1]
@@ -113,15 +123,38 @@ def find_anchors(values: np.ndarray, first: np.ndarray, kind: Kind) -> tuple[np.
         begin, end = ok[cut], ok[np.append(cut[1:], len(ok)) - 1]
         a = a[cut]
         near, far = a - end, a - begin
-        ctx = mixed(hash_(begin, end + w) ^ (near * 1024 + far).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        served = mixed(hash_(begin, end + w) ^ (near.astype(np.uint64) << np.uint64(32) | far.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
         # the run's hash is the least of its window; hashed once more, keys spread evenly
-        out.append((row[begin], a + lo - first[row[begin]], near, far, mixed(runs[a] ^ _B), ctx))
+        out.append((row[begin], a + lo - first[row[begin]], near, far, mixed(runs[a] ^ _B), served))
     if not out:
         z = np.zeros(0, np.int64)
         return z, z, z, z, z.view(np.uint64), z.view(np.uint64)
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def denser(at: np.ndarray, near: np.ndarray, far: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Suffixes every ``step`` tokens before each given one that serve the same windows, each at a distance below ``step``."""
+    low = near // step
+    n = far // step - low + 1
+    back = step * (np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
+    return np.repeat(at, n) - back, np.maximum(np.repeat(near, n) - back, 0), np.minimum(np.repeat(far, n) - back, step - 1)
+
+
+def padded(values: np.ndarray, kind: Kind) -> np.ndarray:
+    """Room for the surroundings of every suffix of a text."""
+    return np.concatenate([np.zeros(kind.reach, values.dtype), values, np.zeros(kind.window, values.dtype)])
+
+
+def surroundings(room: np.ndarray, at: np.ndarray, near: np.ndarray, far: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens before each suffix (nearest first) and from it on, as far as served windows go; zero beyond."""
+    reach, window = kind.reach, kind.window
+    before = room[(at + reach - 1)[:, None] - np.arange(reach)]
+    before[np.arange(reach) >= far[:, None]] = 0
+    after = room[(at + reach)[:, None] + np.arange(window)]
+    after[np.arange(window) >= (window - near)[:, None]] = 0
+    return before, after
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of equal length, the first sorted."""
     head = np.array([len(arrays[0])], np.int64).tobytes()
@@ -141,37 +174,19 @@ def _unpack(blob: bytes, kinds: tuple) -> list[np.ndarray]:
     return out
 
 
-_FIELDS = (np.uint64, np.uint64, np.int64, np.int32, np.uint8, np.uint8)  # key, ctx, uid, place, near, far
-_SENT = "bucket int, blob binary, uid long, begin int, stop int"
-
+def numbered(docs: DataFrame, doc_id: str, text: str, rest: bool = False) -> DataFrame:
+    """(doc_id, text, uid, rank): a distinct uid for every row, and the rank by which documents are earlier or later.
 
-def numbered(docs: DataFrame, doc_id: str, text: str, rest: bool = False) -> tuple[DataFrame, int]:
-    """(doc_id, text, uid) with a distinct uid for different (doc_id, text), and how many low bits of uid tell ties apart.
-
-    Where every doc_id is there and distinct, it is the uid.  ``rest`` adds a column
-    with a struct of all columns of the input.
+    Where every doc_id is there and distinct, it is the uid; else rows are numbered and
+    written once.  A null doc_id comes after all others.  ``rest`` adds a struct of the
+    other columns of the input.
     """
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("rest")
-    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), *([whole] if rest else []))
-    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null or doc_id < 0").isEmpty():
-        return docs.withColumn("uid", F.col("doc_id")), 0
-    from pyspark.sql import Window as W
-
-    own = F.sha2("text", 256)
-    pairs = docs.select("doc_id", own.alias("sha")).distinct()
-    ids = stored(pairs.select("doc_id").distinct().repartitionByRange(F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last()).withColumn("rank", F.monotonically_increasing_id()), "ids")
-    part = F.shiftright("rank", 33)
-    size = {r[0]: r[1] for r in ids.groupBy(part.alias("p")).count().collect()}  # a row a partition
-    before, total = [], 0
-    for p in range(max(size, default=-1) + 1):
-        before.append(total)
-        total += size.get(p, 0)
-    offset = F.element_at(F.array(*[F.lit(x).cast("long") for x in before or [0]]), (part + 1).cast("int"))
-    ids = ids.select("doc_id", (F.col("rank").bitwiseAND(F.lit((1 << 33) - 1)) + offset).alias("rank"))
-    tie = F.row_number().over(W.partitionBy("doc_id").orderBy("sha"))
-    ranked = pairs.withColumn("tie", tie).join(ids, pairs.doc_id.eqNullSafe(ids.doc_id)).select(pairs.doc_id, "sha", (F.shiftleft("rank", TIES) + F.col("tie")).alias("uid"))
-    joined = docs.withColumn("sha", own).alias("d").join(ranked.alias("r"), F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("d.sha") == F.col("r.sha")))
-    return stored(joined.select("d.doc_id", "d.text", *(["d.rest"] if rest else []), "r.uid"), "numbered"), TIES
+    other = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text] or [F.lit(0)]).alias("rest"), F.col(f"`{text}`").isNull().alias("void")]
+    docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"), *(other if rest else []))
+    docs = docs.withColumn("rank", F.coalesce("doc_id", F.lit((1 << 63) - 1)))
+    if docs.groupBy("rank").count().where("count > 1 or rank < 0").isEmpty():
+        return docs.withColumn("uid", F.col("rank"))
+    return stored(docs.withColumn("uid", F.monotonically_increasing_id()), "numbered")
 
 
 def _groups(key: np.ndarray) -> np.ndarray:
@@ -179,58 +194,70 @@ def _groups(key: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
 
 
-def _settle(key, ctx, uid, place, near, far, kind: Kind, ties: int) -> tuple[np.ndarray, ...]:
-    """Order by (key, ctx, uid); which rows are settled as repeats, and each row's group of equal (key, ctx)."""
-    order = np.lexsort((uid, ctx, key))
-    key, ctx, uid, place, near, far = (x[order] for x in (key, ctx, uid, place, near, far))
-    start = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (ctx[1:] != ctx[:-1])])) if len(key) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(key)))
-    if kind.earlier:
-        done = (uid >> ties) > np.repeat(uid[start] >> ties, size) if len(key) else np.zeros(0, bool)
-    else:
-        done = np.repeat(size > 1, size)
-    return key, ctx, uid, place, near, far, done, start, size
+def _slices(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs of equal values."""
+    start = _groups(key)
+    return start, np.append(start, len(key))[1:]
+
+
+# code: 48 bits of the prefix's hash, 16 of the surroundings'; place -1: a suffix known elsewhere, -2: a heavy prefix
+_OPEN = (np.uint64, np.int64, np.int32, np.int32, np.int32)  # code, uid, place, near, far
+_KNOWN = (np.int64, np.int32, np.int32, np.int32, np.int64, np.int32, np.int32)  # uid, begin, near, far, key, step, n
+_NAMES = ("uid", "begin", "near", "far", "key", "step", "n")
+_FOUND = "uid long, begin int, near int, far int, key long, step int, n int"
+_SIXTEEN = np.uint64(16)
+
+
+def _strides(uid, place, near, far, key) -> tuple[np.ndarray, ...]:
+    """Suffixes in order of (uid, place), those of a periodic text as one row: ``n`` of them, ``step`` apart."""
+    if not len(uid):
+        return uid, place, near, far, key, place, place
+    same = np.zeros(len(uid), bool)
+    same[1:] = (uid[1:] == uid[:-1]) & (near[1:] == near[:-1]) & (far[1:] == far[:-1]) & (key[1:] == key[:-1])
+    gap = np.diff(place, prepend=0)
+    on = np.zeros(len(uid), bool)
+    on[2:] = same[2:] & same[1:-1] & (gap[2:] == gap[1:-1])
+    at = np.flatnonzero(~on)
+    n = np.diff(np.append(at, len(uid)))
+    return uid[at], place[at], near[at], far[at], key[at], np.where(n > 1, gap[np.minimum(at + 1, len(gap) - 1)], 0), n
+
 
+def _sender(source: Callable, kind: Kind, buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Packs the suffixes of ``source`` by prefix.  Those of a prefix that the task has twice are known to be candidates: only their codes go by prefix."""
 
-def _send(kind: Kind, buckets: int, ties: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def flush(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-        uid, place, near, far, key, ctx = (np.concatenate(x) for x in zip(*held, strict=True))
-        key, ctx, uid, place, near, far, done, start, size = _settle(key & ~np.uint64(0xFFFF), ctx, uid, place, near, far, kind, ties)
-        # of settled rows none is sent, but for one that stands for all where none is open
+        uid, place, near, far, key, served = (np.concatenate(x) for x in zip(*held, strict=True))
+        code = (key >> _SIXTEEN << _SIXTEEN) | (served >> np.uint64(48))
+        order = np.argsort(code, kind="stable")
+        code, uid, place, near, far = code[order], uid[order], place[order], near[order], far[order]
+        key = code >> _SIXTEEN
+        start = _groups(key)
+        size = np.diff(np.append(start, len(key)))
+        new = np.concatenate([[True], code[1:] != code[:-1]])
+        alone, heavy = size == 1, np.add.reduceat(new, start) > kind.heavy
+        mark = np.where(np.repeat(alone, size), place, np.where(np.repeat(heavy, size), -2, -1))
         first = np.zeros(len(key), bool)
         first[start] = True
-        settled_group = np.repeat(size > 1, size) & (not kind.earlier)
-        sent = ~done | (first & settled_group)
-        near_sent = near.astype(np.int64)
-        bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-        at = np.flatnonzero(sent)
-        cuts = _groups(bucket[at])
-        ends = np.append(cuts[1:], len(at))
-        # a row that stands for several is marked by its twin: both are sent, once more
-        blobs = []
-        for lo, hi in zip(cuts, ends, strict=True):
-            i = at[lo:hi]
-            if not kind.earlier:
-                i = np.repeat(i, 1 + (first[i] & settled_group[i]))
-            blobs.append(_pack(key[i], ctx[i], uid[i], place[i].astype(np.int32), near_sent[i].astype(np.uint8), far[i].astype(np.uint8)))
-        d = np.flatnonzero(done)
-        begin, stop = (place - far)[d], (place - near)[d] + kind.window
-        uid_d, begin, stop = merged(uid[d], begin, stop)
-        b = bucket[at[cuts]] if len(cuts) else np.zeros(0, np.int32)
-        spread = (uid_d % buckets).astype(np.int32)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate([b, spread])), pa.array(blobs + [None] * len(uid_d), pa.binary()), pa.array(np.concatenate([np.zeros(len(b), np.int64), uid_d])), pa.array(np.concatenate([np.zeros(len(b)), begin]).astype(np.int32)), pa.array(np.concatenate([np.zeros(len(b)), stop]).astype(np.int32))],
-            names=["bucket", "blob", "uid", "begin", "stop"],
-        )
+        at = np.flatnonzero(new & (first | ~np.repeat(heavy, size)))
+        bucket = ((code[at] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        cuts, ends = _slices(bucket)
+        own = mark[at] >= 0
+        open_ = [_pack(code[at[a:b]], np.where(own[a:b], uid[at[a:b]], 0), mark[at[a:b]].astype(np.int32), np.where(own[a:b], near[at[a:b]], 0).astype(np.int32), np.where(own[a:b], far[at[a:b]], 0).astype(np.int32)) for a, b in zip(cuts, ends, strict=True)]
+        i = np.flatnonzero(~np.repeat(alone, size))
+        spread = (mixed(uid[i].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        by = np.lexsort((place[i], uid[i], spread))
+        i, spread = i[by], spread[by]
+        known = _strides(uid[i], place[i], near[i], far[i], key[i].view(np.int64))
+        to = (mixed(known[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        kcuts, kends = _slices(to)
+        packed = [_pack(*(c[a:b].astype(t) for c, t in zip(known, _KNOWN, strict=True))) for a, b in zip(kcuts, kends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([bucket[cuts], to[kcuts]])), pa.array(open_ + [None] * len(packed), pa.binary()), pa.array([None] * len(open_) + packed, pa.binary())], names=["bucket", "open", "known"])
 
     def run(batches):
         held, n = [], 0
-        for rows, data, off in text_blocks(batches, limit=kind.block):
-            values, first = kind.tokens(data, off)
-            row, place, near, far, key, ctx = find_anchors(values, first, kind)
-            uid = rows.column(1).to_numpy(zero_copy_only=False)[row].astype(np.int64)
-            held.append((uid, place, near, far, key, ctx))
-            n += len(row)
+        for found in source(batches):
+            held.append(found)
+            n += len(found[0])
             if n >= HELD:
                 yield flush(held)
                 held, n = [], 0
@@ -240,64 +267,51 @@ def _send(kind: Kind, buckets: int, ties: int) -> Callable[[Iterator[pa.RecordBa
     return run
 
 
-def merged(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Union of spans by document."""
-    if not len(uid):
-        return uid.astype(np.int64), begin.astype(np.int64), stop.astype(np.int64)
-    order = np.lexsort((begin, uid))
-    uid, begin, stop = uid[order], begin[order].astype(np.int64), stop[order].astype(np.int64)
-    doc = np.cumsum(np.concatenate([[0], uid[1:] != uid[:-1]]))
-    top = int(stop.max()) + 1
-    reach = np.maximum.accumulate(stop + doc * top)
-    new = np.concatenate([[True], begin[1:] + doc[1:] * top > reach[:-1]])
-    at = np.flatnonzero(new)
-    return uid[at], begin[at], reach[np.append(at[1:], len(uid)) - 1] - doc[at] * top
-
-
-_SETTLED = "uid long, begin int, stop int, key long, near int, far int, heavy boolean"
-
-
-def _receive(kind: Kind, ties: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Of each bucket: spans that are settled (key null) and anchors whose tokens must be compared."""
+def _receiver(kind: Kind) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Of a bucket: the suffixes whose prefix occurs again, and (uid null) the heavy prefixes."""
+
+    def rows(cols: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+        for lo in range(0, len(cols[0]), 1 << 17):
+            yield pa.RecordBatch.from_arrays([pa.array(c[lo : lo + (1 << 17)].astype(t)) for c, t in zip(cols, _KNOWN, strict=True)], names=_NAMES)
+
+    def settle(parts: list) -> tuple[list, tuple[np.ndarray, ...], np.ndarray]:
+        """What must be kept of the rows so far, the candidates among them, the heavy prefixes."""
+        code, uid, place, near, far = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        code, uid, place, near, far = code[order], uid[order], place[order], near[order], far[order]
+        key = code >> _SIXTEEN
+        start = _groups(key)
+        size = np.diff(np.append(start, len(key)))
+        new = np.concatenate([[True], code[1:] != code[:-1]])
+        heavy = (np.add.reduceat(new, start) > kind.heavy) | (np.minimum.reduceat(place, start) == -2)
+        alive = np.repeat((size > 1) | heavy | (np.minimum.reduceat(place, start) < 0), size)
+        go = np.flatnonzero(alive & (place >= 0))
+        mark = np.where(alive, np.where(np.repeat(heavy, size), -2, -1), place).astype(np.int32)
+        first = np.zeros(len(key), bool)
+        first[start] = True
+        left = np.flatnonzero(new & (first | ~np.repeat(heavy, size)))
+        zero = np.zeros(len(go), np.int32)
+        out = uid[go], place[go], near[go], far[go], key[go].view(np.int64), zero, zero + 1
+        return [(code[left], uid[left], mark[left], near[left], far[left])], out, key[start][heavy].view(np.int64)
 
     def run(batches):
-        parts, spans = [], []
+        parts, n, heavy = [], 0, np.zeros(0, np.int64)
         for b in batches:
-            blobs = b.column(1)
-            none = blobs.is_null().to_numpy(zero_copy_only=False)
-            parts += [_unpack(x, _FIELDS) for x in blobs.drop_null().to_pylist()]
-            if none.any():
-                spans.append(tuple(b.column(k).to_numpy(zero_copy_only=False)[none] for k in (2, 3, 4)))
-        out_u, out_b, out_s = ([np.concatenate(x)] for x in zip(*spans, strict=True)) if spans else ([], [], [])
-        ask = None
-        if parts:
-            key, ctx, uid, place, near, far, done, start, size = _settle(*(np.concatenate(x) for x in zip(*parts, strict=True)), kind, ties)
-            place, near, far = place.astype(np.int64), near.astype(np.int64), far.astype(np.int64)
-            d = np.flatnonzero(done)
-            out_u.append(uid[d]), out_b.append((place - far)[d]), out_s.append((place - near)[d] + kind.window)
-            # a key with several ctx: one row of each ctx (all open ones) goes on
-            kstart = _groups(key)
-            ksize = np.diff(np.append(kstart, len(key)))
-            several = np.add.reduceat(np.bincount(start, minlength=len(key)), kstart) > 1
-            if kind.earlier:
-                low, high = np.minimum.reduceat(uid >> ties, kstart), np.maximum.reduceat(uid >> ties, kstart)
-                several &= low != high
-                go = ~done
-            else:
-                go = np.zeros(len(key), bool)
-                go[start] = True
-            asked = np.add.reduceat(go.astype(np.int64), kstart)
-            i = np.flatnonzero(go & np.repeat(several, ksize))
-            ask = uid[i], place[i], key[i].view(np.int64), near[i], far[i], np.repeat(asked > GROUP, ksize)[i]
-        u, b, s = merged(*(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_u, out_b, out_s)))
-        for lo in range(0, len(u), 1 << 17):
-            x, y, z = u[lo : lo + (1 << 17)], b[lo : lo + (1 << 17)], s[lo : lo + (1 << 17)]
-            none = pa.nulls(len(x), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y.astype(np.int32)), pa.array(z.astype(np.int32)), pa.nulls(len(x), pa.int64()), none, none, pa.nulls(len(x), pa.bool_())], names=["uid", "begin", "stop", "key", "near", "far", "heavy"])
-        if ask is not None:
-            for lo in range(0, len(ask[0]), 1 << 17):
-                x = [a[lo : lo + (1 << 17)] for a in ask]
-                yield pa.RecordBatch.from_arrays([pa.array(x[0]), pa.array(x[1].astype(np.int32)), pa.nulls(len(x[0]), pa.int32()), pa.array(x[2]), pa.array(x[3].astype(np.int32)), pa.array(x[4].astype(np.int32)), pa.array(x[5])], names=["uid", "begin", "stop", "key", "near", "far", "heavy"])
+            for x in b.column("known").drop_null().to_pylist():
+                yield from rows(tuple(_unpack(x, _KNOWN)))
+            for x in b.column("open").drop_null().to_pylist():
+                parts.append(tuple(_unpack(x, _OPEN)))
+                n += len(parts[-1][0])
+                if n > 2 * HELD:
+                    parts, out, heavy = settle(parts)
+                    yield from rows(out)
+                    n = len(parts[0][0])
+        if n:
+            _, out, heavy = settle(parts)
+            yield from rows(out)
+        if len(heavy):
+            none = [pa.nulls(len(heavy), pa.from_numpy_dtype(t)) for t in _KNOWN]
+            yield pa.RecordBatch.from_arrays([*none[:4], pa.array(heavy), *none[5:]], names=_NAMES)
 
     return run
 
@@ -307,83 +321,151 @@ def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartitionById(buckets, F.col("bucket"))
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """uid and compressed text, for a shuffle."""
+def packed_texts(docs: DataFrame, *more: str) -> DataFrame:
+    """Some columns and the compressed text, for a shuffle."""
+    docs = docs.select(*more, "text")
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([z.compress(x.as_buffer()) for x in b.column(1).cast(pa.large_binary())], pa.binary())], names=["uid", "z"])
+            text = pa.array([z.compress(x.as_buffer()) for x in b.column(len(more)).cast(pa.large_binary())], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(more)], text], names=[*more, "z"])
 
-    return docs.select("uid", "text").mapInArrow(run, "uid long, z binary")
+    return docs.mapInArrow(run, docs.drop("text").withColumn("z", F.lit(b"")).schema)
 
 
-_ASKED = "uid long, ask array<struct<begin:int,key:bigint,near:int,far:int,heavy:boolean>>, z binary"
-WINDOWS = "high long, low long, uid long, begin int"
+def _asks(asked: DataFrame) -> DataFrame:
+    return asked.groupBy("uid").agg(F.collect_list(F.struct("begin", "near", "far", "key", "step", "n")).alias("ask"))
 
 
 def fetch(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of documents with anchors to compare, with those anchors."""
-    packed = F.collect_list(F.struct("begin", "key", "near", "far", "heavy")).alias("ask")
-    return asked.groupBy("uid").agg(packed).join(packed_texts(docs), "uid")
+    """Texts of documents with the suffixes asked for."""
+    return _asks(asked).join(packed_texts(docs, "uid", "rank"), "uid")
+
+
+def fetch_few(asked: DataFrame, docs: DataFrame) -> DataFrame:
+    """The same for a sample of suffixes of bounded size: it is sent to the texts."""
+    return docs.select("uid", "rank", "text").join(F.broadcast(_asks(asked)), "uid")
 
 
-def contexts(batch: pa.RecordBatch, kind: Kind) -> Iterator[tuple[int, np.ndarray, pd.DataFrame]]:
-    """(uid, tokens of the text, its anchors) of each row that ``fetch`` returns."""
+def suffixes(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, Iterator[tuple[np.ndarray, ...]]]]:
+    """(uid, rank, bytes of the text, pieces of (place, near, far, key)) of each row that ``fetch`` returns."""
     unzip = zstandard.ZstdDecompressor()
+    packed = "z" in batch.schema.names
     for k in range(batch.num_rows):
-        data = np.frombuffer(unzip.decompress(batch.column("z")[k].as_py()), np.uint8)
-        values, _ = kind.tokens(data, np.array([0, len(data)]))
+        raw = unzip.decompress(batch.column("z")[k].as_py()) if packed else batch.column("text")[k].cast(pa.large_binary()).as_py()
         ask = batch.column("ask")[k].values
-        yield batch.column("uid")[k].as_py(), values, pd.DataFrame({name: ask.field(name).to_numpy(zero_copy_only=False) for name in ("begin", "key", "near", "far", "heavy")})
+        begin, near, far, key, step, n = (ask.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ("begin", "near", "far", "key", "step", "n"))
+        first = np.cumsum(n) - n
 
+        def pieces(begin=begin, near=near, far=far, key=key, step=step, n=n, first=first):
+            for lo in range(0, int(n.sum()), chunk):
+                i = np.arange(lo, min(lo + chunk, int(n.sum())))
+                r = np.searchsorted(first, i, side="right") - 1
+                yield begin[r] + step[r] * (i - first[r]), near[r], far[r], key[r]
 
-def heavy_windows(uid: int, values: np.ndarray, ask: pd.DataFrame, kind: Kind) -> pa.RecordBatch | None:
-    """Every window that a heavy key's anchors serve, by two hashes."""
-    if not len(ask):
-        return None
-    a, near, far = (ask[c].to_numpy(np.int64) for c in ("begin", "near", "far"))
-    n = far - near + 1
-    begin = np.repeat(a - far, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    one, two = Spans(values), Spans(values ^ np.uint64(0xA5A5A5A5A5A5A5A5))
-    return pa.RecordBatch.from_arrays([pa.array(one(begin, begin + kind.window).view(np.int64)), pa.array(two(begin, begin + kind.window).view(np.int64)), pa.array(np.full(len(begin), uid)), pa.array(begin.astype(np.int32))], names=["high", "low", "uid", "begin"])
+        yield batch.column("uid")[k].as_py(), batch.column("rank")[k].as_py(), np.frombuffer(raw, np.uint8), pieces()
+
+
+def _first_source(kind: Kind) -> Callable:
+    def source(batches):
+        for rows, data, off in text_blocks(batches, limit=kind.block):
+            row, place, near, far, key, served = find_anchors(*kind.tokens(data, off), kind)
+            yield rows.column(1).to_numpy(zero_copy_only=False)[row].astype(np.int64), place, near, far, key, served
+
+    return source
+
+
+def _denser_source(kind: Kind) -> Callable:
+    """Of ``fetch``ed suffixes with heavy prefixes: denser ones with the prefix of ``kind``."""
+    up = _powers(kind.window + kind.reach)[0]
+
+    def hashed(x: np.ndarray) -> np.ndarray:
+        return mixed((_scrambled(x.astype(np.uint64)) * up[: x.shape[1]]).sum(axis=1, dtype=np.uint64))
+
+    def source(batches):
+        for batch in batches:
+            for uid, _, data, pieces in suffixes(batch, CHUNK // 8):
+                values, _ = kind.tokens(data, np.array([0, len(data)]))
+                room = padded(values, kind)
+                for at, near, far, _ in pieces:
+                    at, near, far = denser(at, near, far, kind.reach + 1)
+                    before, after = surroundings(room, at, near, far, kind)
+                    key = hashed(after[:, : kind.prefix])
+                    served = hashed(np.concatenate([before, after], axis=1)) ^ mixed(near.astype(np.uint64) << np.uint64(32) | far.astype(np.uint64))
+                    yield np.full(len(at), uid), at, near, far, key, served
+
+    return source
+
+
+Resolve = Callable[[DataFrame, DataFrame, Kind, int], DataFrame]
+
+
+def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
+    """(uid, begin, stop): spans, in tokens, of every repeated window of ``numbered`` documents.
+
+    ``resolve`` gets candidates, documents, the kind and the number of buckets, and
+    decides on the text itself.
+    """
+    buckets = bucket_count(docs)
+    sent = docs.select("text", "uid").mapInArrow(_sender(_first_source(kind), kind, buckets), "bucket int, open binary, known binary")
+    spans = None
+    while True:
+        found = stored(by_bucket(sent, buckets).mapInArrow(_receiver(kind), _FOUND), "suffixes")
+        asked, heavy = found.where("uid is not null"), found.where("uid is null").select("key")
+        many = heavy.count() if kind.reach else 0  # a prefix that is the window has no surroundings
+        if many:
+            heavy = F.broadcast(heavy) if many <= SENT_KEYS else heavy
+            more, asked = asked.join(heavy, "key", "left_semi"), asked.join(heavy, "key", "left_anti")
+        got = resolve(asked, docs, kind, buckets)
+        spans = got if spans is None else spans.unionByName(got)
+        if not many:
+            return spans
+        kind = kind.longer()
+        sent = fetch(more, docs).mapInArrow(_sender(_denser_source(kind), kind, buckets), "bucket int, open binary, known binary")
+
+
+def merged(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Union of spans by document."""
+    if not len(uid):
+        return uid.astype(np.int64), begin.astype(np.int64), stop.astype(np.int64)
+    order = np.lexsort((begin, uid))
+    uid, begin, stop = uid[order], begin[order].astype(np.int64), stop[order].astype(np.int64)
+    doc = np.cumsum(np.concatenate([[0], uid[1:] != uid[:-1]]))
+    top = int(stop.max()) + 1
+    reach = np.maximum.accumulate(stop + doc * top)
+    new = np.concatenate([[True], begin[1:] + doc[1:] * top > reach[:-1]])
+    at = np.flatnonzero(new)
+    return uid[at], begin[at], reach[np.append(at[1:], len(uid)) - 1] - doc[at] * top
 
 
 def runs_of(mark: np.ndarray, uid: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans of the marked windows; mark[i, d]: the window that starts d tokens before anchor i."""
+    """Spans of the marked windows; mark[i, d]: the window that starts d tokens before suffix i."""
     pad = np.zeros((len(mark), 1), bool)
     edge = np.diff(np.concatenate([pad, mark, pad], axis=1).astype(np.int8), axis=1)
     i, low = np.nonzero(edge == 1)
     j, high = np.nonzero(edge == -1)  # row by row, so that i equals j
-    return merged(uid[i], place[i] - (high - 1), place[i] - low + window)
+    return uid[i], place[i] - (high - 1), place[i] - low + window
 
 
-def repeated_spans(docs: DataFrame, ties: int, kind: Kind, resolve: Callable[[DataFrame, int, Kind, int], DataFrame]) -> DataFrame:
-    """(uid, begin, stop): spans, in tokens, of every repeated window of (doc_id, text, uid).
+def span_rows(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
+    uid, begin, stop = merged(uid, begin, stop)
+    return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["uid", "begin", "stop"])
 
-    ``resolve`` gets what ``fetch`` returns, the number of buckets, the kind and the ties.
-    """
-    buckets = bucket_count(docs)
-    sent = docs.select("text", "uid").mapInArrow(_send(kind, buckets, ties), _SENT)
-    settled = stored(by_bucket(sent, buckets).mapInArrow(_receive(kind, ties), _SETTLED), "anchors")
-    asked = settled.where("key is not null").drop("stop")
-    spans = settled.where("key is null").select("uid", "begin", "stop")
-    if asked.isEmpty():
-        return spans
-    spans = spans.unionByName(resolve(fetch(asked.where("not heavy"), docs), buckets, kind, ties))
-    heavy = asked.where("heavy")
-    if heavy.isEmpty():
-        return spans
-
-    def explode(batches):
-        for b in batches:
-            for uid, values, ask in contexts(b, kind):
-                got = heavy_windows(uid, values, ask, kind)
-                if got is not None:
-                    yield got
-
-    windows = stored(fetch(heavy, docs).mapInArrow(explode, WINDOWS), "windows")
-    groups = windows.groupBy("high", "low").agg(F.min("uid").alias("least"), F.count("*").alias("n")).where("n > 1")
-    hit = F.shiftright("uid", ties) > F.shiftright("least", ties) if kind.earlier else F.col("n") > 1
-    again = windows.join(groups, ["high", "low"]).where(hit)
-    return spans.unionByName(again.select("uid", "begin", (F.col("begin") + kind.window).cast("int").alias("stop")))
+
+SPANS = "uid long, begin int, stop int"
+
+
+def with_spans(rows: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
+    """uid, further columns, compressed text and spans (null where nothing goes) of every document."""
+    gone = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    return packed_texts(rows, "uid", *more).join(gone, "uid", "left")
+
+
+def kept(n: int, spans: pa.Scalar) -> np.ndarray:
+    """Which of n tokens are outside all spans."""
+    change = np.zeros(n + 1, np.int64)
+    if spans.is_valid:
+        np.add.at(change, spans.values.field(0).to_numpy(), 1)
+        np.add.at(change, spans.values.field(1).to_numpy(), -1)
+    return np.cumsum(change[:-1]) == 0

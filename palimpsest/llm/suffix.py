@@ -1,14 +1,17 @@
 """Removal of bytes in strings that repeat anywhere: distributed merge sort of suffixes.
 
-Suffixes start at anchors (see ``anchors``) whose text must be looked at, and are
-``window`` bytes long at most.  Each task sorts its own, front-codes them (the length
-of the prefix shared with the suffix before, then the rest) and sends the runs to the
-partition of their first bytes.  There a loser tree merges the runs.  It knows for
-each run how long a prefix its head shares with the last suffix that left the tree:
-heads with different such lengths are ordered by them alone, equal ones are compared
-from there on, so no known prefix is compared again.  The merge gives the order and
-the common prefix lengths; with the same for the bytes before the anchors, equal
-windows have equal places in both.
+Suffixes are sampled at anchors, and those whose prefix occurs once are left out (see
+``anchors``); every byte removed is found in the merge.  Each task sorts its suffixes,
+front-codes them (the length of the prefix shared with the suffix before, then the
+rest) and cuts the sorted run at splitters sampled from all suffixes.  A partition's
+loser tree merges the runs.  It knows for each run how long a prefix its head shares
+with the last suffix that left the tree: heads with different such lengths are ordered
+by them alone, equal ones are compared from there on, so no known prefix is compared
+again.  The merge gives the order and the common prefix lengths; with the same for the
+bytes before the suffixes, equal windows have equal places in both.
+
+Suffixes of one task with equal surroundings are settled in its sorted run; one of
+them, marked, goes on for the others' sake.
 
 Defined results: a null text is empty; documents shorter than ``window`` bytes lose
 nothing; strings never reach across documents; repeated rows and rows with one doc_id
@@ -19,6 +22,7 @@ within a character; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,12 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, by_bucket, contexts, numbered, repeated_spans, runs_of
-from .common import text_blocks
+from .anchors import SPANS, Kind, by_bucket, fetch, fetch_few, kept, numbered, padded, repeated_spans, runs_of, span_rows, suffixes, surroundings, with_spans
 
 WINDOW = 200
 #: Suffixes that a task sorts at once, and that are resolved at once after the merge.
-RUN = 40_000
+RUN = 1 << 16
+#: Suffixes sampled for the splitters, about.
+SAMPLE = 1 << 15
 
 
 def _byte_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,15 +45,21 @@ def _byte_tokens(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def kind_of(window: int = WINDOW) -> Kind:
-    return Kind(_byte_tokens, window, max(1, window * 36 // 100), earlier=False, block=1 << 19)
+    return Kind(_byte_tokens, window, max(1, window * 36 // 100), block=1 << 19)
+
+
+def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each two rows share."""
+    if not a.shape[1]:
+        return np.zeros(len(a), np.int64)
+    differ = a != b
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
 
 
 def shared(a: np.ndarray) -> np.ndarray:
     """Length of the prefix each row shares with the row before; 0 for the first."""
     out = np.zeros(len(a), np.int64)
-    if len(a) > 1:
-        differ = a[1:] != a[:-1]
-        out[1:] = np.where(differ.any(axis=1), differ.argmax(axis=1), a.shape[1])
+    out[1:] = _common(a[1:], a[:-1])
     return out
 
 
@@ -67,21 +78,23 @@ def front_coded(suffix: np.ndarray, *meta: np.ndarray) -> bytes:
     return zstandard.compress(b"".join([head.tobytes(), lcp.astype(np.int32).tobytes(), *(np.ascontiguousarray(m).tobytes() for m in meta), rest.tobytes()]), 1)
 
 
+_META = (np.int64, np.int32, np.int32, np.int32, np.uint8)  # uid, place, near, far, settled
+
+
 class Run:
     """Reads a front-coded run, one suffix after the other."""
 
-    def __init__(self, blob: bytes, left: int):
+    def __init__(self, blob: bytes, before: int):
         raw = zstandard.decompress(blob)
-        n, self.width = (int(x) for x in np.frombuffer(raw, np.int64, 2))
-        at = 16
-        cols = []
-        for kind, wide in ((np.int32, 1), (np.int64, 1), (np.int32, 1), (np.uint8, 1), (np.uint8, 1), (np.uint8, left)):
-            col = np.frombuffer(raw, kind, n * wide, at)
-            at += col.nbytes
-            cols.append(col if wide == 1 else col.reshape(n, wide))
-        lcp, self.uid, self.place, self.near, self.far, self.left = cols
-        self.lcps, self.rests, self.at, self.next = lcp.tolist(), raw, at, 0
-        self.n, self.head = n, b""
+        self.n, self.width = (int(x) for x in np.frombuffer(raw, np.int64, 2))
+        self.lcps = np.frombuffer(raw, np.int32, self.n, 16).tolist()
+        at, cols = 16 + 4 * self.n, []
+        for kind in _META:
+            cols.append(np.frombuffer(raw, kind, self.n, at))
+            at += cols[-1].nbytes
+        cols.append(np.frombuffer(raw, np.uint8, self.n * before, at).reshape(self.n, before))
+        self.columns = cols
+        self.rests, self.at, self.next, self.head = raw, at + self.n * before, 0, b""
 
     def advance(self) -> int:
         """To the next suffix; the length it shares with the one before, or -1 at the end."""
@@ -144,13 +157,13 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, int]]:
             node //= 2
 
 
-def _repeats(lcp: np.ndarray, near: np.ndarray, far: np.ndarray, left: np.ndarray, kind: Kind) -> np.ndarray:
-    """mark[i, d]: the window that starts d bytes before anchor i stands elsewhere.  Rows are in sorted order."""
+def _repeats(lcp: np.ndarray, near: np.ndarray, far: np.ndarray, before: np.ndarray, kind: Kind) -> np.ndarray:
+    """mark[i, d]: the window that starts d bytes before suffix i stands elsewhere.  Rows are in sorted order."""
     m = len(lcp)
-    group = np.cumsum(lcp < kind.kmer)
-    by_left = sort_rows(np.concatenate([group.astype(">u8").view(np.uint8).reshape(m, 8), left], axis=1))
-    before = shared(left[by_left])
-    before[np.concatenate([[True], np.diff(group[by_left]) != 0])] = -1
+    group = np.cumsum(lcp < kind.prefix)
+    by_left = sort_rows(np.concatenate([group.astype(">u8").view(np.uint8).reshape(m, 8), before], axis=1))
+    common = shared(before[by_left])
+    common[np.concatenate([[True], np.diff(group[by_left]) != 0])] = -1
     mark = np.zeros((m, kind.reach + 1), bool)
     place = np.empty(m, np.int64)
     for d in range(kind.reach + 1):
@@ -158,7 +171,7 @@ def _repeats(lcp: np.ndarray, near: np.ndarray, far: np.ndarray, left: np.ndarra
         if len(i) < 2:
             continue
         after = np.cumsum(lcp < kind.window - d)
-        place[by_left] = np.cumsum(before < d)
+        place[by_left] = np.cumsum(common < d)
         node = ((after << 32) | place)[i]
         by = np.argsort(node)
         same = np.diff(node[by]) == 0
@@ -167,104 +180,163 @@ def _repeats(lcp: np.ndarray, near: np.ndarray, far: np.ndarray, left: np.ndarra
     return mark
 
 
-def _resolve(fetched: DataFrame, buckets: int, kind: Kind, ties: int) -> DataFrame:
-    window, reach = kind.window, kind.reach
+def _found(lcp: np.ndarray, uid: np.ndarray, place: np.ndarray, near: np.ndarray, far: np.ndarray, before: np.ndarray, kind: Kind) -> tuple[np.ndarray, ...]:
+    """Spans of the windows that repeat among merged suffixes: pairs directly, larger groups by all distances."""
+    start = np.flatnonzero(lcp < kind.prefix)
+    size = np.diff(np.append(start, len(lcp)))
+    a = start[size == 2]
+    b = a + 1
+    low = np.maximum(np.maximum(near[a], near[b]), kind.window - lcp[b])
+    high = np.minimum(np.minimum(far[a], far[b]), _common(before[a], before[b]))
+    ok = low <= high
+    i, low, high = np.concatenate([a[ok], b[ok]]), np.tile(low[ok], 2), np.tile(high[ok], 2)
+    out = [(uid[i], place[i] - high, place[i] - low + kind.window)]
+    i = np.flatnonzero(np.repeat(size > 2, size))
+    if len(i):
+        out.append(runs_of(_repeats(lcp[i], near[i], far[i], before[i], kind), uid[i], place[i], kind.window))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def splitters(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> list[bytes]:
+    """Prefixes that cut all candidates into ``buckets`` parts, from a sample of bounded size.  They only decide who sorts what."""
+    n = asked.count()
+    if n < 2 or buckets < 2:
+        return []
+    few = fetch_few(asked.sample(min(1.0, SAMPLE / n), seed=11), docs)
+
+    def run(batches):
+        for batch in batches:
+            for _, _, data, pieces in suffixes(batch):
+                raw = data.tobytes()
+                for at, *_ in pieces:
+                    yield pa.RecordBatch.from_arrays([pa.array([raw[a : a + kind.prefix] for a in at[:: max(1, len(at) // 256)]], pa.binary())], names=["prefix"])
+
+    found = sorted(bytes(r.prefix) for r in few.mapInArrow(run, "prefix binary").collect())
+    return sorted({found[len(found) * k // buckets] for k in range(1, buckets)}) if found else []
+
+
+def _sort(kind: Kind, shared_cuts) -> callable:
+    window = kind.window
+
+    def flush(held: list[tuple[np.ndarray, ...]], cuts: list[bytes]) -> pa.RecordBatch:
+        uid, at, near, far, before, after = (np.concatenate(x) for x in zip(*held, strict=True))
+        ends = np.stack([near, far], axis=1).astype(">u4").view(np.uint8)
+        order = sort_rows(np.concatenate([after, before, ends], axis=1))
+        uid, at, near, far, before, after, ends = (x[order] for x in (uid, at, near, far, before, after, ends))
+        new = np.ones(len(order), bool)
+        new[1:] = (after[1:] != after[:-1]).any(axis=1) | (before[1:] != before[:-1]).any(axis=1) | (ends[1:] != ends[:-1]).any(axis=1)
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(order)))
+        i = np.flatnonzero(np.repeat(size > 1, size))
+        spans = span_rows(uid[i], at[i] - far[i], at[i] - near[i] + window)
+        after = after[start]
+        raw = after.tobytes()
+        rows = [raw[k : k + window] for k in range(0, len(raw), window)]
+        edge = [0, *(bisect_left(rows, c) for c in cuts), len(rows)]
+        bucket, blobs = [], []
+        for b, (lo, hi) in enumerate(zip(edge[:-1], edge[1:], strict=True)):
+            if hi > lo:
+                s = start[lo:hi]
+                bucket.append(b)
+                blobs.append(front_coded(after[lo:hi], *(c.astype(t) for c, t in zip((uid[s], at[s], near[s], far[s], size[lo:hi] > 1), _META, strict=True)), before[s]))
+        n = spans.num_rows
+        to = (spans.column(0).to_numpy() % (len(cuts) + 1)).astype(np.int32)
+        none = pa.nulls(len(blobs), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.array(bucket, np.int32), to])), pa.array(blobs + [None] * n, pa.binary()), pa.concat_arrays([pa.nulls(len(blobs), pa.int64()), spans.column(0)]), *(pa.concat_arrays([none, spans.column(k)]) for k in (1, 2))], names=["bucket", "run", "uid", "begin", "stop"])
 
-    def sort(batches):
+    def run(batches):
+        cuts = shared_cuts.value
         held: list[tuple[np.ndarray, ...]] = []
         n = 0
-
-        def flush() -> pa.RecordBatch:
-            bucket, uid, place, near, far, left, suffix = (np.concatenate(x) for x in zip(*held, strict=True))
-            out_b, out = [], []
-            for b in np.unique(bucket):
-                i = np.flatnonzero(bucket == b)
-                i = i[sort_rows(suffix[i])]
-                out_b.append(b)
-                out.append(front_coded(suffix[i], uid[i], place[i].astype(np.int32), near[i].astype(np.uint8), far[i].astype(np.uint8), left[i]))
-            return pa.RecordBatch.from_arrays([pa.array(np.array(out_b, np.int32)), pa.array(out, pa.binary())], names=["bucket", "run"])
-
         for batch in batches:
-            for uid, values, ask in contexts(batch, kind):
-                a, far = ask["begin"].to_numpy(np.int64), ask["far"].to_numpy(np.int64)
-                padded = np.concatenate([np.zeros(reach, np.uint8), values.astype(np.uint8), np.zeros(window, np.uint8)])
-                suffix = padded[(a + reach)[:, None] + np.arange(window)]
-                left = padded[(a + reach - 1)[:, None] - np.arange(reach)]
-                left[np.arange(reach) >= far[:, None]] = 0
-                key = ask["key"].to_numpy(np.int64).view(np.uint64)
-                bucket = ((key >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
-                held.append((bucket, np.full(len(a), uid), a, ask["near"].to_numpy(np.int64), far, left, suffix))
-                n += len(a)
-                if n >= RUN:
-                    yield flush()
-                    held, n = [], 0
+            for uid, _, data, pieces in suffixes(batch):
+                room = padded(data, kind)
+                for at, near, far, _ in pieces:
+                    held.append((np.full(len(at), uid), at, near, far, *surroundings(room, at, near, far, kind)))
+                    n += len(at)
+                    if n >= RUN:
+                        yield flush(held, cuts)
+                        held, n = [], 0
         if n:
-            yield flush()
+            yield flush(held, cuts)
 
-    def combine(batches):
-        runs = [Run(x, reach) for b in batches for x in b.column(1).to_pylist()]
-        if not runs:
+    return run
+
+
+def _combine(kind: Kind) -> callable:
+    def run(batches):
+        blobs = []
+        for b in batches:
+            spans = b.select(["uid", "begin", "stop"]).filter(b.column("uid").is_valid())
+            if spans.num_rows:
+                yield spans
+            blobs += b.column("run").drop_null().to_pylist()
+        if not blobs:
             return
-        at = [0] * len(runs)
-        rows: list[tuple[int, int, int]] = []
-
-        def done(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-            run, k, lcp = np.array(rows, np.int64).T
-            order = np.argsort(run, kind="stable")
-            cuts = np.flatnonzero(np.diff(run[order])) + 1
-            cols: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for i in np.split(order, cuts):
-                r = runs[run[i[0]]]
-                for c, col in zip(cols, (r.uid, r.place, r.near, r.far, r.left), strict=True):
-                    c.append(col[k[i]])
-            back = np.argsort(order)
-            uid, place, near, far, left = (np.concatenate(c)[back] for c in cols)
-            lcp[0] = 0
-            mark = _repeats(lcp, near.astype(np.int64), far.astype(np.int64), left, kind)
-            u, b, s = runs_of(mark, uid, place.astype(np.int64), window)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(b.astype(np.int32)), pa.array(s.astype(np.int32))], names=["uid", "begin", "stop"])
+        runs = [Run(x, kind.reach) for x in blobs]
+        del blobs
+        offset = np.cumsum([0] + [r.n for r in runs])
+        uid, place, near, far, settled, before = (np.concatenate([r.columns[k] for r in runs]) for k in range(6))
+
+        def done(r: list[int], k: list[int], lcp: list[int]) -> pa.RecordBatch:
+            i, common = offset[np.array(r)] + np.array(k), np.array(lcp)
+            common[0] = 0
+            u, b, s = _found(common, uid[i], place[i].astype(np.int64), near[i].astype(np.int64), far[i].astype(np.int64), before[i], kind)
+            return span_rows(u, b, s)
 
+        at = [0] * len(runs)
+        which, where, common = [], [], []
         for r, lcp in merge(runs):
-            if lcp < kind.kmer and len(rows) >= RUN:
-                yield done(rows)
-                rows = []
-            rows.append((r, at[r], lcp))
+            if lcp < kind.prefix and len(which) >= RUN:
+                yield done(which, where, common)
+                which, where, common = [], [], []
+            which.append(r)
+            where.append(at[r])
+            common.append(lcp)
             at[r] += 1
-        if rows:
-            yield done(rows)
+        if which:
+            yield done(which, where, common)
+
+    return run
+
+
+def _resolve(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
+    cuts = splitters(asked, docs, kind, buckets)
+    shared_cuts = docs.sparkSession.sparkContext.broadcast(cuts)
+    sent = fetch(asked, docs).mapInArrow(_sort(kind, shared_cuts), "bucket int, run binary, uid long, begin int, stop int")
+    return by_bucket(sent, len(cuts) + 1).mapInArrow(_combine(kind), SPANS)
+
 
-    return by_bucket(fetched.mapInArrow(sort, "bucket int, run binary"), buckets).mapInArrow(combine, "uid long, begin int, stop int")
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, np.ndarray]]:
+    """(batch, row, text, which bytes are kept) of ``with_spans``."""
+    unzip = zstandard.ZstdDecompressor()
+    for b in batches:
+        z, spans = b.column("z"), b.column("spans")
+        for k in range(b.num_rows):
+            raw = unzip.decompress(z[k].as_py())
+            yield b, k, raw, kept(len(raw), spans[k])
 
 
 def remove_digests(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
     def run(batches):
-        for rows, data, off in text_blocks(batches):
+        for b in batches:
             found = []
-            for k in range(rows.num_rows):
-                own, gone = data[off[k] : off[k + 1]], rows.column(2)[k]
-                change = np.zeros(len(own) + 1, np.int64)
-                if gone.is_valid:
-                    np.add.at(change, gone.values.field(0).to_numpy(), 1)
-                    np.add.at(change, gone.values.field(1).to_numpy(), -1)
-                out = np.cumsum(change[:-1]) > 0
-                starts = int((np.diff(out.astype(np.int8), prepend=0) == 1).sum())
-                found.append((len(own), int(out.sum()), starts, hashlib.sha256(own[~out].tobytes()).hexdigest()))
-            yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found])], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for _, _, raw, keep in _texts([b]):
+                starts = int((np.diff(keep.astype(np.int8), prepend=1) == -1).sum())
+                own = raw if keep.all() else np.frombuffer(raw, np.uint8)[keep].tobytes()
+                found.append((len(raw), len(raw) - len(own), starts, hashlib.sha256(own).hexdigest()))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.string())], names=names)
 
-    return cleaned(docs, window, doc_id, text).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = numbered(docs, doc_id, text)
+    return with_spans(rows, repeated_spans(rows, kind_of(window), _resolve), "doc_id").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The operator's general form: doc_id, text and the byte spans (begin, stop) to remove; null where there is none."""
-    rows, ties = numbered(docs, doc_id, text)
-    if ties:
-        # rows of equal id and text share a uid; both hold every string of the other
-        count = rows.groupBy("uid").count().where("count > 1").select("uid")
-        whole = rows.join(count, "uid").where(F.octet_length("text") >= window).select("uid", F.lit(0).alias("begin"), F.octet_length("text").alias("stop")).distinct()
-    spans = repeated_spans(rows, ties, kind_of(window), _resolve)
-    if ties:
-        spans = spans.unionByName(whole)
+    rows = numbered(docs, doc_id, text)
+    spans = repeated_spans(rows, kind_of(window), _resolve)
     gone = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     return rows.join(gone, "uid", "left").select("doc_id", "text", "spans")

@@ -3,6 +3,7 @@
 import hashlib
 import re
 from collections import Counter
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -64,13 +65,55 @@ def test_bytes(name, request):
     assert rows(suffix.remove_digests(df)) == brute_bytes(pairs(df))
 
 
-def test_heavy_prefixes_and_pieces(frame, monkeypatch):
-    """Groups beyond the bound go by whole windows; long texts are cut; nothing changes."""
-    monkeypatch.setattr(anchors, "GROUP", 1)
+@pytest.mark.parametrize("window", [1, 5, 200])
+def test_other_windows_of_words(frame, window):
+    assert rows(substring.remove_digests(frame, window)) == brute_words(pairs(frame), window)
+
+
+@pytest.mark.parametrize("window", [20, 400, 600])
+def test_other_windows_of_bytes(frame, window):
+    assert rows(suffix.remove_digests(frame, window)) == brute_bytes(pairs(frame), window)
+
+
+def test_heavy_prefixes(frame, monkeypatch):
+    """Prefixes with more surroundings than the bound are made longer, up to the whole window; nothing changes."""
+    for module in (substring, suffix):
+        monkeypatch.setattr(module, "kind_of", lambda window, old=module.kind_of: replace(old(window), heavy=1))
     assert rows(substring.remove_digests(frame)) == brute_words(pairs(frame))
     assert rows(suffix.remove_digests(frame)) == brute_bytes(pairs(frame))
 
 
+def test_prefix_grows_to_the_window():
+    for kind in (suffix.kind_of(), substring.kind_of()):
+        seen = [kind.prefix]
+        while kind.reach:
+            kind = kind.longer()
+            seen.append(kind.prefix)
+        assert seen == sorted(set(seen)) and seen[-1] == kind.window
+
+
+def test_denser_suffixes_serve_the_same_windows():
+    at, near, far = np.array([500, 900]), np.array([0, 40]), np.array([128, 77])
+    a, lo, hi = anchors.denser(at, near, far, 17)
+    want = sorted(p - d for p, n, f in zip(at, near, far, strict=True) for d in range(n, f + 1))
+    assert sorted(p - d for p, n, f in zip(a, lo, hi, strict=True) for d in range(n, f + 1)) == want and hi.max() < 17
+
+
+def test_periodic_texts_are_sent_as_strides():
+    uid, place = np.repeat([1, 2], [6, 3]), np.array([0, 2, 4, 6, 8, 9, 0, 5, 10])
+    zero = np.zeros(9, np.int64)
+    u, p, _, _, _, step, n = anchors._strides(uid, place, zero, zero, zero)
+    back = [(x, y + s * k) for x, y, s, m in zip(u.tolist(), p.tolist(), step.tolist(), n.tolist(), strict=True) for k in range(m)]
+    assert back == list(zip(uid.tolist(), place.tolist(), strict=True)) and len(u) < 9
+
+
+def test_all_that_is_removed_comes_from_the_merge_and_the_subtrees(frame, monkeypatch):
+    """Without what they return nothing is removed."""
+    monkeypatch.setattr(suffix, "_resolve", lambda asked, docs, kind, buckets: asked.selectExpr("uid", "begin", "begin as stop").limit(0))
+    monkeypatch.setattr(substring, "_resolve", lambda asked, docs, kind, buckets: asked.selectExpr("uid", "begin", "begin as stop").limit(0))
+    assert suffix.remove_digests(frame).where("n_removed > 0").isEmpty() and substring.remove_digests(frame).where("n_removed > 0").isEmpty()
+
+
 def test_small_pieces():
     """Anchors of a text cut into pieces serve each window exactly once, and equal windows get equal keys."""
     kind = suffix.kind_of()
@@ -104,7 +147,7 @@ def test_loser_tree_sorts_and_tells_shared_prefixes():
         every += [x.tobytes() for x in a]
         n = len(a)
         z = np.zeros(n)
-        runs.append(suffix.Run(suffix.front_coded(a, z.astype(np.int64), z.astype(np.int32), z.astype(np.uint8), z.astype(np.uint8), np.zeros((n, 3), np.uint8)), 3))
+        runs.append(suffix.Run(suffix.front_coded(a, *(z.astype(t) for t in suffix._META), np.zeros((n, 3), np.uint8)), 3))
     got = [lcp for _, lcp in suffix.merge(runs)]
     want = sorted(every)
     shared = [0] + [next((i for i, (x, y) in enumerate(zip(a, b, strict=True)) if x != y), 12) for a, b in zip(want, want[1:], strict=False)]
