@@ -38,7 +38,7 @@ HELD = 1 << 21
 HEAVY = 512
 #: Suffixes whose surroundings are taken at once.
 CHUNK = 1 << 14
-#: Heavy prefixes that are sent to every task; more are joined.
+#: Keys (heavy prefixes, or documents that have them) that are sent to every task; more are joined by a shuffle.
 SENT_KEYS = 1 << 18
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
@@ -338,9 +338,9 @@ def _asks(asked: DataFrame) -> DataFrame:
     return asked.groupBy("uid").agg(F.collect_list(F.struct("begin", "near", "far", "key", "step", "n")).alias("ask"))
 
 
-def fetch(asked: DataFrame, docs: DataFrame) -> DataFrame:
-    """Texts of documents with the suffixes asked for."""
-    return _asks(asked).join(packed_texts(docs, "uid", "rank"), "uid")
+def fetch(asked: DataFrame, docs: DataFrame, buckets: int) -> DataFrame:
+    """Texts of documents with the suffixes asked for, in as many partitions as there are buckets: the work on them is much larger than they are."""
+    return _asks(asked.repartition(buckets, "uid")).join(packed_texts(docs, "uid", "rank").repartition(buckets, "uid"), "uid")
 
 
 def fetch_few(asked: DataFrame, docs: DataFrame) -> DataFrame:
@@ -398,6 +398,7 @@ def _denser_source(kind: Kind) -> Callable:
     return source
 
 
+SPANS = "uid long, begin int, stop int"
 Resolve = Callable[[DataFrame, DataFrame, Kind, int], DataFrame]
 
 
@@ -409,7 +410,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
     """
     buckets = bucket_count(docs)
     sent = docs.select("text", "uid").mapInArrow(_sender(_first_source(kind), kind, buckets), "bucket int, open binary, known binary")
-    spans = None
+    spans = docs.sparkSession.createDataFrame([], SPANS)
     while True:
         found = stored(by_bucket(sent, buckets).mapInArrow(_receiver(kind), _FOUND), "suffixes")
         asked, heavy = found.where("uid is not null"), found.where("uid is null").select("key")
@@ -417,12 +418,14 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
         if many:
             heavy = F.broadcast(heavy) if many <= SENT_KEYS else heavy
             more, asked = asked.join(heavy, "key", "left_semi"), asked.join(heavy, "key", "left_anti")
-        got = resolve(asked, docs, kind, buckets)
-        spans = got if spans is None else spans.unionByName(got)
+        if not asked.isEmpty():
+            spans = spans.unionByName(resolve(asked, docs, kind, buckets))
         if not many:
             return spans
         kind = kind.longer()
-        sent = fetch(more, docs).mapInArrow(_sender(_denser_source(kind), kind, buckets), "bucket int, open binary, known binary")
+        ids = more.select("uid").distinct()
+        docs = docs.join(F.broadcast(ids) if ids.count() <= SENT_KEYS else ids, "uid", "left_semi")
+        sent = fetch(more, docs, buckets).mapInArrow(_sender(_denser_source(kind), kind, buckets), "bucket int, open binary, known binary")
 
 
 def merged(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -453,13 +456,11 @@ def span_rows(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(begin.astype(np.int32)), pa.array(stop.astype(np.int32))], names=["uid", "begin", "stop"])
 
 
-SPANS = "uid long, begin int, stop int"
-
-
 def with_spans(rows: DataFrame, spans: DataFrame, *more: str) -> DataFrame:
     """uid, further columns, compressed text and spans (null where nothing goes) of every document."""
-    gone = spans.groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
-    return packed_texts(rows, "uid", *more).join(gone, "uid", "left")
+    n = bucket_count(rows)
+    gone = spans.repartition(n, "uid").groupBy("uid").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    return packed_texts(rows, "uid", *more).repartition(n, "uid").join(gone, "uid", "left")
 
 
 def kept(n: int, spans: pa.Scalar) -> np.ndarray:

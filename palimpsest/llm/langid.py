@@ -5,20 +5,25 @@ ends) of every labelled training text, by language, over all rows.  A document i
 mixture of languages: each word's likelihood in a language is that of its n-grams,
 and expectation-maximisation estimates the proportions.  The language set is chosen
 by penalised likelihood: starting from all languages with any support, the weakest
-is removed as long as log-likelihood minus ``PENALTY * ln(words)`` per language does
-not fall.  The prediction is the largest proportion, which is also the score.
+is removed as long as log-likelihood minus ``PENALTY * ln(words + 1)`` per language
+does not fall.  Languages that together have less than half a word of support go at
+once: without them the likelihood falls by ln 2 at most, which no penalty is below.
+The prediction is the largest proportion, which is also the score.
 
 Defined results: ``und`` with score 0 for a null text, a text without a letter, or
 when nothing was learned; ties go to the first language by name; whole texts of any
 length are used; repeated rows get equal results; rows with a null id are predicted
-but never learned from; languages are bounded by ``MAX_LANGUAGES`` (an error beyond).
+but never learned from; input columns named lang_pred or score give way to the new
+ones; languages are bounded by ``MAX_LANGUAGES`` (an error beyond).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +67,7 @@ def _word_spans(clean: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndar
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list[str], np.ndarray]:
     """Languages and their log-probabilities, (orders * BUCKETS) x languages.
 
-    What reaches the driver has at most languages * orders * BUCKETS rows.
+    The driver gets one compressed row of counts a language.
     """
 
     def run(batches):
@@ -85,15 +90,24 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(full)), pa.array(full, pa.int32()), pa.array(counts[full])], names=["lang", "gram", "n"])
 
     known = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    names = sorted(counts["lang"].unique())
-    if len(names) > MAX_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; the limit is {MAX_LANGUAGES}")
+
+    def gather(batches):
+        total: dict[str, np.ndarray] = {}
+        for b in batches:
+            for name in pc.unique(b.column(0)):
+                own = b.filter(pc.equal(b.column(0), name))
+                total.setdefault(name.as_py(), np.zeros(len(ORDERS) * BUCKETS, np.int64))[own.column(1).to_numpy()] += own.column(2).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zstandard.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["lang", "counts"])
+
+    counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = counts.repartition("lang").mapInArrow(gather, "lang string, counts binary").limit(MAX_LANGUAGES + 1).collect()
+    if len(found) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+    names = sorted(r.lang for r in found)
     logp = np.zeros((len(ORDERS) * BUCKETS, len(names)), np.float32)
-    for i, name in enumerate(names):
-        own = counts[counts["lang"] == name]
-        full = np.bincount(own["gram"].to_numpy(np.int64), own["n"].to_numpy(float), len(ORDERS) * BUCKETS).reshape(len(ORDERS), BUCKETS)
-        logp[:, i] = np.log((full + 0.5) / (full.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).ravel()
+    for r in found:
+        full = np.frombuffer(zstandard.decompress(r.counts), np.int64).reshape(len(ORDERS), BUCKETS)
+        logp[:, names.index(r.lang)] = np.log((full + 0.5) / (full.sum(axis=1, keepdims=True) + 0.5 * BUCKETS)).ravel()
     return names, logp
 
 
@@ -126,9 +140,10 @@ def proportions(data: np.ndarray, off: np.ndarray, logp: np.ndarray) -> np.ndarr
     count = np.diff(first)[full]
     doc, begin = np.repeat(np.arange(len(full)), count), first[:-1][full]
     theta, fit = _em(like, base, doc, begin, np.full((len(full), langs), 1 / langs, np.float32), ROUNDS)
-    # languages without half a word of support go at once; their likelihood share is nothing
-    active = theta * count[:, None] >= 0.5
-    active[np.arange(len(full)), theta.argmax(axis=1)] = True
+    weak = theta.argsort(axis=1)
+    support = np.cumsum(np.take_along_axis(theta, weak, axis=1) * count[:, None], axis=1)
+    active = np.ones_like(theta, bool)
+    np.put_along_axis(active, weak, support >= 0.5, axis=1)
     cost = PENALTY * np.log(count + 1)
     open_ = np.flatnonzero(active.sum(axis=1) > 1)
     best = fit - cost * active.sum(axis=1)
@@ -177,8 +192,10 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
     """All columns of ``docs`` with lang_pred and score after them; no shuffle.
 
     ``keep='known'`` returns only documents with a language, without the new columns.
-    An input column named lang_pred or score must be renamed first unless ``keep`` is given.
+    Input columns named lang_pred or score are replaced unless ``keep`` is given.
     """
+    if not keep:
+        docs = docs.drop(*(c for c in docs.columns if c.lower() in ("lang_pred", "score") and c != text))
     model = docs.sparkSession.sparkContext.broadcast((names, logp))
     schema = docs.schema
 

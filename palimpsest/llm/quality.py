@@ -5,11 +5,13 @@ shares of character classes and of kinds of words and encoded by one layer; gate
 attention (tanh times sigmoid, softmax over the bag) weighs the encoded passages, and
 a logistic layer scores the weighted sum.  All weights are learned from document
 labels alone.  Training takes at most ``SAMPLE`` labelled documents, those with the
-least hash of their id; scoring is one pass without a shuffle.
+least hash of their id, and of each at most ``BAG`` passages, evenly spread over the
+text; scoring takes every passage and is one pass without a shuffle.
 
 Defined results: null, empty and blank texts are one empty passage; a document with
-several labels counts with the highest; null labels are left out; with no label at all
-every score is 0.5; very long texts have as many passages as they need.
+several labels counts with the highest, and of several texts under one id one is learned
+from; null labels and ids are left out; with no label at all every score is 0.5; very
+long texts have as many passages as they need.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from .common import id_text, text_blocks, word_hashes, words
 
 PASSAGE = 50
 SAMPLE = 8_000
+BAG = 64
 THRESHOLD = 0.3
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b";:", b"!", b"?", b"'\"`", b"()[]{}", b"|", b"#", b"$", b"%", b"&", b"*", b"@", b"<>", b"/\\", b"=+_~^", b"-"]
 _CLASS = np.full(256, len(_GROUPS), np.int64)
@@ -144,12 +147,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str
     def run(batches):
         ids = np.fromiter(want.value, np.int64, len(want.value))
         for b in batches:
-            b = b.filter(pa.array(np.isin(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False), ids))) if len(ids) else b.slice(0, 0)
+            b = b.filter(pa.array(np.isin(b.column(0).to_numpy(zero_copy_only=False), ids))) if len(ids) else b.slice(0, 0)
             for rows, data, off in text_blocks(iter([b])):
                 x, bag = passages(data, off)
-                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([x[a:z].astype(np.float16).tobytes() for a, z in zip(bag[:-1], bag[1:], strict=True)], pa.binary())], names=["doc_id", "x"])
+                spread = [x[a + np.unique(np.linspace(0, z - a - 1, min(BAG, z - a)).astype(np.int64))] for a, z in zip(bag[:-1], bag[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([v.astype(np.float16).tobytes() for v in spread], pa.binary())], names=["doc_id", "x"])
 
-    found = sorted(id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, x binary").collect())
+    bags = id_text(docs, doc_id, text).where("doc_id is not null").mapInArrow(run, "doc_id long, x binary")
+    found = sorted(bags.groupBy("doc_id").agg(F.min("x").alias("x")).collect())
     x = [np.frombuffer(r.x, np.float16).reshape(-1, FEATURES) for r in found]
     bag = np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int64)
     return AttentionBags(np.concatenate(x).astype(np.float64) if x else np.zeros((0, FEATURES)), bag, np.array([want.value[r.doc_id] for r in found], float))

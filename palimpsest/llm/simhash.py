@@ -232,8 +232,7 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
             yield done(left)
 
     dealt = distinct.select("fp").mapInArrow(deal, "tile long, piece int, side byte, fp long")
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), 1)
-    return dealt.repartition(n, "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(compare, "u long, v long")
+    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(compare, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,12 +249,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", te
 def one_of_each(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """All columns of one document of each component: the one with the least doc_id.
 
-    Rows of equal id and text are one document; of different texts under one id in a component the first stays.
+    Rows of one id are documents of their own; of such in a component one stays.  A null id comes last.
     """
-    rows, ties = numbered(docs, doc_id, text, rest=True)
-    if not ties:
-        keep = near_duplicates(docs, radius, doc_id, text).where("doc_id = component_id").select(F.col("doc_id").alias("keep"))
-        return docs.join(keep, F.col(f"`{doc_id}`") == F.col("keep"), "left_semi")
-    keep = near_duplicates(rows.select("uid", "text"), radius, "uid", "text").where("doc_id = component_id").select(F.col("doc_id").alias("uid")).distinct()
-    first = rows.join(keep, "uid").groupBy("uid").agg(F.first("rest").alias("rest"))
-    return first.select("rest.*")
+    rows = numbered(docs, doc_id, text, rest=True)
+    found = near_duplicates(rows.select("uid", "text"), radius, "uid", "text").select(F.col("doc_id").alias("uid"), "component_id")
+    keep = rows.select("uid", "rank").join(found, "uid").groupBy("component_id").agg(F.min(F.struct("rank", "uid")).alias("first")).select("first.uid")
+    names = [F.when(~F.col("void"), F.col("text")).alias(c) if c == text else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
+    return rows.join(keep, "uid", "left_semi").select(*names)

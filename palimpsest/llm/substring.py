@@ -188,7 +188,7 @@ def _subtrees(kind: Kind):
 
 
 def _resolve(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    dealt = fetch(asked, docs).mapInArrow(_deal(kind, buckets), "bucket int, part int, rows binary, uid long, begin int, stop int")
+    dealt = fetch(asked, docs, buckets).mapInArrow(_deal(kind, buckets), "bucket int, part int, rows binary, uid long, begin int, stop int")
     return by_bucket(dealt, buckets).sortWithinPartitions("part").mapInArrow(_subtrees(kind), SPANS)
 
 

@@ -303,7 +303,7 @@ def _combine(kind: Kind) -> callable:
 def _resolve(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     cuts = splitters(asked, docs, kind, buckets)
     shared_cuts = docs.sparkSession.sparkContext.broadcast(cuts)
-    sent = fetch(asked, docs).mapInArrow(_sort(kind, shared_cuts), "bucket int, run binary, uid long, begin int, stop int")
+    sent = fetch(asked, docs, buckets).mapInArrow(_sort(kind, shared_cuts), "bucket int, run binary, uid long, begin int, stop int")
     return by_bucket(sent, len(cuts) + 1).mapInArrow(_combine(kind), SPANS)
 
 
