@@ -367,6 +367,22 @@ def suffixes(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[tuple[int, i
         yield batch.column("uid")[k].as_py(), batch.column("rank")[k].as_py(), np.frombuffer(raw, np.uint8), pieces()
 
 
+def parted(asked: DataFrame, heavy: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
+    """Suffixes whose prefix is heavy, and the others."""
+    if many > SENT_KEYS:
+        return asked.join(heavy, "key", "left_semi"), asked.join(heavy, "key", "left_anti")
+    keys = asked.sparkSession.sparkContext.broadcast(np.array(sorted(r.key for r in heavy.collect()), np.int64))
+
+    def only(wanted: bool):
+        def run(batches):
+            for b in batches:
+                yield b.filter(pa.array(np.isin(b.column("key").to_numpy(), keys.value) == wanted))
+
+        return asked.mapInArrow(run, asked.schema)
+
+    return only(True), only(False)
+
+
 def _first_source(kind: Kind) -> Callable:
     def source(batches):
         for rows, data, off in text_blocks(batches, limit=kind.block):
@@ -416,8 +432,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
         asked, heavy = found.where("uid is not null"), found.where("uid is null").select("key")
         many = heavy.count() if kind.reach else 0  # a prefix that is the window has no surroundings
         if many:
-            heavy = F.broadcast(heavy) if many <= SENT_KEYS else heavy
-            more, asked = asked.join(heavy, "key", "left_semi"), asked.join(heavy, "key", "left_anti")
+            more, asked = parted(asked, heavy, many)
         if not asked.isEmpty():
             spans = spans.unionByName(resolve(asked, docs, kind, buckets))
         if not many:

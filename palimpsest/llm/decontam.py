@@ -170,8 +170,7 @@ class Seeds:
             self.need[i] = max(1, 1 + take - least)
             order = order[:take][n[order[:take]] > 0]
             gram.append(own[order]), item.append(np.full(len(order), i)), which.append(order)
-        gram, item, which = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (gram, item, which))
-        gram = gram.astype(np.uint64)
+        gram, item, which = (np.concatenate([*x, np.zeros(0, t)]).astype(t) for x, t in ((gram, np.uint64), (item, np.int64), (which, np.int64)))
         order = np.lexsort((item, gram))
         self.wanted = Wanted(np.unique(gram))
         self.width = int(which.max()) + 1 if len(which) else 1

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_components
 from .anchors import numbered
-from .common import id_text, lowered, stored, text_blocks, words
+from .common import bucket_count, id_text, lowered, stored, text_blocks, words
 
 SEGMENTS = 4
 TILE = 1 << 14
