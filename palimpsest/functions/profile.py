@@ -50,6 +50,10 @@ def printable_ratio(data: pd.Series) -> pd.Series:
     return pd.Series([printable_of(x) for x in data], dtype="float64")
 
 
+#: Windows counted at once.
+BLOCK = 1 << 13
+
+
 def window_entropies(data: bytes, window: int, step: int) -> tuple[np.ndarray, np.ndarray]:
     """Starts and entropies of the windows; the last is cut at the end.  ``step`` divides ``window``."""
     n = len(data)
@@ -57,14 +61,18 @@ def window_entropies(data: bytes, window: int, step: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0)
     count = 1 + -(-max(0, n - window) // step)
     x = np.frombuffer(data, np.uint8)
-    cells = np.bincount(np.arange(n) // step * 256 + x, minlength=(count + window // step) * 256).reshape(-1, 256)
-    total = np.cumsum(np.concatenate([np.zeros((1, 256), np.int64), cells]), axis=0)
     k = window // step
-    c = total[k : k + count] - total[:count]
+    table = np.arange(window + 1) * np.log2(np.maximum(np.arange(window + 1), 1))
     start = np.arange(count) * step
     size = np.minimum(start + window, n) - start
-    table = np.arange(window + 1) * np.log2(np.maximum(np.arange(window + 1), 1))
-    return start, four(np.maximum(0.0, np.log2(size) - table[c].sum(axis=1) / size))
+    own = np.empty(count)
+    for lo in range(0, count, BLOCK):
+        m = min(BLOCK, count - lo)
+        part = x[lo * step : (lo + m - 1 + k) * step]
+        cells = np.bincount(np.arange(len(part)) // step * 256 + part, minlength=(m + k) * 256).reshape(-1, 256).astype(np.int32)
+        total = np.cumsum(np.concatenate([np.zeros((1, 256), np.int32), cells]), axis=0, dtype=np.int32)
+        own[lo : lo + m] = table[total[k : k + m] - total[:m]].sum(axis=1)
+    return start, four(np.maximum(0.0, np.log2(size) - own / size))
 
 
 def entropy_windows(df: DataFrame, data: str = "data", keys: tuple[str, ...] = ("id",), s: Settings = DEFAULT) -> DataFrame:
@@ -88,14 +96,18 @@ def entropy_windows(df: DataFrame, data: str = "data", keys: tuple[str, ...] = (
 _PROFILE = T.StructType([T.StructField(n, T.LongType() if n == "n_windows" else T.DoubleType()) for n in ("entropy", "printable_ratio", "n_windows", "low", "high")])
 
 
-@F.pandas_udf(_PROFILE)
-def byte_profile(data: pd.Series) -> pd.DataFrame:
+def byte_profile(data: Column, s: Settings = DEFAULT) -> Column:
     """Everything the classification needs, in one pass over the bytes."""
-    rows = []
-    for x in data:
-        _, h = window_entropies(x or b"", DEFAULT.window, DEFAULT.step)
-        rows.append((entropy_of(x), printable_of(x), len(h), float(h.min()) if len(h) else 0.0, float(h.max()) if len(h) else 0.0))
-    return pd.DataFrame(rows, columns=["entropy", "printable_ratio", "n_windows", "low", "high"])
+
+    @F.pandas_udf(_PROFILE)
+    def profile(data: pd.Series) -> pd.DataFrame:
+        rows = []
+        for x in data:
+            _, h = window_entropies(x or b"", s.window, s.step)
+            rows.append((entropy_of(x), printable_of(x), len(h), float(h.min()) if len(h) else 0.0, float(h.max()) if len(h) else 0.0))
+        return pd.DataFrame(rows, columns=["entropy", "printable_ratio", "n_windows", "low", "high"])
+
+    return profile(data)
 
 
 def characterization(p: Column, s: Settings = DEFAULT) -> Column:
@@ -114,5 +126,5 @@ def characterization(p: Column, s: Settings = DEFAULT) -> Column:
 
 def characterize(df: DataFrame, data: str = "data", s: Settings = DEFAULT) -> DataFrame:
     """``df`` with entropy, printable_ratio, n_windows, characterization."""
-    df = df.withColumn("profile", byte_profile(F.col(data)))
+    df = df.withColumn("profile", byte_profile(F.col(data), s))
     return df.select("*", "profile.entropy", "profile.printable_ratio", "profile.n_windows", characterization(F.col("profile"), s).alias("characterization")).drop("profile")

@@ -14,10 +14,10 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .formats import rar_blocks
+from .intervals import running_offset
 
 DEFAULT_LENGTH = 4096
 MB = 1 << 20
@@ -310,5 +310,6 @@ def carve(chunks: DataFrame) -> DataFrame:
 
     found = chunks.select("source", "chunk_start", "own", "total_size", "data").mapInArrow(run, FRAGMENT)
     found = found.dropDuplicates(["source", "offset", "length", "type_hint"])
-    seq = F.row_number().over(W.partitionBy("source").orderBy("offset", "length", "type_hint"))
-    return found.withColumn("seq", seq.cast("bigint")).withColumn("id", F.format_string("F%04d", "seq")).withColumn("end_offset", F.col("offset") + F.col("length"))
+    # numbered in ranges of (source, offset): no image is sorted in one task
+    found = running_offset(found.withColumn("place", F.struct("offset", "length", "type_hint")).withColumn("one", F.lit(1)), "source", "place", "one", "before").withColumn("seq", F.col("before") + 1).drop("place", "one", "before")
+    return found.withColumn("id", F.format_string("F%04d", "seq")).withColumn("end_offset", F.col("offset") + F.col("length"))

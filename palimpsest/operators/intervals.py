@@ -70,9 +70,14 @@ def running_offset(df: DataFrame, group: str, order: str, size: str, name: str =
 
 
 def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """``df`` with its place from 1 in a total order, without sorting everything in one task."""
+    """``df`` with its place from 1 in a total order, without sorting everything in one task.
+
+    ``df`` is written first: the sample that cuts the ranges would compute it once more.
+    """
     from ..storage import stored
 
+    df = stored(df, "unranked")
+
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     cut = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "ranked")

@@ -41,8 +41,15 @@ def hashed_counts(text: str, dim: int = DEFAULT.dimension) -> np.ndarray:
     if not text.strip():
         return out
     tokens = [w.lower().encode("utf-8", "replace") for w in text.split()]
-    tokens += [text[i : i + 3].lower().encode("utf-8", "replace") for i in range(len(text) - 2)]
-    np.add.at(out, (fnv1a(tokens) % np.uint64(dim)).astype(np.int64), 1.0)
+    if text.isascii():
+        x = np.frombuffer(text.lower().encode(), np.uint8).astype(np.uint64)
+        h = np.full(max(len(x) - 2, 0), _FNV_START)
+        for k in range(3):
+            h = ((h ^ x[k : k + len(h)]) * _FNV_PRIME) & _MASK
+        out += np.bincount((h % np.uint64(dim)).astype(np.int64), minlength=dim)
+    else:
+        tokens += [text[i : i + 3].lower().encode("utf-8", "replace") for i in range(len(text) - 2)]
+    out += np.bincount((fnv1a(tokens) % np.uint64(dim)).astype(np.int64), minlength=dim)
     return out
 
 
@@ -107,10 +114,23 @@ def pair_vectors(df: DataFrame, id_: str = "id", data: str = "data", dim: int =
             full = np.flatnonzero(np.abs(out).sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(list(out[full]), pa.list_(pa.float64()))], names=["pair", "row"])
 
-        parts = rows.mapInArrow(run, "pair long, row array<double>").groupBy("pair").agg(F.collect_list("row").alias("rows")).collect()
+        def add(batches):
+            out: dict[int, np.ndarray] = {}
+            for b in batches:
+                width = basis.shape[1]
+                values = b.column(1).values.to_numpy().reshape(-1, width) if width else np.zeros((b.num_rows, 0))
+                for p, v in zip(b.column(0).to_pylist(), values, strict=True):
+                    if p in out:
+                        out[p] += v
+                    else:
+                        out[p] = v.copy()
+            yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.list_(pa.float64()))], names=["pair", "row"])
+
+        # a row a pair reaches the driver, whatever the number of tasks
+        parts = rows.mapInArrow(run, "pair long, row array<double>").repartition("pair").mapInArrow(add, "pair long, row array<double>").collect()
         out = np.zeros_like(basis)
         for r in parts:
-            out[r["pair"]] = np.sum(np.array(sorted(r["rows"])), axis=0)
+            out[r["pair"]] = r["row"]
         return out
 
     basis = np.zeros((1 << 16, 0))
@@ -191,7 +211,7 @@ def top_k(base: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id",
                 s[ids[:, None] == own[None, :]] = -2
                 best_s = np.concatenate([best_s, s], axis=1)
                 best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                keep = np.stack([np.lexsort((i_, -s_))[:k] for s_, i_ in zip(best_s, best_i, strict=True)])
+                keep = np.lexsort((best_i, -best_s), axis=1)[:, :k]
                 best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
             ok = best_s.ravel() > -2
             rows = np.repeat(ids, best_s.shape[1])[ok]

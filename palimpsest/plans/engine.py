@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import scoring, sensitivity
@@ -44,9 +43,8 @@ class Engine:
         t = self.tables
         found = carving.carve(ev.chunked(t["evidence"]))
         # ids are numbers within a source; across sources fragments are told apart by a key
-        seq = F.row_number().over(W.partitionBy("source").orderBy("offset", "length", "type_hint"))
         sources = intervals.global_rank(found.select("source").distinct(), [F.asc("source")], "source_no")
-        t["fragments"] = stored(found.withColumn("seq", seq).join(sources, "source").withColumn("seq", (F.shiftleft(F.col("source_no").cast("bigint"), 40) + F.col("seq")).cast("bigint")), "fragments")
+        t["fragments"] = stored(found.join(sources, "source").withColumn("seq", (F.shiftleft(F.col("source_no").cast("bigint"), 40) + F.col("seq")).cast("bigint")), "fragments")
 
     def profile(self) -> None:
         t = self.tables

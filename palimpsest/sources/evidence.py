@@ -53,13 +53,27 @@ def chunked(evidence: DataFrame, source: str = "source_path", content: str = "co
     size = F.octet_length(content).cast("bigint")
     starts = evidence.where(size > 0).select(F.col(source).alias("source"), F.col(content).alias("content"), size.alias("total_size"), F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1, F.lit(chunk).cast("bigint"))).alias("chunk_start"))
     own = F.least(F.lit(chunk).cast("bigint"), F.col("total_size") - F.col("chunk_start"))
-    return starts.select("source", "chunk_start", own.alias("own"), "total_size", F.expr(f"substring(content, int(chunk_start + 1), {chunk + overlap})").alias("data"))
+    # the chunks of one image go to many tasks
+    return starts.repartition(F.col("source"), F.col("chunk_start")).select("source", "chunk_start", own.alias("own"), "total_size", F.expr(f"substring(content, int(chunk_start + 1), {chunk + overlap})").alias("data"))
 
 
 def fragment_bytes(fragments: DataFrame, evidence: DataFrame, source: str = "source_path", content: str = "content") -> DataFrame:
-    """``fragments`` with their bytes (data); null where the source is missing."""
-    images = evidence.select(F.col(source).alias("source"), F.col(content).alias("image"))
-    return fragments.join(images, "source", "left").withColumn("data", F.expr("substring(image, int(offset + 1), int(length))")).drop("image")
+    """``fragments`` with their bytes (data); null where the source is missing.
+
+    Fragments meet the chunks of their image that they touch, by image and chunk number, and put the
+    pieces together: no image is copied for each of its fragments, and a large one is read by many
+    tasks.  What is beyond an image's end is left out; equal fragment rows count once.
+    """
+    keys = fragments.withColumn("fragment_row", F.struct(*fragments.columns)).select("fragment_row", "source", "offset", F.col("length").alias("n"))
+    first, last = F.floor(F.col("offset") / CHUNK), F.floor((F.col("offset") + F.greatest(F.col("n"), F.lit(1)) - 1) / CHUNK)
+    asked = keys.withColumn("chunk", F.explode(F.sequence(first, last)))
+    chunks = chunked(evidence, source, content, CHUNK, 0).select("source", F.floor(F.col("chunk_start") / CHUNK).alias("chunk"), F.col("data").alias("piece"))
+    begin = F.greatest(F.col("offset") - F.col("chunk") * CHUNK, F.lit(0))
+    size = F.col("offset") + F.col("n") - F.greatest(F.col("offset"), F.col("chunk") * CHUNK)
+    part = F.when(F.col("piece").isNotNull(), F.substring("piece", (begin + 1).cast("int"), F.least(size, F.lit(CHUNK).cast("bigint")).cast("int")))
+    parts = asked.join(chunks, ["source", "chunk"], "left").groupBy("fragment_row").agg(F.sort_array(F.collect_set(F.struct("chunk", part.alias("part")))).alias("parts"))
+    there = F.filter("parts", lambda x: x["part"].isNotNull())
+    return parts.select("fragment_row.*", F.when(F.size(there) > 0, F.aggregate(there, F.lit(b""), lambda a, x: F.concat(a, x["part"]))).alias("data"))
 
 
 def extension(kind: Column) -> Column:
@@ -96,11 +110,15 @@ class ResultCache:
 
     def load(self, sha256: str) -> DataFrame | None:
         """The stored result, or None where there is none or it can't be read."""
+        from py4j.protocol import Py4JJavaError
         from pyspark.errors import AnalysisException
+        from pyspark.errors import PySparkException as SparkException
 
         try:
-            return self.spark.read.parquet(self._place(sha256))
-        except AnalysisException:
+            found = self.spark.read.parquet(self._place(sha256))
+            found.write.format("noop").mode("overwrite").save()  # a damaged file shows only when it is read
+            return found
+        except (AnalysisException, Py4JJavaError, SparkException):
             return None
 
     def invalidate(self, sha256: str) -> None:
