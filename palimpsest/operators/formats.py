@@ -19,6 +19,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -500,7 +501,18 @@ def validate_archive(data: pd.Series) -> pd.DataFrame:
     return _frame([ARCHIVES[k](x) if k else no("No archive format") for k, x in found])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("format", T.StringType())])))
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("offset", T.LongType()), T.StructField("format", T.StringType()), T.StructField("structure", _OUT)])))
 def nested_archives(data: pd.Series) -> pd.Series:
-    """Archives that start at multiples of 512 bytes within."""
-    return pd.Series([[{"offset": o, "format": k} for o in range(512, len(x or b"") - 511, 512) if (k := archive_kind(x, o))] for x in data])
+    """Archives that start at multiples of 512 bytes within, with what their adapter finds there."""
+
+    def inside(x: bytes) -> list[dict]:
+        found = [(o, k) for o in range(512, len(x), 512) if (k := archive_kind(x, o))]
+        return [{"offset": o, "format": k, "structure": vars(ARCHIVES[k](x[o:]))} for o, k in found]
+
+    return pd.Series([inside(x or b"") for x in data])
+
+
+def nested(candidates: DataFrame, id_: str = "candidate_id", content: str = "content") -> DataFrame:
+    """A row for each archive within a candidate: parent_id, offset, format, state, members, completeness."""
+    found = candidates.select(F.col(id_).alias("parent_id"), F.explode(nested_archives(F.coalesce(F.col(content), F.lit(b"")))).alias("n"))
+    return found.select("parent_id", "n.offset", "n.format", "n.structure.state", "n.structure.members", "n.structure.completeness")

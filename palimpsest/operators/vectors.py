@@ -68,6 +68,21 @@ def pair_counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique((x[:-1] << 8) | x[1:], return_counts=True) if len(x) > 1 else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
+def pair_frequencies(rows: DataFrame) -> DataFrame:
+    """(pair, n): in how many of the byte strings (one column) each pair occurs; pair -1 counts the strings."""
+
+    def run(batches):
+        total, n = np.zeros(1 << 16, np.int64), 0
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                n += 1
+                total[pair_counts(x or b"")[0]] += 1
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(total[full], n))], names=["pair", "n"])
+
+    return rows.mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
 def pair_vectors(df: DataFrame, id_: str = "id", data: str = "data", dim: int = DEFAULT.dimension) -> DataFrame:
     """(id, vector) of binary fragments: byte pairs, tf * (ln((N+1)/(df+1)) + 1), projected on the leading singular vectors.
 
@@ -80,16 +95,7 @@ def pair_vectors(df: DataFrame, id_: str = "id", data: str = "data", dim: int =
     context = df.sparkSession.sparkContext
     rows = df.select(F.col(id_).alias("id"), F.coalesce(F.col(data).cast("binary"), F.lit(b"")).alias("data"))
 
-    def frequency(batches):
-        total, n = np.zeros(1 << 16, np.int64), 0
-        for b in batches:
-            for x in b.column(1).to_pylist():
-                n += 1
-                total[pair_counts(x)[0]] += 1
-        full = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(full, -1)), pa.array(np.append(total[full], n))], names=["pair", "n"])
-
-    found = rows.mapInArrow(frequency, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()
+    found = pair_frequencies(rows.select("data")).toPandas()
     n = int(found.loc[found["pair"] == -1, "n"].sum())
     seen = found[found["pair"] >= 0]
     idf = np.zeros(1 << 16)

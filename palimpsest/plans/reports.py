@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import io
+import sqlite3
+import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.profile import round4
+from ..operators.formats import nested_archives
 
 
 def hex_preview(df: DataFrame, key: str, data: str = "data", width: int = 16) -> DataFrame:
@@ -41,6 +47,61 @@ def summary_lines(ranked: DataFrame) -> DataFrame:
     return ranked.select("rank", line.alias("line"))
 
 
+def summary_header(ranked: DataFrame, evidence: dict, fragments: int, clusters: int, seconds: float) -> list[str]:
+    """Lines before the candidates': evidence (source_path, size_bytes, sha256), counts of what was found, one aggregate over the candidates."""
+    t = overview(ranked).first()
+    valid = ranked.where("structural_validity >= 1").count()
+    return [
+        f"Evidence: {evidence['source_path']}, {evidence['size_bytes']:,} bytes, SHA-256 {evidence['sha256']}", f"Duration: {seconds:.2f} s", f"Fragments: {fragments}", f"Clusters: {clusters}",
+        f"Candidates: {t.candidates}", f"Structurally valid: {valid}", f"Sensitive: {t.sensitive}", f"High priority: {t.high_priority}", *([] if t.candidates else ["No candidates from this evidence."]),
+    ]
+
+
+def archive_report(ranked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """One row of archive results: what was carved, rebuilt, complete, partial, invalid, nested or out of order (braided)."""
+    kinds = ("zip", "tar", "7z", "rar", "wim", "gz", "bz2")
+    carved = nodes.where(F.col("type_hint").isin(*kinds)).agg(F.count("*").alias("carved_archive_fragments"), F.array_join(F.array_sort(F.collect_set("type_hint")), ",").alias("archive_types"))
+    ids = F.col("fragment_ids")
+    good = F.col("is_successfully_recovered")
+    whole = ranked.where(F.col("file_type").isin(*kinds)).agg(
+        F.count("*").alias("archive_reconstructions"), F.count_if(good & (F.col("stage5_structural_validity") >= 1)).alias("complete"), F.count_if(good & (F.col("stage5_structural_validity") < 1)).alias("partial"), F.count_if(~good).alias("invalid"),
+        F.count_if(F.size(nested_archives(F.col("content"))) > 0).alias("nested"), F.count_if((F.size(ids) > 1) & (ids != F.array_sort(ids))).alias("braided"),
+    )
+    return carved.crossJoin(whole)  # a row each
+
+
+_LISTED = T.ArrayType(T.StructType([T.StructField("entry", T.StringType()), T.StructField("position", T.IntegerType()), T.StructField("size", T.LongType()), T.StructField("detail", T.StringType())]))
+
+
+@F.pandas_udf(_LISTED)
+def _listed(kind: pd.Series, data: pd.Series) -> pd.Series:
+    def one(k: str, x: bytes) -> list[dict]:
+        try:
+            if k == "zip":
+                with zipfile.ZipFile(io.BytesIO(x)) as z:
+                    return [{"entry": i.filename, "position": n, "size": i.file_size, "detail": "member"} for n, i in enumerate(z.infolist(), 1)]
+            if k == "sqlite":
+                db = sqlite3.connect(":memory:")
+                db.deserialize(x)
+                tables = db.execute("SELECT name, sql FROM sqlite_master WHERE type = 'table' ORDER BY rowid").fetchall()
+                return [{"entry": t, "position": n, "size": db.execute('SELECT count(*) FROM "' + t.replace('"', '""') + '"').fetchone()[0], "detail": sql} for n, (t, sql) in enumerate(tables, 1)]
+        except (zipfile.BadZipFile, sqlite3.Error):
+            pass  # nothing to list in a damaged file
+        return []
+
+    return pd.Series([one(k, x or b"") for k, x in zip(kind, data, strict=True)])
+
+
+def listings(df: DataFrame, id_: str, kind: str = "file_type", data: str = "content") -> DataFrame:
+    """A row for each member of a ZIP archive (size in bytes) and each table of a SQLite file (size in rows); none for damaged files."""
+    return df.select(id_, F.explode(_listed(F.lower(F.col(kind)), F.col(data))).alias("e")).select(id_, "e.*")
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """Rows as JSON lines; text outside ASCII stays as it is."""
+    df.write.mode("overwrite").json(path)
+
+
 def narrative(ranked: DataFrame, top: int = 5, model: Callable[[dict], str] | None = None) -> str:
     """A factual account of a run from its totals and its first candidates.
 

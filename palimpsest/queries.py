@@ -138,6 +138,14 @@ def text_hash_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("n > 0").select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.col("n").cast("bigint").alias("n"))
 
 
+@query(f"""WITH b AS (SELECT page_id, hex(encode(html)) AS h FROM pages), p AS (SELECT DISTINCT page_id, substr(h, 2 * i + 1, 4) AS pair FROM (SELECT page_id, h, unnest(range(length(h) // 2 - 1)) AS i FROM b))
+SELECT CAST('0x' || pair AS BIGINT) AS pair, count(*) AS pages, {_round_sql("ln((n + 1)::DOUBLE / (count(*) + 1)) + 1")} AS idf FROM p, (SELECT count(*) AS n FROM pages) GROUP BY pair, n""")
+def byte_pair_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = vectors.pair_frequencies(table(spark, sf_dir, "pages").select(F.encode("html", "UTF-8").alias("data")))
+    n = found.where("pair < 0").select(F.col("n").alias("total"))
+    return found.where("pair >= 0").crossJoin(F.broadcast(n)).select("pair", F.col("n").alias("pages"), profile.round4(F.log((F.col("total") + 1) / (F.col("n") + 1)) + 1).alias("idf"))
+
+
 @query()
 def byte_pair_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("data"))
@@ -151,73 +159,86 @@ def embedded_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("label").cast("string").alias("source"), (F.col("vec_id") * 4096).alias("offset"), F.lit(4096).cast("bigint").alias("length"),
         F.element_at(F.array(F.lit("zip"), F.lit("jpeg"), F.lit("unknown")), (F.pmod("vec_id", F.lit(3)) + 1).cast("int")).alias("type_hint"),
-        F.when(F.pmod("vec_id", F.lit(2)) == 0, "text").otherwise("binary").alias("characterization"), (F.pmod("vec_id", F.lit(7)) == 0).alias("header_flag"), F.lit(None).cast("string").alias("group_id"),
+        F.when(F.pmod("vec_id", F.lit(2)) == 0, "text").otherwise("binary").alias("characterization"), (F.pmod("vec_id", F.lit(7)) == 0).alias("header_flag"),
+        F.when(F.pmod("vec_id", F.lit(4)) == 0, F.concat(F.lit("g"), F.floor(F.col("vec_id") / 20).cast("string"))).alias("group_id"), (F.pmod("vec_id", F.lit(11)) == 0).alias("extent_linked"),
         F.col("embedding").cast("array<double>").alias("vector"),
     )
 
 
-_FRAGMENTS_SQL = "frags AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS source, vec_id * 4096 AS o, CASE vec_id % 3 WHEN 0 THEN 'zip' WHEN 1 THEN 'jpeg' ELSE 'unknown' END AS kind, vec_id % 2 = 0 AS text, vec_id % 7 = 0 AS header, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL)"
+_FRAGMENTS_SQL = "frags AS (SELECT vec_id AS id, CAST(label AS VARCHAR) AS source, vec_id * 4096 AS o, CASE vec_id % 3 WHEN 0 THEN 'zip' WHEN 1 THEN 'jpeg' ELSE 'unknown' END AS kind, vec_id % 2 = 0 AS text, vec_id % 7 = 0 AS header, CASE WHEN vec_id % 4 = 0 THEN 'g' || (vec_id // 20) END AS grp, vec_id % 11 = 0 AS linked, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL)"
 _PAIRS_SQL = f"""{_FRAGMENTS_SQL},
-p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, a.header AND b.header AS headers, b.o - a.o - 4096 AS gap, {_round_sql("list_cosine_similarity(a.v, b.v)")} AS similarity, {_round_sql("exp(-greatest(b.o - a.o - 4096, 0) / 65536.0)")} AS offset_proximity,
-  CASE WHEN a.kind = b.kind AND a.kind <> 'unknown' THEN 1.0 WHEN a.text AND b.text THEN 0.85 WHEN a.kind = 'unknown' OR b.kind = 'unknown' THEN 0.20 ELSE 0.0 END AS type_match FROM frags a JOIN frags b ON a.source = b.source AND a.id < b.id AND b.id - a.id <= 31 AND b.o - a.o - 4096 <= {relations.reach()}),
+p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, a.source = b.source AS same, a.header AND b.header AS headers, coalesce(a.grp = b.grp, false) AS grouped, a.linked OR b.linked AS linked, greatest(b.o - a.o - 4096, 0) AS gap, {_round_sql("list_cosine_similarity(a.v, b.v)")} AS similarity, CASE WHEN a.source <> b.source THEN 0.0 ELSE {_round_sql("exp(-greatest(b.o - a.o - 4096, 0) / 65536.0)")} END AS offset_proximity,
+  CASE WHEN a.kind = b.kind AND a.kind <> 'unknown' THEN 1.0 WHEN a.text AND b.text THEN 0.85 WHEN a.kind = 'unknown' OR b.kind = 'unknown' THEN 0.20 ELSE 0.0 END AS type_match FROM frags a JOIN frags b ON a.id < b.id),
 m AS (SELECT *, {_round_sql("greatest(0, least(1, 0.6 / 1.0 * greatest(0, similarity) + 0.2 / 1.0 * offset_proximity + 0.2 / 1.0 * type_match))")} AS edge_weight FROM p)"""
-_BASIS_SQL = "CASE WHEN ka = 'zip' AND kb = 'zip' AND gap = 0 THEN 'ARCHIVE_STRUCTURAL_CONTINUITY' WHEN ka = 'zip' AND kb = 'zip' THEN 'ARCHIVE_SAME_CONTAINER' WHEN offset_proximity >= 0.5 AND type_match >= 0.8 THEN 'STRUCTURAL_SPATIAL' ELSE 'HEURISTIC_SIMILARITY' END"
-_TYPE_SQL = "CASE WHEN ka = 'zip' AND kb = 'zip' AND gap = 0 THEN 'MUST_FOLLOW' WHEN ka = 'zip' AND kb = 'zip' THEN 'SAME_ARCHIVE' ELSE 'MAY_FOLLOW' END"
+_BASIS_SQL = "CASE WHEN ka = 'zip' AND kb = 'zip' AND gap = 0 THEN 'ARCHIVE_STRUCTURAL_CONTINUITY' WHEN ka = 'zip' AND kb = 'zip' THEN 'ARCHIVE_SAME_CONTAINER' WHEN offset_proximity >= 0.5 AND type_match >= 0.8 THEN 'STRUCTURAL_SPATIAL' WHEN linked THEN 'FILESYSTEM_EXTENT' ELSE 'HEURISTIC_SIMILARITY' END"
+_TYPE_SQL = "CASE WHEN ka = 'zip' AND kb = 'zip' AND gap = 0 THEN 'MUST_FOLLOW' WHEN ka = 'zip' AND kb = 'zip' THEN 'SAME_ARCHIVE' WHEN linked AND NOT (offset_proximity >= 0.5 AND type_match >= 0.8) THEN 'SAME_MEMBER' ELSE 'MAY_FOLLOW' END"
+
+
+def _two_sql(x: str) -> str:
+    return f"printf('%.2f', floor(({x}) * 100 + 0.5 + 1e-9) / 100)"
+
 
+_REASON_SQL = f"""coalesce(nullif(concat_ws(', ', CASE WHEN ka = 'zip' AND kb = 'zip' THEN 'archive ZIP structural continuity' END,
+  CASE WHEN similarity >= 0.7 THEN 'high vector similarity (' || {_two_sql("similarity")} || ')' WHEN similarity >= 0.4 THEN 'moderate vector similarity (' || {_two_sql("similarity")} || ')' END,
+  CASE WHEN offset_proximity >= 0.8 THEN 'close offset proximity' END, CASE WHEN type_match >= 0.8 THEN 'compatible type (' || ka || ')' END), ''), 'composite signal correlation')"""
 
-@query(f"WITH {_PAIRS_SQL} SELECT a AS source_id, b AS target_id, similarity, offset_proximity, CAST(type_match AS DOUBLE) AS type_match, edge_weight, {_BASIS_SQL} AS relationship_basis, {_TYPE_SQL} AS relationship_type FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50")
+
+@query(f"WITH {_PAIRS_SQL} SELECT a AS source_id, b AS target_id, similarity, offset_proximity, CAST(type_match AS DOUBLE) AS type_match, edge_weight, {_BASIS_SQL} AS relationship_basis, {_TYPE_SQL} AS relationship_type, {_REASON_SQL} AS reason FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50")
 def fragment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.edges(relations.near_pairs(embedded_fragments(spark, sf_dir))).drop("reason")
+    """All fragments as one evidence: an edge joins any two of them, at any distance."""
+    return relations.edges(relations.close_pairs(embedded_fragments(spark, sf_dir)))
 
 
 @query(f"WITH {_PAIRS_SQL} SELECT {_BASIS_SQL} AS relationship_basis, count(*) AS n, {_round_sql('avg(edge_weight)')} AS mean_weight FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50 GROUP BY 1")
 def edge_basis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = relations.edges(relations.near_pairs(embedded_fragments(spark, sf_dir)))
+    e = fragment_edges(spark, sf_dir)
     return e.groupBy("relationship_basis").agg(F.count("*").alias("n"), profile.round4(F.avg("edge_weight")).alias("mean_weight"))
 
 
-_ALL_PAIRS_SQL = f"""{_FRAGMENTS_SQL},
-p AS (SELECT a.id AS a, b.id AS b, a.kind AS ka, b.kind AS kb, greatest(b.o - a.o - 4096, 0) AS gap, {_round_sql("list_cosine_similarity(a.v, b.v)")} AS similarity, CASE WHEN a.source <> b.source THEN 0.0 ELSE {_round_sql("exp(-greatest(b.o - a.o - 4096, 0) / 65536.0)")} END AS offset_proximity,
-  CASE WHEN a.kind = b.kind AND a.kind <> 'unknown' THEN 1.0 WHEN a.text AND b.text THEN 0.85 WHEN a.kind = 'unknown' OR b.kind = 'unknown' THEN 0.20 ELSE 0.0 END AS type_match FROM frags a JOIN frags b ON a.id < b.id),
-m AS (SELECT *, {_round_sql("greatest(0, least(1, 0.6 / 1.0 * greatest(0, similarity) + 0.2 / 1.0 * offset_proximity + 0.2 / 1.0 * type_match))")} AS edge_weight FROM p)"""
+#: Random vectors are nearly orthogonal: a wider radius than the engine's lets type and place form clusters.
+LOOSE = Settings(eps=0.62)
+DENSE = Settings(eps=0.62, min_samples=4)
 
 
-@query(f"WITH {_ALL_PAIRS_SQL} SELECT a AS source_id, b AS target_id, similarity, offset_proximity, CAST(type_match AS DOUBLE) AS type_match, edge_weight, {_BASIS_SQL} AS relationship_basis, {_TYPE_SQL} AS relationship_type FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50")
-def whole_fragment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.edges(relations.close_pairs(embedded_fragments(spark, sf_dir))).drop("reason")
+def _near_sql(eps: float, samples: int = 2) -> str:
+    """Clusters (id, label): cores with their neighbours; a border point goes to the first cluster that reaches it."""
+    return f"""{_PAIRS_SQL}, near AS (SELECT a AS u, b AS v FROM m WHERE same AND CASE WHEN type_match <= 0 OR headers OR offset_proximity < 0.15 THEN 1.0 WHEN grouped THEN 0.05 ELSE 1.0 - edge_weight END <= {eps}),
+every AS (SELECT u, v FROM near UNION SELECT v, u FROM near), cores AS (SELECT u FROM every GROUP BY u HAVING count(*) + 1 >= {samples}),
+both_ AS (SELECT e.u, e.v FROM every e JOIN cores c ON c.u = e.u JOIN cores d ON d.u = e.v),
+reached(u, r) AS (SELECT u, u FROM cores UNION SELECT b.v, reached.r FROM reached JOIN both_ b ON b.u = reached.u WHERE b.v > reached.r),
+owned AS (SELECT u AS id, min(r) AS label FROM reached GROUP BY u),
+labels AS (SELECT * FROM owned UNION ALL SELECT e.u, min(o.label) FROM every e JOIN owned o ON o.id = e.v WHERE e.u NOT IN (SELECT u FROM cores) GROUP BY e.u)"""
 
 
-@query(f"WITH {_ALL_PAIRS_SQL} SELECT {_BASIS_SQL} AS relationship_basis, count(*) AS n, {_round_sql('avg(edge_weight)')} AS mean_weight FROM m WHERE edge_weight >= 0.40 OR similarity >= 0.50 GROUP BY 1")
-def whole_edge_basis_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = relations.edges(relations.close_pairs(embedded_fragments(spark, sf_dir)))
-    return e.groupBy("relationship_basis").agg(F.count("*").alias("n"), profile.round4(F.avg("edge_weight")).alias("mean_weight"))
+@query(f"WITH RECURSIVE {_near_sql(0.62)} SELECT id, label FROM labels")
+def fragment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.clusters(embedded_fragments(spark, sf_dir), LOOSE)[0].select("id", "label")
 
 
-#: Random vectors are nearly orthogonal: a wider radius than the engine's lets type and place form clusters.
-LOOSE = Settings(eps=0.62)
-_NEAR_SQL = f"""{_PAIRS_SQL}, near AS (SELECT a AS u, b AS v FROM m WHERE NOT (type_match <= 0 OR headers OR offset_proximity < 0.15) AND 1.0 - edge_weight <= 0.62),
-both_ AS (SELECT u, v FROM near UNION SELECT v, u FROM near),
-reached(u, r) AS (SELECT u, u FROM both_ UNION SELECT b.v, reached.r FROM reached JOIN both_ b ON b.u = reached.u WHERE b.v > reached.r),
-labels AS (SELECT u AS id, min(r) AS label FROM reached GROUP BY u)"""
+@query(f"WITH RECURSIVE {_near_sql(0.30)} SELECT id, label FROM labels")
+def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the engine's own radius: carved extents of one group, and what is very alike."""
+    return relations.clusters(embedded_fragments(spark, sf_dir))[0].select("id", "label")
 
 
-@query(f"WITH RECURSIVE {_NEAR_SQL} SELECT id, label FROM labels")
-def fragment_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relations.clusters(embedded_fragments(spark, sf_dir), LOOSE)[0].select("id", "label")
+@query(f"WITH RECURSIVE {_near_sql(0.62, 4)} SELECT id, label FROM labels")
+def dense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.clusters(embedded_fragments(spark, sf_dir), DENSE)[0].select("id", "label")
 
 
-@query(f"WITH RECURSIVE {_NEAR_SQL} SELECT id FROM frags WHERE id NOT IN (SELECT id FROM labels)")
+@query(f"WITH RECURSIVE {_near_sql(0.62)} SELECT id FROM frags WHERE id NOT IN (SELECT id FROM labels)")
 def orphan_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.clusters(embedded_fragments(spark, sf_dir), LOOSE)[1]
 
 
-@query(f"""WITH RECURSIVE {_NEAR_SQL}, k AS (SELECT label, kind, count(*) AS n, min(id) AS f FROM labels JOIN frags USING (id) WHERE kind <> 'unknown' GROUP BY ALL),
+@query(f"""WITH RECURSIVE {_near_sql(0.62)}, k AS (SELECT label, kind, count(*) AS n, min(id) AS f FROM labels JOIN frags USING (id) WHERE kind <> 'unknown' GROUP BY ALL),
 best AS (SELECT label, kind FROM k QUALIFY row_number() OVER (PARTITION BY label ORDER BY n DESC, f) = 1),
-pair AS (SELECT x.label, avg(list_cosine_similarity(a.v, b.v)) AS c FROM labels x JOIN labels y ON x.label = y.label AND x.id < y.id JOIN frags a ON a.id = x.id JOIN frags b ON b.id = y.id GROUP BY x.label)
-SELECT l.label, count(*) AS members, coalesce(any_value(best.kind), 'unknown') AS inferred_type, {_round_sql("greatest(0.1, least(1.0, any_value(pair.c)))")} AS confidence FROM labels l LEFT JOIN best USING (label) LEFT JOIN pair USING (label) GROUP BY l.label""")
+pair AS (SELECT x.label, avg(list_cosine_similarity(a.v, b.v)) AS c FROM labels x JOIN labels y ON x.label = y.label AND x.id < y.id JOIN frags a ON a.id = x.id JOIN frags b ON b.id = y.id GROUP BY x.label),
+whole AS (SELECT l.label, count(*) AS members, coalesce(any_value(best.kind), 'unknown') AS inferred_type, {_round_sql("greatest(0.1, least(1.0, any_value(pair.c)))")} AS confidence, array_to_string(list(l.id ORDER BY l.id), ',') AS member_ids FROM labels l LEFT JOIN best USING (label) LEFT JOIN pair USING (label) GROUP BY l.label)
+SELECT *, members || ' fragments grouped (inferred type: ' || chr(39) || inferred_type || chr(39) || ') with mean intra-cluster vector similarity of ' || {_two_sql("confidence")} || ' (conservative DBSCAN eps=0.62)' AS reason FROM whole""")
 def cluster_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = embedded_fragments(spark, sf_dir)
-    return relations.roll_up(relations.clusters(f, LOOSE)[0], f, LOOSE).select("label", "members", "inferred_type", "confidence")
+    return relations.roll_up(relations.clusters(f, LOOSE)[0], f, LOOSE).select("label", "members", "inferred_type", "confidence", F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ",").alias("member_ids"), "reason")
 
 
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {_round_sql("list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))")} AS similarity,
@@ -322,11 +343,6 @@ def pii_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.matches(_texts(spark, sf_dir), "pii", keys=("doc_id",))
 
 
-@query(sensitivity.keyword_sql("documents", "doc_id"))
-def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensitivity.matches(_texts(spark, sf_dir), "keywords", keys=("doc_id",))
-
-
 @query(sensitivity.pii_sql("(SELECT page_id, url || ' ' || html AS text FROM pages)", "page_id"))
 def page_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.lit(" "), "html").alias("text"))
@@ -364,6 +380,11 @@ def derived_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sensitivity.matches(rows, "pii", keys=("c_custkey",)).unionByName(sensitivity.matches(rows, "keywords", keys=("c_custkey",)))
 
 
+@query(sensitivity.keyword_sql(_LETTERS_SQL, "c_custkey"))
+def keyword_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sensitivity.matches(letters(spark, sf_dir), "keywords", keys=("c_custkey",))
+
+
 def _levels_sql(source: str, key: str) -> str:
     return f"""found AS ({sensitivity.pii_sql(source, key)}
 UNION ALL {sensitivity.keyword_sql(source, key)}),
@@ -371,9 +392,14 @@ summed AS (SELECT {key}, list_sort(list_distinct(list(category))) AS cats, CAST(
 levels AS (SELECT s.{key}, coalesce(n, 0) AS match_count, coalesce(array_to_string(cats, ','), '') AS categories, coalesce(len(cats), 0) AS n_categories, {sensitivity.level_sql("coalesce(cats, [])", "coalesce(k, 0)")} AS sensitivity_level FROM {source} s LEFT JOIN summed USING ({key}))"""
 
 
-@query(f"WITH {_levels_sql(_LETTERS_SQL, 'c_custkey')} SELECT c_custkey, match_count, categories, sensitivity_level FROM levels")
+_EXPLAINED_SQL = """CASE WHEN sensitivity_level = 'NONE' OR match_count = 0 THEN 'No sensitive patterns or keywords detected in recovered candidate content. Classified as NONE.'
+  ELSE CASE sensitivity_level WHEN 'HIGH' THEN 'High' WHEN 'MEDIUM' THEN 'Medium' ELSE 'Low' END || ' sensitivity classification: Candidate contains ' || match_count || CASE WHEN sensitivity_level = 'LOW' THEN ' general identifier' ELSE ' potential sensitive' END
+  || ' pattern match(es) across ' || n_categories || CASE WHEN n_categories = 1 THEN ' category (' ELSE ' categories (' END || replace(categories, ',', ', ') || ')' || CASE WHEN sensitivity_level = 'HIGH' THEN ', indicating potential high-risk identifiers or credentials.' ELSE '.' END END"""
+
+
+@query(f"WITH {_levels_sql(_LETTERS_SQL, 'c_custkey')} SELECT c_custkey, match_count, categories, sensitivity_level, {_EXPLAINED_SQL} AS sensitivity_explanation FROM levels")
 def customer_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sensitivity.analyze(letters(spark, sf_dir)).select("c_custkey", "match_count", F.array_join("categories", ",").alias("categories"), "sensitivity_level")
+    return sensitivity.analyze(letters(spark, sf_dir)).select("c_custkey", "match_count", F.array_join("categories", ",").alias("categories"), "sensitivity_level", "sensitivity_explanation")
 
 
 @query(f"WITH {_levels_sql('documents', 'doc_id')} SELECT doc_id, match_count, categories, sensitivity_level FROM levels")
@@ -439,7 +465,15 @@ def text_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", "turn", reassemble.transition_column(F.col("text"), F.col("after"), F.col("turn"), F.col("next_turn")).alias("score"))
 
 
-@query()
+_RULE_SQL = "CASE WHEN t = '' OR h = '' THEN 0 WHEN t IN ('.', '!', '?') AND regexp_matches(h, '^\\p{Lu}$') THEN 2.0 WHEN t IN (',', ';', ':') AND regexp_matches(h, '^\\p{Ll}$') THEN 2.0 WHEN regexp_matches(t, '^[\\p{L}\\p{N}]$') AND regexp_matches(h, '^\\p{Ll}$') THEN 2.5 WHEN nl THEN 1.5 ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS x, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations QUALIFY n <= 6),
+g AS (SELECT conv_id, turn, n, right(regexp_replace(x, '\\s+$', ''), 1) AS t, substr(regexp_replace(x, '^\\s+', ''), 1, 1) AS h, suffix(x, chr(10)) AS nl FROM c),
+e AS (SELECT conv_id, i, j, CASE WHEN j >= i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + {_RULE_SQL} AS s FROM (SELECT a.conv_id, a.turn AS i, b.turn AS j, a.t, b.h, a.nl FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn <> b.turn)),
+p(conv_id, n, path, last, score) AS (SELECT conv_id, n, [turn], turn, 0.0::DOUBLE FROM g UNION ALL SELECT p.conv_id, n, list_append(path, j), j, score + s FROM p JOIN e ON e.conv_id = p.conv_id AND e.i = p.last AND NOT list_contains(path, j)),
+f AS (SELECT *, count(*) OVER (PARTITION BY conv_id, score) AS ties, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, path DESC) AS place FROM p WHERE len(path) = n)
+SELECT conv_id, array_to_string(path, ',') AS turns, score, ties > 1 AS ambiguous FROM f WHERE place = 1""")
 def text_order_small(spark: SparkSession, sf_dir: str) -> DataFrame:
     import pandas as pd
 
@@ -455,7 +489,8 @@ def text_order_small(spark: SparkSession, sf_dir: str) -> DataFrame:
                 rows.append((conv, [ids[i] for i in found], score, ties > 1))
             yield pd.DataFrame(rows, columns=["conv_id", "turns", "score", "ambiguous"])
 
-    return small.select("conv_id", "turns").mapInPandas(order, "conv_id long, turns array<long>, score double, ambiguous boolean")
+    found = small.select("conv_id", "turns").mapInPandas(order, "conv_id long, turns array<long>, score double, ambiguous boolean")
+    return found.withColumn("turns", F.array_join(F.transform("turns", lambda x: x.cast("string")), ","))
 
 
 @query("SELECT conv_id, array_to_string(list(turn ORDER BY turn), ',') AS turns, sha256(string_agg(coalesce(text, ''), '' ORDER BY turn)) AS content_sha256 FROM conversations GROUP BY conv_id HAVING count(*) > 6")
@@ -472,34 +507,95 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Images and files made in code
 
 
-@query()
+def _values(names: str, rows: str) -> str:
+    return f"SELECT * FROM (VALUES {rows}) AS t({names})"
+
+
+# Worked out from the layout of each image (sources/fixtures.py): sums of the lengths before a file
+@query(_values("source, id, \"offset\", length, type_hint, header_flag, footer_flag, group_id", """
+  ('multi_format', 'F0001', 64::BIGINT, 736::BIGINT, 'jpeg', true, true, NULL), ('multi_format', 'F0002', 64 + 736 + 64, 326, 'pdf', true, true, NULL),
+  ('multi_format', 'F0003', 64 + 736 + 64 + 326 + 64, 288, 'zip', true, true, NULL), ('multi_format', 'F0004', 64 + 736 + 64 + 326 + 64 + 288 + 64, 2 * 4096, 'sqlite', true, false, NULL),
+  ('twin_jpeg', 'F0001', 0, 736, 'jpeg', true, true, NULL), ('twin_jpeg', 'F0002', 736 + 64, 736, 'jpeg', true, true, NULL),
+  ('adjacent_jpegs', 'F0001', 64, 736, 'jpeg', true, true, NULL), ('adjacent_jpegs', 'F0002', 64 + 736 + 32, 736, 'jpeg', true, true, NULL),
+  ('disrupted_jpeg', 'F0001', 128, 250, 'jpeg', true, false, 'disrupted_jpeg_128'), ('disrupted_jpeg', 'F0002', 128 + 250 + 128, 736 - 400, 'jpeg', false, true, 'disrupted_jpeg_128'),
+  ('corrupt_stream', 'F0001', 0, 4 + 200, 'jpeg', true, false, 'disrupted_jpeg_0'), ('corrupt_stream', 'F0002', 4 + 200 + 128, 200 + 2, 'jpeg', false, true, 'disrupted_jpeg_0')"""))
 def carve_images(spark: SparkSession, sf_dir: str) -> DataFrame:
     return carve.carve(ev.chunked(fixtures.image_frame(spark))).select("source", "id", "offset", "length", "type_hint", "header_flag", "footer_flag", "group_id")
 
 
-@query()
+@query(_values("name, kind, valid, state", ", ".join(f"('{n}', '{k}', {v}, '{s}')" for n, k, v, s in (
+    ("jpeg", "jpeg", True, "STRUCTURALLY_VALID"), ("jpeg_cut", "jpeg", False, "STRUCTURALLY_INVALID"), ("png", "png", True, "STRUCTURALLY_VALID"), ("png_crc", "png", False, "STRUCTURALLY_INVALID"), ("gif", "gif", True, "STRUCTURALLY_VALID"),
+    ("bmp", "bmp", True, "STRUCTURALLY_VALID"), ("bmp_cut", "bmp", False, "STRUCTURALLY_INVALID"), ("tiff", "tiff", True, "STRUCTURALLY_VALID"), ("pcx", "pcx", True, "STRUCTURALLY_VALID"), ("pdf", "pdf", True, "STRUCTURALLY_VALID"),
+    ("pdf_empty", "pdf", False, "STRUCTURALLY_INVALID"), ("zip", "zip", True, "COMPLETE_ARCHIVE"), ("zip_no_end", "zip", False, "STRUCTURALLY_INVALID"), ("docx", "docx", True, "COMPLETE_ARCHIVE"), ("docx_bare", "docx", False, "STRUCTURALLY_INVALID"),
+    ("tar", "tar", True, "COMPLETE_ARCHIVE"), ("tar_sum", "tar", False, "STRUCTURALLY_INVALID"), ("7z", "7z", True, "COMPLETE_ARCHIVE"), ("7z_cut", "7z", True, "PARTIAL_ARCHIVE"), ("rar", "rar", True, "COMPLETE_ARCHIVE"),
+    ("rar_open", "rar", True, "PARTIAL_ARCHIVE"), ("wim", "wim", True, "STRUCTURALLY_VALID"), ("wav", "wav", True, "STRUCTURALLY_VALID"), ("sqlite", "sqlite", True, "STRUCTURALLY_VALID"), ("sqlite_cut", "sqlite", False, "STRUCTURALLY_INVALID"),
+    ("gz", "gz", True, "COMPLETE_ARCHIVE"), ("gz_cut", "gz", True, "PARTIAL_ARCHIVE"), ("bz2", "bz2", True, "COMPLETE_ARCHIVE"), ("text", "text", True, "STRUCTURALLY_VALID"), ("text_bad", "text", False, "STRUCTURALLY_INVALID"),
+))))
 def validate_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.sample_frame(spark).withColumn("v", formats.validate_format("kind", "data")).select("name", "kind", "v.valid", "v.message", "v.state")
+    return fixtures.sample_frame(spark).withColumn("v", formats.validate_format("kind", "data")).select("name", "kind", "v.valid", "v.state")
 
 
-@query()
+@query(_values("name, state, members, completeness, nested", ", ".join(f"('{n}', '{s}', '{m}', {c}::DOUBLE, 0::INTEGER)" for n, s, m, c in (
+    ("7z", "COMPLETE_ARCHIVE", "", 1.0), ("7z_cut", "PARTIAL_ARCHIVE", "", "(80 - 20) / 80.0"), ("bz2", "COMPLETE_ARCHIVE", "", 1.0), ("docx", "COMPLETE_ARCHIVE", "[Content_Types].xml,word/document.xml", 1.0), ("docx_bare", "COMPLETE_ARCHIVE", "a.txt,b.txt", 1.0),
+    ("gz", "COMPLETE_ARCHIVE", "", 1.0), ("gz_cut", "PARTIAL_ARCHIVE", "", 1.0), ("rar", "COMPLETE_ARCHIVE", "note.txt", 1.0), ("rar_open", "PARTIAL_ARCHIVE", "note.txt", 1.0), ("tar", "COMPLETE_ARCHIVE", "a.txt", 1.0),
+    ("wim", "STRUCTURALLY_VALID", "", 1.0), ("zip", "COMPLETE_ARCHIVE", "a.txt,b.txt", 1.0), ("zip_no_end", "PARTIAL_ARCHIVE", "a.txt,b.txt", 1.0),
+))))
 def archive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.sample_frame(spark).withColumn("v", formats.validate_archive("data")).where("v.state <> 'STRUCTURALLY_INVALID'").select("name", "v.state", "v.members", "v.completeness", F.size(formats.nested_archives("data")).alias("nested"))
+    found = fixtures.sample_frame(spark).withColumn("v", formats.validate_archive("data")).where("v.state <> 'STRUCTURALLY_INVALID'")
+    return found.select("name", "v.state", F.array_join("v.members", ",").alias("members"), "v.completeness", F.size(formats.nested_archives("data")).alias("nested"))
 
 
-@query()
+# A tar of a gzip file and a text: its members begin after headers of one block, and the stream is followed by other bytes
+@query(_values("parent_id, \"offset\", format, state", "('outer', 512::BIGINT, 'gz', 'PARTIAL_ARCHIVE'), ('outer', 1024, 'tar', 'COMPLETE_ARCHIVE')"))
+def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    outer = fixtures.tarred({"a.gz": fixtures.gzipped(), "b.txt": b"alpha"})
+    rows = spark.createDataFrame([("outer", bytearray(outer)), ("flat", bytearray(fixtures.gzipped())), ("none", None)], "candidate_id string, content binary")
+    return formats.nested(rows).select("parent_id", "offset", "format", "state")
+
+
+# Thirds of a stream of 900 bytes, the first stored second: only the order F0003, F0001, F0002 is a stream
+@query(_values("cluster_id, file_type, fragment_ids, status, structural_validity, ambiguous, archive_state, used_all_fragments", "('cluster_000', 'bz2', 'F0003,F0001,F0002', 'reconstructed', 1.0::DOUBLE, false, 'COMPLETE_ARCHIVE', true)"))
 def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = fixtures.bzipped(fixtures.noise(900, 8))
     k = len(whole) // 3
     parts = [("F0003", 1000, whole[:k]), ("F0001", 2000, whole[k : 2 * k]), ("F0002", 0, whole[2 * k :])]
     rows = spark.createDataFrame([("cluster_000", "bz2", i, o, "bz2", bytearray(d)) for i, o, d in parts], "cluster_id string, inferred_type string, id string, offset long, type_hint string, data binary")
-    return reassemble.reassemble(rows).drop("content")
+    return reassemble.reassemble(rows).withColumn("fragment_ids", F.array_join("fragment_ids", ",")).drop("content", "parser_message")
 
 
-@query()
+# Of whole files (validity 1, no gap): integrity 1, priority 0.60 + 0.10 * bytes / 65536.  Of the two split ones the cluster's confidence is its floor, 0.1
+_CANDIDATE_ROWS = """
+  (1, 1, 'jpeg', 'F0001', 736::BIGINT, 0::BIGINT, true), (1, 2, 'jpeg', 'F0002', 736, 0, true), (2, 1, 'jpeg', 'F0001,F0002', 204 + 202, 128, false), (3, 1, 'jpeg', 'F0001,F0002', 250 + 336, 128, true),
+  (4, 1, 'jpeg', 'F0001', 736, 0, true), (4, 2, 'pdf', 'F0002', 326, 0, true), (4, 3, 'zip', 'F0003', 288, 0, true), (4, 4, 'sqlite', 'F0004', 8192, 0, true), (5, 1, 'jpeg', 'F0001', 736, 0, true), (5, 2, 'jpeg', 'F0002', 736, 0, true)"""
+
+
+@query(f"""WITH f AS ({_values("source_no, seq, file_type, fragment_ids, recovered_bytes, missing_bytes, valid", _CANDIDATE_ROWS)}),
+g AS (SELECT *, recovered_bytes / (recovered_bytes + missing_bytes)::DOUBLE AS ratio, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, CASE WHEN missing_bytes = 0 THEN 1.0::DOUBLE WHEN valid THEN 0.70::DOUBLE + 0.2::DOUBLE * 0.1::DOUBLE ELSE 0.40::DOUBLE + 0.2::DOUBLE * 0.1::DOUBLE END AS conf FROM f),
+h AS (SELECT *, {_round_sql("0.25::DOUBLE * conf + 0.25::DOUBLE * CASE WHEN missing_bytes = 0 THEN 1.0::DOUBLE ELSE " + _round_sql("ratio * 0.93::DOUBLE") + " END + 0.35::DOUBLE * v + 0.15::DOUBLE * (CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END)")} AS integrity FROM g),
+s AS (SELECT *, {_round_sql("0.25::DOUBLE * integrity + 0.20::DOUBLE * " + _round_sql("ratio") + " + 0.15::DOUBLE * v + 0.10::DOUBLE * recovered_bytes / 65536.0::DOUBLE - CASE WHEN valid THEN 0.0::DOUBLE ELSE 0.075::DOUBLE END")} AS priority, 'recon_cluster_' || source_no || '_' || printf('%04d', seq) AS cid FROM h)
+SELECT row_number() OVER (ORDER BY priority DESC, integrity DESC, ratio DESC, recovered_bytes DESC, cid) AS rank, cid AS candidate_id, file_type, fragment_ids, recovered_bytes, missing_bytes, CASE WHEN NOT valid THEN 'PARTIALLY_RECONSTRUCTED' WHEN missing_bytes = 0 THEN 'FULLY_RECONSTRUCTED' ELSE 'STRUCTURALLY_VALID_PARTIAL' END AS recovery_status,
+  integrity AS composite_integrity_score, 'NONE' AS sensitivity_level, priority AS priority_score, CASE WHEN valid THEN 'validated/recovered_' ELSE 'partial/recovery_candidate_' END || cid || CASE file_type WHEN 'jpeg' THEN '.jpg' ELSE '.' || file_type END AS artifact_path FROM s""")
 def recovered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Engine(spark, fixtures.image_frame(spark))
-    return e.run().select("rank", "candidate_id", "file_type", "fragment_ids", "recovered_bytes", "missing_bytes", "recovery_status", "composite_integrity_score", "sensitivity_level", "priority_score", "artifact_path")
+    return e.run().select("rank", "candidate_id", "file_type", F.array_join("fragment_ids", ",").alias("fragment_ids"), "recovered_bytes", "missing_bytes", "recovery_status", "composite_integrity_score", "sensitivity_level", "priority_score", "artifact_path")
+
+
+# Listings of an archive of two members and a database of one table of one row
+@query(_values("name, entry, position, size, detail", "('zip', 'a.txt', 1, 30 * 6::BIGINT, 'member'), ('zip', 'b.txt', 2, 30 * 5, 'member'), ('sqlite', 'note', 1, 1, 'CREATE TABLE note (id INTEGER, body TEXT)')"))
+def content_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fixtures.sample_frame(spark).where("name in ('zip', 'sqlite', 'zip_no_end', 'sqlite_cut')")
+    return reports.listings(rows, "name", "kind", "data")
+
+
+@query("""WITH k AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1)
+SELECT l_orderkey AS order_id, CASE WHEN l_orderkey % 3 = 0 THEN NULL ELSE floor(q / (l_orderkey % 200 + 1.0::DOUBLE) * 1e4 + 0.5 + 1e-7) / 1e4 END AS logical_recovery_ratio,
+  least(1.0::DOUBLE, greatest(0.0::DOUBLE, floor(q / greatest(q, l_orderkey % 200 + 1)::DOUBLE * 1e4 + 0.5 + 1e-7) / 1e4)) AS expected_completeness FROM k""")
+def expected_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as candidates whose original size is known, or not."""
+    k = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.sum("l_quantity").cast("bigint").alias("q"))
+    size, zero, no = F.pmod("order_id", F.lit(200)) + 1, F.lit(0), F.lit(False)
+    known = F.when(F.pmod("order_id", F.lit(3)) != 0, size)
+    return k.select("order_id", scoring.logical_ratio(F.col("q"), known).alias("logical_recovery_ratio"), scoring.completeness(F.col("q"), zero, zero, no, no, expected=size).alias("expected_completeness"))
 
 
 FLAGSHIP = priority_rank
