@@ -87,6 +87,39 @@ KNOWN: list[tuple[str, str]] = [
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
     ("all-rights-reserved", "All rights reserved."),
 ]
+# Digests of the canonical forms of longer licences and their usual headers, as published.
+KNOWN_DIGESTS: list[tuple[str, str]] = [
+    ("Apache-2.0", "169d8dc129e392d132307c38128c5d06fa653e6a38f0fe8d57adb099aff6e12a"),  # whole
+    ("Apache-2.0", "23b0c2864cae1b701487ecb2e085716852ef16a61b1acc529508201ed15b2151"),  # terms, with their last line
+    ("Apache-2.0", "e7cb6556aa68f6b49d85e0dcb7b2baa2e447d1ef1aa7841cf44b13972e98f397"),  # terms
+    ("Artistic-1.0-Perl", "2ab1002587383e8f2f203c7473367b0db41ba84b8e3a9d991cf55eb0fd0ea009"),  # whole
+    ("BSD-3-Clause", "3d151449461c0c776e892a4dc41cac0d251eb00c9fc49d2d48802d9bed818fe9"),  # whole
+    ("CC0-1.0", "ceb532d86c46f36dc35f5de73f0d9cb155567c40c3fcbf707a26f949df16c999"),  # whole
+    ("GFDL-1.2", "218deda3396c747a643fcf1b1fabc8070dac3b005a4578a3a2aca0a03530bec9"),  # whole
+    ("GFDL-1.3", "e0ca36c34a6cb322569cdf0e7456a91c8557ea7740f9eb346d8df66594cbf5f4"),  # whole
+    ("GPL-1.0", "0d448bb90f7522301d96e182cfbfc871eda3f369f11f9854162f55b427a698ff"),  # whole
+    ("GPL-1.0", "e4d6cde7fc825469bc8e7056eb3d4f6107886891f2161f0c010889be6ce4bf07"),  # terms, with their last line
+    ("GPL-1.0", "891534dbaae5e86b5d1153e43de690fc5aa9e74e02135ab9fbbc0891fa0998ac"),  # terms
+    ("GPL-2.0", "cf51760dc09decc3f8d4873a5e7393899d71e16d3bf8bc60372d23df3b6086d6"),  # whole
+    ("GPL-2.0", "6f04be276689776d53dec0b62947a5bad478788bceeba6955cc8cebadf850de7"),  # terms, with their last line
+    ("GPL-2.0", "67321e9d3d07b88b4244017b7f382520e5f1ddf893c5a9741c610c88c9a623b4"),  # terms
+    ("GPL-3.0", "a94bd6c982192d99ca2070d633564e82009a713683086b27ef3ffa24cec0fe1c"),  # whole
+    ("GPL-3.0", "466911bc73d6ad6018aa1cf1ada78f272c79ae395eeba2c3f755535572fef688"),  # terms, with their last line
+    ("GPL-3.0", "8b94160dda20c41a80b10cbb1114ac9a169d2cffd1d028da3306bde0a5d42395"),  # terms
+    ("LGPL-2.0", "6ede925fb751c1bfa72408e9226b26c41b33d95a81f54e233fa3dfedc0bec2f5"),  # whole
+    ("LGPL-2.0", "b98e6545914ff43fb73620a7e58bbfff3a73eec2bf3375dd86c6066950d36987"),  # terms, with their last line
+    ("LGPL-2.0", "6f7ba44dfcbfe720d8f5b68666082bf52696e5e53d8df0c01f9938b00656b3e8"),  # terms
+    ("LGPL-2.1", "423a536e3a05f3687daec5e10a14b906757bcd7d407b4998ede8b084cbdfeac1"),  # whole
+    ("LGPL-2.1", "9248f12a61d75e2b1a79176a89a3df95e36e318f99fa013ce41264028210afaa"),  # terms, with their last line
+    ("LGPL-2.1", "2b5c0d63e549180d5c94652809aaa527e9c67ef170997e9c7c4ed356bea7175e"),  # terms
+    ("LGPL-3.0", "a73ecf7261e42e15cefe1a19defface65a2b142e089cfbcb9218a595a27853c9"),  # whole
+    ("MPL-1.1", "8207da9caee17d0b6e41bf6671b3ad5c9a760971dc16c4992543a2fa7eded463"),  # whole
+    ("MPL-2.0", "4cf3cec9cbb2d1eadf13b9ac43726980c148eba815ce574e56e7689d30d36b23"),  # whole
+    ("Apache-2.0", "d2f2414d80967b4a02b8a85332921699521d431b2a260e64317da881eba6656e"),  # header
+    ("GPL-2.0", "867273c04915bd67541690a87c4a88132931c0124c80f8f8b200c727fc486064"),  # header
+    ("GPL-3.0", "b1165b3a9c3ac2638585a8adb6e0c10814b7d97627160747134355b2690ff5af"),  # header
+    ("LGPL-2.1", "6d40f34cf05aeff6f8f8b927336f5e5679a0fee548129c2398e047e1a97b5a1b"),  # header
+]
 #: More names than this are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 10_000
 
@@ -103,11 +136,13 @@ def canonical(text: str) -> str:
     return " ".join(out)
 
 
-def known_digests(texts: list[tuple[str, str]] = KNOWN) -> list[tuple[str, str]]:
+def known_digests(texts: list[tuple[str, str]] = KNOWN, digests: list[tuple[str, str]] = KNOWN_DIGESTS) -> list[tuple[str, str]]:
     """(digest, licence), the first name of each digest."""
     found: dict[str, str] = {}
     for name, text in texts:
         found.setdefault(hashlib.sha256(canonical(text).encode()).hexdigest(), name)
+    for name, digest in digests:
+        found.setdefault(digest, name)
     return sorted(found.items())
 
 
@@ -123,7 +158,7 @@ def _canonical_line(line: Column) -> Column:
 def scan(docs: DataFrame, known: list[tuple[str, str]] | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, digest, license_id (of the whole text), line_licenses, n_lines for every document.
 
-    ``known``: (digest of a canonical text, licence name); by default those of ``KNOWN``.
+    ``known``: (digest of a canonical text, licence name); by default those of ``KNOWN`` and ``KNOWN_DIGESTS``.
     """
     spark = docs.sparkSession
     known = known_digests() if known is None else known
@@ -150,6 +185,7 @@ def oracle_sql() -> str:
     """The same scan of ``documents`` in DuckDB's SQL."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     known = ",\n    ".join(f"({i}, {quoted(name)}, {quoted(text)})" for i, (name, text) in enumerate(KNOWN))
+    longer = ",\n    ".join(f"({i}, '{name}', '{digest}')" for i, (name, digest) in enumerate(KNOWN_DIGESTS, len(KNOWN)))
     spell = ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in SPELLINGS.items())
     low = f"regexp_replace(translate(line, '{_UPPER}', '{_SMALL}'), {quoted(COPYRIGHT)}, '', 'gs')"
     plain = f"trim(regexp_replace(replace({low}, '-', ''), '[^a-z0-9]+', ' ', 'g'))"
@@ -166,7 +202,9 @@ plained AS (SELECT kind, id, license_id, place, {plain} AS plain FROM lines),
 canon AS (SELECT kind, id, license_id, place, CASE WHEN regexp_matches(plain, '{"|".join(SPELLINGS)}') THEN {spelled} ELSE plain END AS line FROM plained),
 whole AS (
     SELECT kind, id, any_value(license_id) AS license_id, sha256(coalesce(string_agg(line, ' ' ORDER BY place) FILTER (line <> ''), '')) AS digest FROM canon GROUP BY kind, id),
-known AS (SELECT digest, arg_min(license_id, id) AS license_id FROM whole WHERE kind = 'k' GROUP BY digest),
+longer(n, license_id, digest) AS (VALUES
+    {longer}),
+known AS (SELECT digest, arg_min(license_id, id) AS license_id FROM (SELECT id, license_id, digest FROM whole WHERE kind = 'k' UNION ALL SELECT n, license_id, digest FROM longer) GROUP BY digest),
 hits AS (
     SELECT c.id, k.license_id FROM canon c JOIN known k ON sha256(c.line) = k.digest WHERE c.kind = 'd' AND c.line <> ''),
 by_doc AS (SELECT id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS line_licenses, count(*) AS n_lines FROM hits GROUP BY id)

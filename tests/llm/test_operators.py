@@ -388,3 +388,18 @@ def test_licenses(spark, nothing):
     digests = {r.doc_id: r.digest for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert digests[4] == hashlib.sha256(licenses.canonical(mit + " more").encode()).hexdigest()
     assert licenses.scan(nothing).count() == 0
+
+
+def test_license_headers(spark):
+    """Line breaks, punctuation and holders of rights do not matter."""
+    head = """/* Copyright 2021 A. B.
+ * Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in
+ * compliance with the License. You may obtain a copy of the License at
+ *     https://www.apache.org/licenses/LICENSE-2.0
+ * Unless required by applicable law or agreed to in writing, software distributed under the License is
+ * distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and limitations under the License. */"""
+    got = licenses.scan(spark.createDataFrame([(1, head.split("\n", 1)[1]), (2, head + " more")], "doc_id long, text string"))
+    assert {r.doc_id: r.license_id for r in got.collect()} == {1: "Apache-2.0", 2: None}
+    names = [n for n, _ in licenses.KNOWN_DIGESTS]
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0"} <= set(names) and all(len(d) == 64 for _, d in licenses.KNOWN_DIGESTS)
