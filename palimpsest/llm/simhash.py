@@ -2,14 +2,15 @@
 
 A fingerprint has 64 bits; a bit is set when more than half of the document's
 3-word shingles have it set in their XXH64 (seed 42).  Distinct fingerprints are
-dealt into tiles by their population counts in ``SEGMENTS`` equal segments: two
+dealt into tiles by their population counts in a few equal segments: two
 fingerprints within ``radius`` bits have segment counts that differ by at most
 ``radius`` in sum, so tile pairs beyond that are skipped without a look.  The
 remaining tile pairs are compared in full by exclusive-or and bit counts, a block
 at a time.  A tile returns a spanning forest of its links, never all pairs, and
 alternating star contractions join the forests into components.
 
-At D distinct fingerprints about 2 % of D*D/2 pairs are compared (4 segments).
+At D distinct fingerprints about 2 % of D*D/2 pairs are compared at a radius of 2
+(4 segments), about half at a radius of 6 (2 segments).
 A tile that holds more than ``TILE`` fingerprints is cut, and its pieces meet each
 piece of the other side once.
 
@@ -34,11 +35,13 @@ from ..operators.components import star_components
 from .anchors import numbered
 from .common import bucket_count, id_text, lowered, stored, text_blocks, words
 
-SEGMENTS = 4
 TILE = 1 << 14
 SHINGLE = 3
-_BITS = 64 // SEGMENTS
-_BASE = _BITS + 1
+
+
+def segments_for(radius: int) -> int:
+    """More segments skip more tile pairs but send a fingerprint to more tiles; beyond a radius of 2 the copies outgrow the gain."""
+    return 4 if radius <= 2 else 2
 
 
 def fingerprints_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -85,19 +88,16 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
 
 
-def _steps(radius: int) -> list[tuple[int, ...]]:
+def _steps(radius: int, segments: int) -> list[tuple[int, ...]]:
     """Differences of segment counts within the radius, one of each pair of opposites, none first."""
-    near = [d for d in product(range(-radius, radius + 1), repeat=SEGMENTS) if sum(map(abs, d)) <= radius]
-    return [(0,) * SEGMENTS] + [d for d in near if d > (0,) * SEGMENTS]
-
-
-def _counts(fp: np.ndarray) -> np.ndarray:
-    shift = np.arange(SEGMENTS, dtype=np.uint64) * np.uint64(_BITS)
-    mask = np.uint64((1 << _BITS) - 1)
-    return np.bitwise_count((fp[:, None] >> shift) & mask).astype(np.int64)
+    near = [d for d in product(range(-radius, radius + 1), repeat=segments) if sum(map(abs, d)) <= radius]
+    return [(0,) * segments] + [d for d in near if d > (0,) * segments]
 
 
-_WEIGHT = _BASE ** np.arange(SEGMENTS)
+def _counts(fp: np.ndarray, segments: int) -> np.ndarray:
+    bits = 64 // segments
+    shift = np.arange(segments, dtype=np.uint64) * np.uint64(bits)
+    return np.bitwise_count((fp[:, None] >> shift) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 
 def components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,40 +151,43 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     ``distinct`` has one column fp of distinct longs.
     """
     spark = distinct.sparkSession
-    steps = np.array(_steps(radius))
+    segments = segments_for(radius)
+    steps = np.array(_steps(radius, segments))
+    base = 64 // segments + 1
+    weight = base ** np.arange(segments)
 
     def count(batches):
-        total = np.zeros(_BASE**SEGMENTS, np.int64)
+        total = np.zeros(base**segments, np.int64)
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            np.add.at(total, _counts(fp) @ _WEIGHT, 1)
+            np.add.at(total, _counts(fp, segments) @ weight, 1)
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["tile", "n"])
 
     # at most 17**4 = 83,521 rows whatever the input
     found = distinct.mapInArrow(count, "tile long, n long").groupBy("tile").agg(F.sum("n").alias("n")).toPandas()
-    size = np.zeros((_BASE,) * SEGMENTS, np.int64)
-    size[tuple((found["tile"].to_numpy(np.int64)[:, None] // _WEIGHT % _BASE).T)] = found["n"].to_numpy(np.int64)
+    size = np.zeros((base,) * segments, np.int64)
+    size[tuple((found["tile"].to_numpy(np.int64)[:, None] // weight % base).T)] = found["n"].to_numpy(np.int64)
     incoming = np.zeros_like(size)
     for d in steps[1:]:
-        src = tuple(slice(max(0, -k), _BASE - max(0, k)) for k in d)
-        dst = tuple(slice(max(0, k), _BASE - max(0, -k)) for k in d)
+        src = tuple(slice(max(0, -k), base - max(0, k)) for k in d)
+        dst = tuple(slice(max(0, k), base - max(0, -k)) for k in d)
         incoming[dst] += size[src]
     # pieces by tile; tiles of up to ``tile`` fingerprints stay whole
-    large = {int(np.dot(k, _WEIGHT)): (int(-(-size[tuple(k)] // tile)), max(1, int(-(-incoming[tuple(k)] // tile)))) for k in np.argwhere((size > tile) | ((size > 0) & (incoming > 16 * tile)))}
+    large = {int(np.dot(k, weight)): (int(-(-size[tuple(k)] // tile)), max(1, int(-(-incoming[tuple(k)] // tile)))) for k in np.argwhere((size > tile) | ((size > 0) & (incoming > 16 * tile)))}
     present = spark.sparkContext.broadcast((size > 0, large))
 
     def deal(batches):
         there, cut = present.value
         for b in batches:
             fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            own = _counts(fp)
+            own = _counts(fp, segments)
             keys, pieces, sides, values = [], [], [], []
             for k, d in enumerate(steps):
                 to = own + d
-                ok = ((to >= 0) & (to < _BASE)).all(axis=1)
+                ok = ((to >= 0) & (to < base)).all(axis=1)
                 ok[ok] = there[tuple(to[ok].T)]
-                key, val = to[ok] @ _WEIGHT, fp[ok]
+                key, val = to[ok] @ weight, fp[ok]
                 side = np.full(len(key), int(k > 0), np.int8)
                 split = np.isin(key, np.fromiter(cut, np.int64, len(cut))) if cut else np.zeros(len(key), bool)
                 keys.append(key[~split]), pieces.append(np.zeros(int((~split).sum()), np.int32)), sides.append(side[~split]), values.append(val[~split])

@@ -55,8 +55,8 @@ def test_simhash(name, request):
     assert sorted((tuple(r) for r in simhash.near_duplicates(df).collect()), key=str) == want
 
 
-@pytest.mark.parametrize("tile", [1 << 14, 5])
-def test_tiles_lose_no_link(spark, tile):
+@pytest.mark.parametrize(("tile", "radius"), [(1 << 14, 2), (5, 2), (5, 3), (1 << 14, 6)])
+def test_tiles_lose_no_link(spark, tile, radius):
     rng = random.Random(2)
     fps = set()
     for _ in range(60):
@@ -67,16 +67,30 @@ def test_tiles_lose_no_link(spark, tile):
                 x ^= 1 << rng.randrange(64)
     fps |= {0, 1, 3, 7, 15, 2**64 - 1, 2**64 - 2}
     signed = [int(np.uint64(f).astype(np.int64)) for f in fps]
-    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2, tile)
+    edges = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), radius, tile)
     root = {r.u: r.root for r in simhash.star_components(edges).collect()}
     groups, want = {}, {}
     for f, s in zip(fps, signed, strict=True):
         groups.setdefault(root.get(s, s), set()).add(f)
-    for f, r in brute_components(fps).items():
+    for f, r in brute_components(fps, radius).items():
         want.setdefault(r, set()).add(f)
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, want.values()))
 
 
+def test_radius_of_the_pipeline():
+    """One word changed in texts of 100 to 2,000 words: nine of ten copies are within 6 bits."""
+    rng = random.Random(12)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(3000)]
+    near = 0
+    for _ in range(200):
+        w = [rng.choice(vocab) for _ in range(rng.randint(100, 2000))]
+        at = rng.randrange(len(w))
+        a, b = " ".join(w).encode(), " ".join([*w[:at], "changed", *w[at + 1 :]]).encode()
+        x, y = simhash.fingerprints_of(np.frombuffer(a + b, np.uint8), np.array([0, len(a), len(a) + len(b)]))
+        near += int(x ^ y).bit_count() <= 6
+    assert near >= 180
+
+
 def test_one_of_each(frame, odd):
     kept = simhash.one_of_each(frame)
     assert kept.columns == frame.columns
