@@ -248,6 +248,41 @@ def test_language_model(frame, monkeypatch, dictionary):
     assert all(np.isfinite(r.score) and r.score < 0 for r in got)
 
 
+@pytest.mark.parametrize("dictionary", [1 << 18, 5])
+def test_language_model_scores_token_by_token(frame, monkeypatch, dictionary):
+    """Each token's probability after the one before, normalised over the vocabulary; in a class, the word's smoothed share."""
+    from collections import Counter
+    from math import log10
+
+    monkeypatch.setattr(lm.LogBilinear.__init__, "__defaults__", (8, 3, *lm.LogBilinear.__init__.__defaults__[2:]))
+    monkeypatch.setattr(lm.Vocabulary.__init__, "__defaults__", (dictionary,))
+    held = fold(F.col("doc_id"), 10) == 0
+    got = {r.doc_id: r.score for r in lm.score(frame, held).collect()}
+    train = frame.where(~held).select("text")
+    texts = [(r.text or "").encode().lower().split() for r in train.collect()]
+    count = Counter(w for t in texts for w in t)
+    vocab = lm.Vocabulary(lm.count_words(train), len(texts), dictionary)
+    id_of = {w: int(vocab.ids[k]) for w, k in vocab.index.items()}
+    name = lambda w: lm.END if w is None else id_of.get(w, lm.word_class(w))
+    pairs = np.zeros((lm.VOCAB, lm.VOCAB), np.float32)
+    for t in texts:
+        for a, b in zip([None, *t], [*t, None], strict=True):
+            pairs[name(a), name(b)] += 1
+    model = lm.LogBilinear(pairs)
+    tokens, kinds = Counter(), Counter()
+    for w, n in count.items():
+        tokens[name(w)] += n
+        kinds[name(w)] += 1
+    for r in frame.collect():
+        want, ws = 0.0, (r.text or "").encode().lower().split()
+        for a, b in zip([None, *ws], [*ws, None], strict=True):
+            s = model.q @ (model.c @ model.r[name(a)]) + model.b
+            want += float(s[name(b)] - np.log(np.exp(s - s.max()).sum()) - s.max()) / np.log(10)
+            if name(b) < lm.CLASSES:
+                want += log10((count[b] + 0.1) / (tokens[name(b)] + 0.1 * (kinds[name(b)] + 1)))
+        assert abs(got[r.doc_id] - want) < 1e-2 + 1e-5 * abs(want), r.doc_id
+
+
 def test_language_model_odd_rows(odd, nothing, monkeypatch):
     monkeypatch.setattr(lm.LogBilinear.__init__, "__defaults__", (8, 1, *lm.LogBilinear.__init__.__defaults__[2:]))
     docs = [(r.doc_id, r.text) for r in odd.collect()]

@@ -1,6 +1,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as p
 from palimpsest.llm import queries as q
@@ -28,6 +29,43 @@ def test_stages_keep_the_columns_and_take_effect(spark):
     assert p.run(spark, DIR).count() == seen[-1]
 
 
+def test_language_and_benchmark_stages_equal_brute_force(spark):
+    """Every text by plain mixture inference, and every item aligned with every whole text."""
+    import numpy as np
+
+    from palimpsest.llm import decontam, langid
+    from tests.llm.test_operators import plain_mixture
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("n_chars < 1200")
+    model = langid.learn(docs)
+    rows = docs.collect()
+    want = {r.doc_id for r in rows if r.text is not None and any(c.isalpha() for c in r.text) and plain_mixture(r.text, *model)}
+    assert {r.doc_id for r in p.language(spark, docs, DIR).collect()} == want
+    words = lambda t: decontam._tokens(np.frombuffer(t.lower().encode(), np.uint8), np.array([0, len(t.lower().encode())]))[0]
+    items = [words(r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    leaks = {r.doc_id for r in rows if r.text for i in items if decontam.align(i, words(r.text)) >= decontam._needed(len(i), decontam.THRESHOLD)}
+    assert leaks and {r.doc_id for r in p.benchmark_leaks(spark, docs, DIR).collect()} == {r.doc_id for r in rows} - leaks
+
+
+def test_stages_take_odd_rows(spark):
+    """Null and repeated ids, null and empty texts, repeated rows, and columns with names that the operators use."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    some = docs.limit(30)
+    long = "lorem ipsum dolor sit amet " * 4000
+    odd = spark.createDataFrame([(None, "le chat dort", None, None, 12), (None, None, "fr", "x", 0), (3, "", "de", "x", 0), (3, "word", None, "x", 4), (3, "word", None, "x", 4), (-1, long, "en", "x", len(long)), (9, "…", "en", "x", 1)], docs.schema)
+    rows = some.unionByName(odd)
+    for c in ("uid", "rank", "score", "spans", "fp", "rest", "z", "low"):
+        rows = rows.withColumn(c, F.lit(1))
+    for name, stage in p.STAGES:
+        out = stage(spark, rows, DIR)
+        if name != "encoded":
+            assert out.dtypes == rows.dtypes
+            rows = out.persist()
+            assert rows.count() > 0
+        else:
+            assert out.count() == rows.count()
+
+
 def test_pipeline_on_an_empty_table(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").where("doc_id < 0")
     for _, stage in p.STAGES:
