@@ -8,8 +8,9 @@ of two digests is the mean difference of their bucket values, plus a small share
 the length; it is bounded, and likeness is one minus it.
 
 ``with_edits`` pairs every document with the next one in descending doc_id without a
-global sort: ids are cut into ranges by quantiles, ranges are sorted apart, and the
-first row of each range is also sent to the end of the range before.
+global sort: ids are cut into ranges by quantiles, an id with many rows by the hash of
+their text, ranges are sorted apart, and the first row of each range is also sent to
+the end of the range before.
 
 Defined results: a null text is empty; the empty text has the digest of zeros; equal
 texts have equal digests; rows with one doc_id follow each other by a hash of their
@@ -83,8 +84,24 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+_TIE_BITS = 56
+
+
 def _order(ids: pa.Array) -> np.ndarray:
-    return ids.cast(pa.int64()).fill_null(_LEAST).to_numpy(zero_copy_only=False)
+    """Ascending in the order of documents: descending doc_id, null last."""
+    return ~ids.cast(pa.int64()).fill_null(_LEAST).to_numpy(zero_copy_only=False)
+
+
+def _ties(raw: list[bytes]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(x, digest_size=_TIE_BITS // 8).digest()) for x in raw], np.int64)
+
+
+def _ranges(own: np.ndarray, tie: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Range of each row.  A cut that is there several times is an id with many rows: their ties are cut evenly."""
+    low, high = np.searchsorted(cuts, own, side="left"), np.searchsorted(cuts, own, side="right")
+    times = high - low
+    within = ((tie >> (_TIE_BITS - 24)) * times) >> 24
+    return (low + np.where(times > 0, 1 + within, 0)).astype(np.int32)
 
 
 def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -92,34 +109,45 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     docs = id_text(docs, doc_id, text)
     ranges = bucket_count(docs)
     share = [k / ranges for k in range(1, ranges)]
-    cuts = np.unique(np.array((docs.agg(F.percentile_approx("doc_id", share, 10_000).alias("q")).first()["q"] if share else None) or [], np.int64))
+    found = docs.agg(F.percentile_approx(F.coalesce("doc_id", F.lit(_LEAST)), share, 10_000).alias("q")).first()["q"] if share else None
+    cuts = np.sort(~np.array(found or [], np.int64))
+
+    def rows_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        own = _order(b.column(0))
+        raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
+        tie = _ties(raw)
+        return own, tie, raw, _ranges(own, tie, cuts)
 
     def tops(batches):
-        best: dict[int, int] = {}
+        best: dict[int, tuple[int, int]] = {}
         for b in batches:
-            own = _order(b.column(0))
-            at = np.searchsorted(cuts, own, side="right")
-            for r in np.unique(at):
-                best[int(r)] = max(best.get(int(r), _LEAST), int(own[at == r].max()))
-        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array(list(best.values()), pa.int64())], names=["r", "top"])
+            own, tie, _, at = rows_of(b)
+            order = np.lexsort((tie, own, at))
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            for r, x, t in zip(at[order][first].tolist(), own[order][first].tolist(), tie[order][first].tolist(), strict=True):
+                best[r] = min(best.get(r, (x, t)), (x, t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([x for x, _ in best.values()], pa.int64()), pa.array([t for _, t in best.values()], pa.int64())], names=["r", "own", "tie"])
 
     # a row a range
-    top = {r.r: r.top for r in docs.select("doc_id").mapInArrow(tops, "r int, top long").groupBy("r").agg(F.max("top").alias("top")).collect()}
+    top = {r.r: (r.f.own, r.f.tie) for r in docs.mapInArrow(tops, "r int, own long, tie long").groupBy("r").agg(F.min(F.struct("own", "tie")).alias("f")).collect()}
     full = sorted(top)
-    #: first row of a range, by its id: the range whose last row it follows
-    guest_of = {top[a]: b for a, b in zip(full, full[1:] + full[:1], strict=True)}
+    #: first row of a range: the range whose last row it follows
+    guest_of = {top[b]: a for a, b in zip(full, full[1:] + full[:1], strict=True)}
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=1)
+        sent = set()
         for b in batches:
-            own = _order(b.column(0))
-            at = np.searchsorted(cuts, own, side="right").astype(np.int32)
-            raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
-            tie = np.array([int.from_bytes(hashlib.blake2b(x, digest_size=7).digest()) for x in raw], np.int64)
+            own, tie, raw, at = rows_of(b)
             packed = [z.compress(x) for x in raw]
-            guests = np.flatnonzero(np.isin(own, np.fromiter(guest_of, np.int64, len(guest_of))))
-            rows = np.concatenate([np.arange(len(own)), guests])
-            to = np.concatenate([at, np.array([guest_of[int(own[g])] for g in guests], np.int32)])
+            guests = []
+            for g in np.flatnonzero(np.isin(own, np.array([x for x, _ in guest_of], np.int64))).tolist():
+                key = int(own[g]), int(tie[g])
+                if key in guest_of and key not in sent:  # of equal rows one is enough
+                    sent.add(key)
+                    guests.append(g)
+            rows = np.concatenate([np.arange(len(own)), np.array(guests, np.int64)])
+            to = np.concatenate([at, np.array([guest_of[int(own[g]), int(tie[g])] for g in guests], np.int32)])
             guest = np.arange(len(rows)) >= len(own)
             yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(guest), pa.array(own[rows]), pa.array(tie[rows]), b.column(0).take(pa.array(rows)), pa.array([packed[i] for i in rows], pa.binary())], names=["bucket", "guest", "own", "tie", "doc_id", "z"])
 
@@ -158,4 +186,4 @@ def with_edits(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
     dealt = docs.mapInArrow(pack, "bucket int, guest boolean, own long, tie long, doc_id long, z binary").repartitionById(ranges, F.col("bucket"))
     # the first of a range is the greatest id; of equal ids the least hash of the text
-    return dealt.sortWithinPartitions("bucket", "guest", F.desc("own"), "tie").mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.sortWithinPartitions("bucket", "guest", "own", "tie").mapInArrow(edit, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

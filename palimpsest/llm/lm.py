@@ -28,7 +28,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import _pack, _unpack, by_bucket
@@ -38,6 +38,8 @@ CLASSES = 1024
 VOCAB = 3072
 END = CLASSES
 DICTIONARY = 1 << 18
+#: Longer words are looked up by the join, however common.
+WORD_BYTES = 64
 SIZE = 32
 NOISE = 8.0
 STEPS = 60
@@ -78,15 +80,14 @@ class Vocabulary:
     """What the executors need of the counts: the dictionary, ids, and totals of classes."""
 
     def __init__(self, counts: DataFrame, ends: int, dictionary: int = DICTIONARY):
-        # distinct counts are at most the square root of twice the number of tokens
-        by_n = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toPandas()
-        total = by_n["words"].cumsum()
-        fits = by_n["n"][total <= dictionary]
+        # a row for each sixteenth of a doubling of n
+        by_n = counts.groupBy(F.floor(F.log2("n") * 16).alias("k")).agg(F.count("*").alias("words"), F.sum("n").alias("n"), F.min("n").alias("least")).orderBy(F.desc("k")).toPandas()
+        fits = by_n["least"][by_n["words"].cumsum() <= dictionary]
         self.least = int(fits.min()) if len(fits) else 1 << 62
         self.ends = ends
-        self.tokens = int((by_n["n"] * by_n["words"]).sum()) + ends
+        self.tokens = int(by_n["n"].sum()) + ends
         self.distinct = int(by_n["words"].sum()) + (ends > 0)
-        rows = counts.where(F.col("n") >= self.least).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
+        rows = counts.where(self.inside()).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
         self.count = rows["n"].to_numpy(np.int64)
         words = [bytes(w) for w in rows["word"]]
         self.index = {w: i for i, w in enumerate(words)}
@@ -105,10 +106,14 @@ class Vocabulary:
                 np.add.at(m, own, 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(n), pa.array(m)], names=["c", "n", "m"])
 
-        rest = counts.where(F.col("n") < self.least).select("word", "n").mapInArrow(classes, "c long, n long, m long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toPandas()
+        rest = counts.where(~self.inside()).select("word", "n").mapInArrow(classes, "c long, n long, m long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toPandas()
         np.add.at(self.class_tokens, rest["c"].to_numpy(np.int64), rest["n"].to_numpy(np.int64))
         np.add.at(self.class_words, rest["c"].to_numpy(np.int64), rest["m"].to_numpy(np.int64))
 
+    def inside(self) -> Column:
+        """Which rows of the counts are in the dictionary: common words of bounded length."""
+        return (F.col("n") >= self.least) & (F.octet_length("word") <= WORD_BYTES)
+
     def places(self, words: list[bytes]) -> list[int]:
         """Place of each word in the dictionary, or -1."""
         get = self.index.get
@@ -265,7 +270,7 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
 
     found = stored(docs.mapInArrow(run, "doc_id long, key long, word binary, m long, n_tokens long, n_known long, base double, neural double"), "lm")
     whole = found.where("word is null").select("doc_id", "key", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", "neural")
-    rare = counts.where(F.col("n") < vocab.least)
+    rare = counts.where(~vocab.inside())
     cold = found.where("word is not null").select("doc_id", "key", "word", "m").join(rare, "word", "left")
     part = F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)
     cold = cold.select("doc_id", "key", F.lit(0).alias("copies"), F.lit(0).alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("n_known"), part.alias("base"), part.alias("neural"))

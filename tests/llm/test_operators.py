@@ -131,6 +131,23 @@ def test_digest_pairs(name, request):
     assert sorted((tuple(r) for r in digest.with_edits(df).collect()), key=str) == sorted(want, key=str)
 
 
+def test_rows_of_one_id_are_cut_into_ranges(spark, monkeypatch):
+    """Many rows of one id and of none, some of them equal, over more ranges than ids: the pairs stay those of one sort."""
+    monkeypatch.setattr(digest, "bucket_count", lambda df: 16)
+    rng = random.Random(4)
+    rows = [(None, f"n{rng.randint(0, 30)}") for _ in range(60)] + [(5, f"f{k}") for k in range(60)] + [(k, f"t{k}") for k in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    tie = lambda t: int.from_bytes(hashlib.blake2b(t.encode(), digest_size=7).digest())
+    rows.sort(key=lambda d: (-(d[0] if d[0] is not None else -(1 << 63)), tie(d[1])))
+    want = []
+    for k, (i, t) in enumerate(rows):
+        after, half = rows[(k + 1) % len(rows)][1], len(t) // 2
+        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + after[:half]).encode()).hexdigest()))
+    assert sorted((tuple(r)[:3] for r in digest.with_edits(df).collect()), key=str) == sorted(want, key=str)
+    at = digest._ranges(np.repeat([3, 7], 50), np.tile(np.arange(50) << 50, 2), np.array([1, 7, 7, 7, 9]))
+    assert at[:50].tolist() == [1] * 50 and sorted(set(at[50:].tolist())) == [2, 3, 4]
+
+
 def test_digest_form():
     code = digest.codes("hello größer world".encode())
     assert (digest.from_hex(digest.to_hex(code)) == code).all()
