@@ -98,3 +98,20 @@ def test_priority_penalties_lower_the_score(spark):
     base = (L(0.9), L(1.0), L(1.0), L(65536), L("HIGH"), L(2))
     r = one(spark, scoring.priority(*base, L(False), L(0.0)).alias("a"), scoring.priority(*base, L(True), L(0.0)).alias("b"), scoring.priority(*base, L(False), L(1.0)).alias("c"))
     assert r.a == 0.96 and r.b == 0.81 and r.c == 0.86
+
+
+def test_each_sensitive_pattern_is_matched_once(spark):
+    from palimpsest.functions import sensitivity as se
+
+    df = se.analyze(spark.createDataFrame([(1, "Top SECRET file of ABCDE1234F")], "id long, text string"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == len(se.IDENTIFIERS) + len(se.CREDENTIALS) + len(se.KEYWORDS)
+    assert [(m.category, m.occurrence_count) for m in df.first().matches] == [("pan", 1), ("sensitive_keyword", 1), ("sensitive_keyword", 1)]
+
+
+def test_every_keyword_passes_the_cheap_test(spark):
+    from palimpsest.functions import sensitivity as se
+
+    texts = [(i, "An " + p.replace(r"\b", "").replace("[- ]", "-").replace("?", "").upper() + " x") for i, (p, _) in enumerate(se.KEYWORDS)]
+    found = se.matches(spark.createDataFrame(texts, "id long, text string"), "keywords").collect()
+    assert {(r.id, r.pattern_name) for r in found} >= {(i, name) for i, (_, name) in enumerate(se.KEYWORDS)}
