@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 import pandas as pd
@@ -117,9 +118,12 @@ def archive_search(kind: str, parts: list[tuple[str, int, bytes]], width: int =
 CANDIDATE = "cluster_id string, file_type string, fragment_ids array<string>, content binary, status string, structural_validity double, parser_message string, ambiguous boolean, archive_state string, used_all_fragments boolean"
 
 
-def reassemble(members: DataFrame) -> DataFrame:
+def reassemble(members: DataFrame, propose: Callable[[list[str], list[str]], list[str] | None] | None = None) -> DataFrame:
     """A candidate for each cluster: ``members`` has cluster_id, inferred_type, id, offset, type_hint, data.
 
+    More than six texts go by offset, or by the order of ids that ``propose`` (ids, texts) gives if it names
+    each fragment once; else the message says why it was not taken.
+
     One cluster's members are read together (they become one file); clusters are bounded
     by the density rule's reach, and the content by 2 GB, Spark's limit of a cell.
     """
@@ -131,7 +135,7 @@ def reassemble(members: DataFrame) -> DataFrame:
         kind = infer_type(df["inferred_type"].iat[0], list(df["type_hint"]), parts[0][2])
         if not any(p[2] for p in parts):
             return pd.DataFrame([(cluster, kind, [p[0] for p in parts], b"", "cluster_only", 0.0, "No bytes to reassemble", False, "UNRECOVERABLE", True)], columns=names)
-        order, ambiguous, state = list(range(len(parts))), False, ""
+        order, ambiguous, state, told = list(range(len(parts))), False, "", ""
         if kind in ARCHIVES:
             order, valid, message, state = archive_search(archive_kind(parts[0][2]) or kind, parts)
             validity = (1.0 if state == COMPLETE else 0.85) if valid else 0.0
@@ -140,8 +144,14 @@ def reassemble(members: DataFrame) -> DataFrame:
                 texts = [p[2].decode("utf-8", "replace") for p in parts]
                 order, score, ties = text_order([p[0] for p in parts], [p[1] for p in parts], texts)
                 ambiguous = ties > 1 and len(parts) > 1
+                if propose is not None and len(parts) > SMALL:
+                    ids = [p[0] for p in parts]
+                    given = propose(ids, texts)
+                    taken, why = accepted_order(given, ids)
+                    order = [ids.index(i) for i in given] if taken else order
+                    told = "External order taken; " if taken else f"External order not taken ({why}); "
             verdict = check(kind, b"".join(parts[i][2] for i in order))
-            valid, message, validity = verdict.valid, verdict.message, float(verdict.valid)
+            valid, message, validity = verdict.valid, told + verdict.message, float(verdict.valid)
             if ambiguous:
                 message = f"Ambiguous candidate: {ties} orders tie at continuity {score:.2f}; {message}"
         status = "ambiguous" if ambiguous else "reconstructed" if valid else "validation_failed"

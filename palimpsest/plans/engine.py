@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, sensitivity
 from ..functions.profile import characterize
 from ..operators import carve as carving
-from ..operators import intervals, reassemble, relations, vectors
+from ..operators import formats, intervals, reassemble, relations, vectors
 from ..settings import DEFAULT, Settings
 from ..sources import evidence as ev
 from ..storage import stored
@@ -75,6 +75,7 @@ class Engine:
         t = self.tables
         rows = t["members"].join(t["characterized"], "seq").join(t["clusters"].select("label", "cluster_id", "inferred_type"), "label")
         t["candidates"] = stored(reassemble.reassemble(rows.select("cluster_id", "inferred_type", "id", "offset", "type_hint", "data")), "candidates")
+        t["nested"] = formats.nested(t["candidates"].where(F.col("file_type").isin(*relations.ARCHIVES)), "cluster_id")
 
     def score(self) -> None:
         t = self.tables

@@ -89,3 +89,45 @@ def test_stream(spark, tmp_path):
     finally:
         q.stop()
     assert [x.sensitivity_level for x in r] == ["HIGH"]
+
+
+def test_external_order_of_large_texts(spark):
+    from palimpsest.operators import reassemble
+
+    rows = spark.createDataFrame([("c", "text", f"F{k}", k * 100, "text", bytearray(f"part {k}. ".encode())) for k in range(8)], "cluster_id string, inferred_type string, id string, offset long, type_hint string, data binary")
+    back = reassemble.reassemble(rows, lambda ids, texts: ids[::-1]).first()
+    assert list(back.fragment_ids) == [f"F{k}" for k in range(7, -1, -1)] and back.parser_message.startswith("External order taken")
+    kept = reassemble.reassemble(rows, lambda ids, texts: ids[:-1]).first()
+    assert list(kept.fragment_ids) == [f"F{k}" for k in range(8)] and "leaves out fragments: F7" in kept.parser_message
+
+
+def test_archive_report_header_and_json(spark, tmp_path):
+    import json
+
+    from palimpsest.plans import reports
+    from palimpsest.plans.engine import Engine
+    from palimpsest.sources import fixtures as fx
+
+    e = Engine(spark, fx.image_frame(spark).where("source_path in ('multi_format', 'no_header')"))
+    ranked = e.run()
+    r = reports.archive_report(ranked, e.tables["nodes"]).first()
+    assert (r.carved_archive_fragments, r.archive_types, r.archive_reconstructions, r.complete, r.partial, r.invalid, r.nested, r.braided) == (1, "zip", 1, 1, 0, 0, 0, 0)
+    assert e.tables["nested"].count() == 0
+    lines = reports.summary_header(ranked, {"source_path": "x", "size_bytes": 9862, "sha256": "ab"}, e.tables["fragments"].count(), e.tables["clusters"].count(), 1.5)
+    assert lines[0] == "Evidence: x, 9,862 bytes, SHA-256 ab" and "Fragments: 4" in lines and "Candidates: 4" in lines and "Structurally valid: 4" in lines
+    reports.save_json(ranked.select("rank", "file_type"), str(tmp_path / "j"))
+    got = [json.loads(x) for f in (tmp_path / "j").glob("part-*") for x in f.read_text().splitlines()]
+    assert sorted(g["file_type"] for g in got) == ["jpeg", "pdf", "sqlite", "zip"]
+
+
+def test_bytes_of_fragments_over_chunks(spark, monkeypatch):
+    """Fragments over several chunks, beyond the end, and of an unknown image."""
+    from palimpsest.sources import evidence as ev
+
+    monkeypatch.setattr(ev, "CHUNK", 100)
+    image = bytes(i % 251 for i in range(950))
+    images = spark.createDataFrame([("a", bytearray(image))], "source_path string, content binary")
+    asked = [("a", 0, 950), ("a", 99, 2), ("a", 150, 400), ("a", 900, 500), ("a", 300, 100), ("b", 0, 10)]
+    rows = ev.fragment_bytes(spark.createDataFrame(asked, "source string, offset long, length long"), images).collect()
+    got = {(r.source, r.offset, r.length): r.data and bytes(r.data) for r in rows}
+    assert got == {(s, o, n): image[o : o + n] if s == "a" else None for s, o, n in asked}
