@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_count, mixed, stored, text_blocks
+from .common import bucket_count, mixed, stored, text_blocks, tidy
 
 _B = np.uint64(0x5851F42D4C957F2D)
 _B_INV = np.uint64(pow(int(_B), -1, 1 << 64))
@@ -425,10 +425,10 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
     decides on the text itself.
     """
     buckets = bucket_count(docs)
-    sent = docs.select("text", "uid").mapInArrow(_sender(_first_source(kind), kind, buckets), "bucket int, open binary, known binary")
+    sent = docs.select("text", "uid").mapInArrow(tidy(_sender(_first_source(kind), kind, buckets)), "bucket int, open binary, known binary")
     spans = docs.sparkSession.createDataFrame([], SPANS)
     while True:
-        found = stored(by_bucket(sent, buckets).mapInArrow(_receiver(kind), _FOUND), "suffixes")
+        found = stored(by_bucket(sent, buckets).mapInArrow(tidy(_receiver(kind)), _FOUND), "suffixes")
         asked, heavy = found.where("uid is not null"), found.where("uid is null").select("key")
         many = heavy.count() if kind.reach else 0  # a prefix that is the window has no surroundings
         if many:
@@ -440,7 +440,7 @@ def repeated_spans(docs: DataFrame, kind: Kind, resolve: Resolve) -> DataFrame:
         kind = kind.longer()
         ids = more.select("uid").distinct()
         docs = docs.join(F.broadcast(ids) if ids.count() <= SENT_KEYS else ids, "uid", "left_semi")
-        sent = fetch(more, docs, buckets).mapInArrow(_sender(_denser_source(kind), kind, buckets), "bucket int, open binary, known binary")
+        sent = fetch(more, docs, buckets).mapInArrow(tidy(_sender(_denser_source(kind), kind, buckets)), "bucket int, open binary, known binary")
 
 
 def merged(uid: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

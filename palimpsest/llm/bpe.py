@@ -10,8 +10,9 @@ stored last tokens back from the end gives the exact ids.
 
 Defined results: a null text is the empty text (no ids, empty decoded text); white
 space only gives no ids; ties cannot arise (the last token is unique); rows are
-treated one by one, so repeated rows repeat, and very long texts are streamed in
-pieces of words.  Other columns of the input are ignored.
+treated one by one, so repeated rows repeat; a text's words are encoded one after the
+other, and the results of one text are held together.  Other columns of the input are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import id_text
+from .common import id_text, tidy
 
 #: White space in the sense of Unicode's White_Space property.
 _WS = r"\t-\r \x85\xa0  -     　"
@@ -47,7 +48,7 @@ def _byte_letters() -> list[str]:
 class WordBpe:
     """A tokenizer file of kind BPE with a word-end suffix: NFC, white space, lower case, then words."""
 
-    def __init__(self, path: str, cache_words: int = 1 << 18):
+    def __init__(self, path: str, cache_words: int = 1 << 17):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -131,7 +132,7 @@ class WordBpe:
                 continue
             ok = compatible.get((p, r))
             if ok is None:
-                if len(compatible) >= 1 << 20:
+                if len(compatible) >= 1 << 18:
                     compatible.clear()
                 ok = compatible[p, r] = self._fits(p, r)
             if ok:
@@ -221,7 +222,7 @@ def encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text
                 ids = np.array(" ".join([x[1] for x in found]).split(), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([" ".join([x[2] for x in found])])], names=["doc_id", "ids", "decoded"])
 
-    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return id_text(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded string")
 
 
 def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -235,4 +236,4 @@ def encode_digests(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str
                 rows = [_digests(bpe, x or "") for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return id_text(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,7 +7,8 @@ numpy temporaries of an operator stay bounded whatever Arrow's batch size is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -112,5 +113,21 @@ def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mixed(h + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
+Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def tidy(run: Batches) -> Batches:
+    """``run``, and then the memory that it no longer needs goes back to the system: Python workers outlive their tasks, and the next stage needs it."""
+
+    def all_of_it(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim is not None:
+            trim(0)
+
+    return all_of_it
+
+
 def text_of(data: np.ndarray, off: np.ndarray, i: int) -> bytes:
     return data[off[i] : off[i + 1]].tobytes()

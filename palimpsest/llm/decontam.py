@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, id_text, mixed, text_blocks, word_hashes, words
+from .common import _LOWER, id_text, mixed, text_blocks, tidy, word_hashes, words
 
 LEAST_WORDS = 3
 THRESHOLD = 0.5
@@ -201,7 +201,7 @@ def count_grams(docs: DataFrame, grams: np.ndarray) -> np.ndarray:
         full = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(total[full])], names=["k", "n"])
 
-    rows = docs.select("text").mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
+    rows = docs.select("text").mapInArrow(tidy(run), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toPandas()
     count = np.zeros(len(grams), np.int64)
     count[rows["k"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return count
@@ -285,7 +285,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
                 if got:
                     yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array([g[0] for g in got])), pa.array([seeds.ids[g[1]] for g in got], pa.int64()), pa.array([g[2] for g in got])], names=["doc_id", "item_id", "score"])
 
-        out = out.unionByName(docs.mapInArrow(run, schema))
+        out = out.unionByName(docs.mapInArrow(tidy(run), schema))
     return out
 
 
@@ -303,5 +303,5 @@ def without(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD,
                 keep[[g[0] for g in matches_of(*_tokens(data, off), shared.value)]] = False
                 yield rows.select(schema.names).filter(pa.array(keep))
 
-        docs = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).mapInArrow(run, schema)
+        docs = docs.withColumn(low, F.lower(F.col(f"`{text}`"))).mapInArrow(tidy(run), schema)
     return docs

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, text_blocks, words
+from .common import _LOWER, text_blocks, tidy, words
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -99,7 +99,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text") -> tuple[list
                 total.setdefault(name.as_py(), np.zeros(len(ORDERS) * BUCKETS, np.int64))[own.column(1).to_numpy()] += own.column(2).to_numpy()
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([zstandard.compress(x.tobytes(), 1) for x in total.values()], pa.binary())], names=["lang", "counts"])
 
-    counts = known.mapInArrow(run, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(tidy(run), "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     found = counts.repartition("lang").mapInArrow(gather, "lang string, counts binary").limit(MAX_LANGUAGES + 1).collect()
     if len(found) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -212,4 +212,4 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
         from pyspark.sql import types as T
 
         schema = T.StructType([*schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_components
 from .anchors import numbered
-from .common import bucket_count, id_text, lowered, stored, text_blocks, words
+from .common import bucket_count, id_text, lowered, stored, text_blocks, tidy, words
 
 TILE = 1 << 14
 SHINGLE = 3
@@ -85,7 +85,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         for rows, data, off in text_blocks(batches):
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(fingerprints_of(data, off).view(np.int64))], names=["doc_id", "fp"])
 
-    return id_text(docs, doc_id, text).mapInArrow(run, "doc_id long, fp long")
+    return id_text(docs, doc_id, text).mapInArrow(tidy(run), "doc_id long, fp long")
 
 
 def _steps(radius: int, segments: int) -> list[tuple[int, ...]]:
@@ -234,8 +234,8 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
         if left is not None and len(left):
             yield done(left)
 
-    dealt = distinct.select("fp").mapInArrow(deal, "tile long, piece int, side byte, fp long")
-    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(compare, "u long, v long")
+    dealt = distinct.select("fp").mapInArrow(tidy(deal), "tile long, piece int, side byte, fp long")
+    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(tidy(compare), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

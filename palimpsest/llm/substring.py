@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPANS, Kind, by_bucket, fetch, kept, numbered, repeated_spans, runs_of, span_rows, suffixes, with_spans
-from .common import word_hashes, words
+from .common import tidy, word_hashes, words
 from .suffix import shared, sort_rows
 
 WINDOW = 50
@@ -188,8 +188,8 @@ def _subtrees(kind: Kind):
 
 
 def _resolve(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
-    dealt = fetch(asked, docs, buckets).mapInArrow(_deal(kind, buckets), "bucket int, part int, rows binary, uid long, begin int, stop int")
-    return by_bucket(dealt, buckets).sortWithinPartitions("part").mapInArrow(_subtrees(kind), SPANS)
+    dealt = fetch(asked, docs, buckets).mapInArrow(tidy(_deal(kind, buckets)), "bucket int, part int, rows binary, uid long, begin int, stop int")
+    return by_bucket(dealt, buckets).sortWithinPartitions("part").mapInArrow(tidy(_subtrees(kind)), SPANS)
 
 
 def _each(b: pa.RecordBatch):
@@ -210,7 +210,7 @@ def remove_digests(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in (0, 1)), pa.array([f[2] for f in found], pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     rows = numbered(docs, doc_id, text)
-    return with_spans(rows, repeated_spans(rows, kind_of(window), _resolve), "doc_id").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return with_spans(rows, repeated_spans(rows, kind_of(window), _resolve), "doc_id").mapInArrow(tidy(run), "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,4 +231,4 @@ def remove(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text:
 
     names = docs.columns
     rows = numbered(docs, doc_id, text, rest=True)
-    return with_spans(rows, repeated_spans(rows.drop("rest", "void"), kind_of(window), _resolve), "void", "rest").mapInArrow(run, docs.schema)
+    return with_spans(rows, repeated_spans(rows.drop("rest", "void"), kind_of(window), _resolve), "void", "rest").mapInArrow(tidy(run), docs.schema)

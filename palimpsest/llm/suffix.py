@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import SPANS, Kind, by_bucket, fetch, fetch_few, kept, numbered, padded, repeated_spans, runs_of, span_rows, suffixes, surroundings, with_spans
+from .common import tidy
 
 WINDOW = 200
 #: Suffixes that a task sorts at once, and that are resolved at once after the merge.
@@ -303,8 +304,8 @@ def _combine(kind: Kind) -> callable:
 def _resolve(asked: DataFrame, docs: DataFrame, kind: Kind, buckets: int) -> DataFrame:
     cuts = splitters(asked, docs, kind, buckets)
     shared_cuts = docs.sparkSession.sparkContext.broadcast(cuts)
-    sent = fetch(asked, docs, buckets).mapInArrow(_sort(kind, shared_cuts), "bucket int, run binary, uid long, begin int, stop int")
-    return by_bucket(sent, len(cuts) + 1).mapInArrow(_combine(kind), SPANS)
+    sent = fetch(asked, docs, buckets).mapInArrow(tidy(_sort(kind, shared_cuts)), "bucket int, run binary, uid long, begin int, stop int")
+    return by_bucket(sent, len(cuts) + 1).mapInArrow(tidy(_combine(kind)), SPANS)
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, np.ndarray]]:
@@ -331,7 +332,7 @@ def remove_digests(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id"
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([f[i] for f in found], pa.int64()) for i in range(3)), pa.array([f[3] for f in found], pa.string())], names=names)
 
     rows = numbered(docs, doc_id, text)
-    return with_spans(rows, repeated_spans(rows, kind_of(window), _resolve), "doc_id").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(rows, repeated_spans(rows, kind_of(window), _resolve), "doc_id").mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
