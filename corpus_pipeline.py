@@ -21,7 +21,7 @@ from palimpsest.llm.common import stored, table
 from palimpsest.llm.queries import tokenizer_path
 from palimpsest.session import ship
 
-#: Bits: with one word changed in 100 to 2,000, 0.53 of all copies are within 2 bits, 0.85 within 4, 0.95 within 6.
+#: Bits: of copies with one word changed in 100 to 2,000, 0.755 are within 2 bits, 0.935 within 4, 0.988 within 6 (400 made-up texts).
 #: Unrelated texts are that near with a probability of 5e-12 a pair.
 NEAR_BITS = 6
 
