@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..storage import bucket_count, stored
+
 STRETCH = 1 << 24
 
 
@@ -58,11 +60,7 @@ def running_offset(df: DataFrame, group: str, order: str, size: str, name: str =
 
     Rows are cut into ranges of (group, order); what a range adds to each group is summed apart.
     """
-    from ..storage import stored
-
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cut = stored(df.repartitionByRange(n, group, order).withColumn("piece", F.spark_partition_id()), "ranges")
+    cut = stored(df.repartitionByRange(bucket_count(df), group, order).withColumn("piece", F.spark_partition_id()), "ranges")
     totals = cut.groupBy(group, "piece").agg(F.sum(size).alias("total"))
     start = totals.withColumn("base", F.coalesce(F.sum("total").over(W.partitionBy(group).orderBy("piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("total")
     within = F.coalesce(F.sum(size).over(W.partitionBy(group, "piece").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -74,13 +72,8 @@ def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataF
 
     ``df`` is written first: the sample that cuts the ranges would compute it once more.
     """
-    from ..storage import stored
-
     df = stored(df, "unranked")
-
-    spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    cut = stored(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "ranked")
+    cut = stored(df.repartitionByRange(bucket_count(df), *order).sortWithinPartitions(*order).withColumn("row", F.monotonically_increasing_id()), "ranked")
     piece = F.shiftright("row", 33)
     sizes = {r.p: r.n for r in cut.groupBy(piece.alias("p")).agg(F.count("*").alias("n")).collect()}  # a row a partition
     total, base = 0, []

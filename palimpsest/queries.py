@@ -282,7 +282,7 @@ def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as candidates, with status, message and flags derived from their keys."""
+    """Orders as candidates, with status, message and flags derived from their keys; some count as empty, with gaps known or not."""
     c = intervals.coverage(line_intervals(spark, sf_dir)).drop("ranges").withColumnRenamed("group", "order_id")
     k = lambda n: F.pmod("order_id", F.lit(n))
     status = F.when(k(11) == 0, "cluster_only").when(k(7) == 0, "ambiguous").when(k(5) == 0, "validation_failed").otherwise("reconstructed")
@@ -290,15 +290,16 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = c.withColumn("header", k(2) == 0).withColumn("footer", k(3) == 0).withColumn("cluster_confidence", k(101) / 100.0).withColumn("kind", F.when(k(13) == 0, "raw").otherwise("pdf"))
     ok = F.col("status") == "reconstructed"
     c = c.withColumn("confidence", scoring.confidence(F.col("status"), F.col("fragments"), F.col("cluster_confidence"), F.col("ambiguous")))
-    c = c.withColumn("completeness", scoring.completeness(F.col("raw_bytes"), F.col("gap_count"), F.col("gap_bytes"), F.col("header"), F.col("footer")))
+    actual, gaps = F.when(k(17) == 0, 0).otherwise(F.col("raw_bytes")), F.when(k(34) != 0, F.col("gap_count"))
+    c = c.withColumn("completeness", scoring.completeness(actual, gaps, F.col("gap_bytes"), F.col("header"), F.col("footer")))
     c = c.withColumn("validity", scoring.validity(ok, F.col("status"))).withColumn("corruption", scoring.corruption(ok, F.col("status"), F.col("parser_message")))
     return c.withColumn("composite", scoring.composite(F.col("confidence"), F.col("completeness"), F.col("validity"), F.col("corruption")))
 
 
 _CANDIDATES_SQL = f"""{_COVER_SQL}, c0 AS (SELECT *, g AS order_id, span_bytes - unique_bytes AS gap_bytes, CASE WHEN g % 11 = 0 THEN 'cluster_only' WHEN g % 7 = 0 THEN 'ambiguous' WHEN g % 5 = 0 THEN 'validation_failed' ELSE 'reconstructed' END AS status, (g % 101) / 100.0::DOUBLE AS cc FROM cover),
 c1 AS (SELECT *, CASE status WHEN 'cluster_only' THEN 0.10::DOUBLE WHEN 'validation_failed' THEN 0.40::DOUBLE WHEN 'ambiguous' THEN 0.45::DOUBLE ELSE 0.70::DOUBLE END + 0.20::DOUBLE * cc + CASE WHEN fragments = 1 AND status = 'reconstructed' THEN 0.10::DOUBLE ELSE 0::DOUBLE END AS s,
-  raw_bytes::DOUBLE / (raw_bytes + gap_bytes)::DOUBLE * (1::DOUBLE - least(0.35::DOUBLE, gap_count * 0.07::DOUBLE)) AS t FROM c0),
-c2 AS (SELECT *, least(1.0, greatest(0.0, {_round_sql("CASE WHEN status = 'ambiguous' THEN least(s, 0.45::DOUBLE) * 0.75::DOUBLE ELSE s END")})) AS confidence, least(1.0, greatest(0.0, {_round_sql("CASE WHEN g % 2 = 0 AND g % 3 = 0 AND gap_count = 0 THEN least(1.0, t + 0.05::DOUBLE) ELSE t END")})) AS completeness,
+  CASE WHEN g % 17 <> 0 THEN raw_bytes::DOUBLE / (raw_bytes + gap_bytes)::DOUBLE WHEN gap_count = 0 THEN 1.0::DOUBLE ELSE greatest(0.2::DOUBLE, 1::DOUBLE - gap_count * 0.15::DOUBLE) END * (1::DOUBLE - least(0.35::DOUBLE, gap_count * 0.07::DOUBLE)) AS t FROM c0),
+c2 AS (SELECT *, least(1.0, greatest(0.0, {_round_sql("CASE WHEN status = 'ambiguous' THEN least(s, 0.45::DOUBLE) * 0.75::DOUBLE ELSE s END")})) AS confidence, least(1.0, greatest(0.0, {_round_sql("CASE WHEN g % 34 = 0 THEN 0.0::DOUBLE WHEN g % 2 = 0 AND g % 3 = 0 AND gap_count = 0 THEN least(1.0, t + 0.05::DOUBLE) ELSE t END")})) AS completeness,
   CASE WHEN status = 'reconstructed' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS validity, CASE WHEN status IN ('cluster_only', 'reconstructed') THEN 0.0::DOUBLE WHEN g % 10 = 0 THEN 0.9::DOUBLE ELSE 0.75::DOUBLE END AS corruption FROM c1),
 c AS (SELECT *, {_round_sql("0.25::DOUBLE * confidence + 0.25::DOUBLE * completeness + 0.35::DOUBLE * validity + 0.15::DOUBLE * (1 - corruption)")} AS composite, {_round_sql("unique_bytes / span_bytes::DOUBLE")} AS ratio,
   CASE WHEN status = 'cluster_only' THEN 'UNRECOVERABLE' WHEN status = 'ambiguous' THEN 'AMBIGUOUS' WHEN validity >= 1 AND gap_count = 0 THEN 'FULLY_RECONSTRUCTED' WHEN validity >= 1 THEN 'STRUCTURALLY_VALID_PARTIAL' WHEN g % 13 = 0 THEN 'RAW_BINARY_RECOVERY' WHEN gap_count > 0 THEN 'PARTIALLY_RECONSTRUCTED' ELSE 'STRUCTURALLY_INVALID' END AS recovery_status FROM c2)"""
