@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import stored  # noqa: F401  for the operators
+from ..storage import bucket_count, stored  # noqa: F401  for the operators
 
 #: ASCII white space that ends a word.
 _SPACE = np.zeros(256, dtype=bool)
@@ -40,14 +40,6 @@ def fold(doc_id, n: int):
     return F.coalesce((F.crc32(doc_id.cast("string")) % n).cast("int"), F.lit(-1))
 
 
-def bucket_count(df: DataFrame, bytes_each: int = 24 << 20) -> int:
-    """Buckets for an exchange whose size follows the input: the session's setting, or more for large inputs."""
-    spark = df.sparkSession
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    wanted = min(1 << 17, size // bytes_each) if size < 1 << 60 else 0  # larger: Spark does not know
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), wanted)
-
-
 def text_blocks(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BLOCK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """(rows, their UTF-8 bytes, offsets) for runs of rows; a null text counts as empty."""
     for batch in batches:

@@ -1,4 +1,4 @@
-"""The queries of the ten training-data operators, with production parameters and whole tables."""
+"""The queries of the training-data operators, with production parameters and whole tables."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, digest, langid, licenses, lm, quality, simhash, substring, suffix
+from . import bpe, decontam, digest, langid, licenses, lm, negatives, quality, simhash, substring, suffix
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -67,5 +67,12 @@ def op10_prefix_suffix_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_digests(table(spark, sf_dir, "documents"), window=50)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op6_license_digests, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees)}
-ORACLE_SQL: dict[str, str] = {"op6_license_digests": licenses.oracle_sql()}
+def op11_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = e.select("vec_id", label.alias("label"), negatives.quantized(F.col("embedding")).alias("embedding"))
+    return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, band=(80, 100))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op6_license_digests, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees, op11_voronoi_negatives)}
+ORACLE_SQL: dict[str, str] = {"op6_license_digests": licenses.oracle_sql(), "op11_voronoi_negatives": negatives.oracle_sql()}
