@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, digest, langid, licenses, lm, negatives, quality, simhash, substring, suffix
+from . import bpe, decontam, digest, langid, licenses, lm, mixing, negatives, quality, simhash, substring, suffix, tries
 from .common import fold, id_text, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -74,5 +74,14 @@ def op11_voronoi_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, band=(80, 100))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op6_license_digests, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees, op11_voronoi_negatives)}
-ORACLE_SQL: dict[str, str] = {"op6_license_digests": licenses.oracle_sql(), "op11_voronoi_negatives": negatives.oracle_sql()}
+def op12_cube_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = mixing.mix(table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, cap=2.0)
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
+def op13_louds_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.nodes(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_mixture, op2_rare_seed_alignment, op3_simhash_tiles, op4_quartile_digest, op5_log_bilinear_nce, op6_license_digests, op7_attention_passages, op8_bpe_prefix_dp, op9_suffix_merge_sort, op10_prefix_suffix_trees, op11_voronoi_negatives, op12_cube_mixing, op13_louds_trie)}
+ORACLE_SQL: dict[str, str] = {"op6_license_digests": licenses.oracle_sql(), "op11_voronoi_negatives": negatives.oracle_sql(), "op13_louds_trie": tries.oracle_sql()}
