@@ -10,9 +10,11 @@ time move along the null space of the two constraints, their words and their num
 until one of them is in or out, so that both totals of the source stay as they are.
 Sources are cut into blocks of about ``BLOCK`` documents by a hash; what is left of a
 block, two documents, goes on to the next round, where fewer blocks remain.  In the last
-block of a source ``LANDING`` documents of all lengths keep out of the flight; among all
-subsets of these and the two that it leaves, the landing takes that whose words, and next
-whose number, are nearest to what is open.
+block of a source the longest open document moves against all others, so that a few short
+ones are left; among all their subsets the landing takes that whose words, and next whose
+number, are nearest to what is open.  A few documents of every length wait for that
+block.  Only where a source's open document is longer than
+all others can make up, single short documents change to come near the target.
 
 Every random number comes from a hash of the documents of a block, so runs agree
 whatever the partitions are.
@@ -39,6 +41,7 @@ from .common import bucket_count, stored, text_blocks, tidy, words
 WEIGHTS = (5, 2, 1)
 BLOCK = 2048
 LANDING = 12
+WAITING = 512  # of a source of many blocks, documents that wait for the last one
 SEED = 20
 SENT_SOURCES = 1 << 16  # sources whose figures are sent to every task; more are joined, salted
 SALTS = 32
@@ -119,38 +122,82 @@ def _subsets(n: int) -> np.ndarray:
 def landing(p: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Zeros and ones for a few open probabilities: their words, next their number, nearest to the expected ones."""
     some = _subsets(len(p))
-    miss = np.abs(some @ size - p @ size) + 0.01 * size.mean() * np.abs(some.sum(axis=1) - p.sum())
+    miss = np.abs(some @ size - p @ size) + 0.01 * max(1.0, size.mean()) * np.abs(some.sum(axis=1) - p.sum())
     return some[int(miss.argmin())]
 
 
-UNIT = "no_source boolean, source string, doc_id long, size long, rows long, source_size long, target double, whole int, sure long, hash long, p double"
+UNIT = "no_source boolean, source string, doc_id long, size long, rows long, source_size long, target double, whole int, sure long, hash long, late boolean, p double"
+
+
+def descent(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The flight with all open documents at once: the longest moves, all others share the opposite move, until ``LANDING`` short ones are left."""
+    p = p.copy()
+    for k in np.argsort(-size, kind="stable").tolist():
+        while EPS < p[k] < 1 - EPS:
+            open_ = np.flatnonzero((p > EPS) & (p < 1 - EPS))
+            if len(open_) <= LANDING:
+                return np.where((p <= EPS) | (p >= 1 - EPS), np.round(p), p)
+            q, s = p[open_], size[open_] / size[open_].max() if size[open_].max() else size[open_]
+            d, a = q * (1 - q), np.stack([np.ones(len(q)), s])
+            own = np.where(open_ == k, 1.0, 0.0)
+            u = d * (own - a.T @ (np.linalg.pinv(a * d @ a.T) @ (a @ (d * own))))
+            if np.abs(u).max() < 1e-6 * d.max():  # nothing can make up for it
+                break
+            u[np.abs(u) < 1e-12 * np.abs(u).max()] = 0
+            with np.errstate(divide="ignore", invalid="ignore"):
+                up = np.where(u > 0, (1 - q) / u, np.where(u < 0, q / -u, np.inf)).min()
+                down = np.where(u > 0, q / u, np.where(u < 0, (1 - q) / -u, np.inf)).min()
+            p[open_] = np.clip(q + (up if rng.random() * (up + down) < down else -down) * u, 0, 1)
+    return np.where((p <= EPS) | (p >= 1 - EPS), np.round(p), p)
+
+
+def repaired(taken: np.ndarray, size: np.ndarray, words_: float) -> np.ndarray:
+    """Where a long document was more than all others could make up: single documents change, the nearest to what is missing first, while the words come nearer."""
+    taken = taken.copy()
+    while True:
+        miss = words_ - taken @ size
+        if abs(miss) < 1:
+            return taken
+        rest = np.where(taken == (0.0 if miss > 0 else 1.0), np.abs(abs(miss) - size), np.inf)
+        k = int(rest.argmin())
+        if rest[k] >= abs(miss):
+            return taken
+        taken[k] = 1 - taken[k]
 
 
 def _moved(seed: list[int], t):
     """A block after its flight and, where it is its source's last, the landing."""
+    names = [x.split()[0] for x in UNIT.split(", ")]
+    if t["block"][0].as_py() < 0:
+        return t.select(names)
     last = t["blocks"][0].as_py() == 1
     h, id_, size = (t[c].fill_null(np.iinfo(np.int64).min).to_numpy() for c in ("hash", "doc_id", "size"))
     order, p = np.lexsort((id_, h)), t["p"].to_numpy().copy()
     rng = np.random.default_rng([*seed, int(h.min()) & 0xFFFFFFFFFFFF, int(h.astype(np.uint64).sum()) & 0xFFFFFFFFFFFF])
     size = size[order].astype(np.float64)
-    q = p[order]
-    flies = np.ones(len(q), bool)
-    if last:  # documents of all lengths wait for the landing, more of the long ones
-        flies[np.argsort(-size, kind="stable")[np.unique(np.geomspace(1, len(q), LANDING).astype(np.int64)) - 1]] = False
-    q[flies] = flight(q[flies], size[flies], rng)
+    q = (descent if last else flight)(p[order], size, rng)
     rest = np.flatnonzero((q > 0) & (q < 1))
+    if len(rest) > LANDING + 2:
+        q[rest] = flight(q[rest], size[rest], rng)
+        rest = np.flatnonzero((q > 0) & (q < 1))
     if last and len(rest):
         q[rest] = landing(q[rest], size[rest])
+    if last:
+        q = repaired(q, size, float(p @ t["size"].to_numpy()))
     p[order] = q
-    return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).select([x.split()[0] for x in UNIT.split(", ")])
+    return t.set_column(t.schema.get_field_index("p"), "p", pa.array(p)).select(names)
 
 
 def decided(units: DataFrame, sources: int, seed: int = SEED) -> DataFrame:
     """Units with p of 0 or 1: flights in blocks, in rounds of fewer blocks, and the landing."""
     open_, out, round_ = units.where((F.col("p") > EPS) & (F.col("p") < 1 - EPS)), units.where((F.col("p") <= EPS) | (F.col("p") >= 1 - EPS)), 0
+    many = open_.groupBy(*KEY).agg(F.count("*").alias("n"))
+    late = (F.col("n") > BLOCK) & (F.pmod(F.xxhash64("hash", F.lit(-1)), F.col("n")) < WAITING)
+    open_ = _with_sources(open_.drop("late"), many, sources).withColumn("late", late).select(units.columns)
     while True:
-        counts = open_.groupBy(*KEY).agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-        dealt = _with_sources(open_, counts, sources).withColumn("block", F.pmod(F.xxhash64("hash", F.lit(round_)), F.col("blocks")))
+        counts = open_.groupBy(*KEY).agg(F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("late")) / BLOCK)).cast("long").alias("blocks"))
+        block = F.when(F.col("late") & (F.col("blocks") > 1), -1).otherwise(F.pmod(F.xxhash64("hash", F.lit(round_)), F.col("blocks")))
+        dealt = _with_sources(open_, counts, sources).withColumn("block", block)
         moved = stored(dealt.groupBy(*KEY, "block").applyInArrow(functools.partial(_moved, [seed, round_]), UNIT), f"flight-{round_}")
         out = out.unionByName(moved.where("p <= 0 or p >= 1"))
         open_ = moved.where("p > 0 and p < 1")
@@ -169,9 +216,9 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1
     units = units.withColumn("whole", F.floor(F.col("ratio") + EPS).cast("int"))
     mass = F.col("rows") * F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))
     units = units.withColumn("sure", F.floor(mass + EPS).cast("long")).withColumn("hash", F.xxhash64(F.lit(seed), "doc_id", "size", *KEY))
-    units = units.withColumn("p", F.greatest(F.lit(0.0), mass - F.col("sure"))).select(*[x.split()[0] for x in UNIT.split(", ")])
+    units = units.withColumn("late", F.lit(False)).withColumn("p", F.greatest(F.lit(0.0), mass - F.col("sure"))).select(*[x.split()[0] for x in UNIT.split(", ")])
     done = decided(stored(units, "units"), n, seed)
-    return done.withColumn("extra", F.col("sure") + F.round("p").cast("long")).drop("sure", "p", "hash")
+    return done.withColumn("extra", F.col("sure") + F.round("p").cast("long")).drop("sure", "p", "hash", "late")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

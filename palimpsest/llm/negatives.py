@@ -5,15 +5,15 @@ largest norm of all: then |q' - x'|^2 = |q|^2 + M^2 - 2 q.x, and the greatest in
 products are the nearest neighbours.  Anchors fall in the cells of at most ``PIVOTS``
 pivots, each cell cut into blocks of at most ``ANCHORS`` anchors, nearest to the pivot
 first.  Every cell has its radius and the range of scores that its anchors still ask
-for; by the triangle inequality over a row's distance to the pivot, and by the same
+for, bounded by what their block and a sample of at most ``SAMPLE`` rows already offer; by the triangle inequality over a row's distance to the pivot, and by the same
 bound on the inner product itself, a row is replicated to only those cells that it
 might serve.  Rows travel packed as blocks of numbers, cells with many are dealt over
 many tasks, and each pair of blocks is joined exactly by one matrix product, of which
 a task keeps the best few for each anchor.
 
-Two such joins follow each other.  The first finds every anchor's positives; a lower
-bound of their scores comes from the anchors of the same block.  The second finds
-negatives within the band of each positive's score.
+Two such joins follow each other.  The first finds every anchor's positives, the second
+negatives within the band of each positive's score.  The sample only excludes rows that
+cannot be among the first few; results are exact.
 
 The work of the matrix products is anchors times rows where the bounds can exclude
 nothing, as among random directions.
@@ -40,6 +40,7 @@ PIVOTS = 1024  # cells, a bound of what the driver and every task hold of the an
 PIVOT_BYTES = 32 << 20
 CELL_ANCHORS = 256  # a pivot for so many anchors, as far as PIVOTS goes
 ANCHORS = 1024
+SAMPLE = 4096
 BLOCK_ROWS, BLOCK_BYTES = 4096, 1 << 20
 SALT_ROWS = 1 << 17
 BUFFER_BYTES = 32 << 20
@@ -126,10 +127,40 @@ def _column(batch: pa.RecordBatch, name: str):
     return batch.column(batch.schema.get_field_index(name))
 
 
-def _blocks(anchors: DataFrame, pivots: np.ndarray, dim: int, k: int) -> DataFrame:
+def _share(score: np.ndarray, per_cent: int) -> np.ndarray:
+    """floor(per_cent * score / 100) without products beyond 64 bits."""
+    return per_cent * (score // 100) + per_cent * (score % 100) // 100
+
+
+Sample = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _sample(rows: DataFrame, dim: int) -> Sample:
+    """Numbers, row numbers and labels of a few rows, by hash."""
+    some = rows.select("row", "label", "v").orderBy(F.xxhash64("row", "id")).limit(max(1, min(SAMPLE, PIVOT_BYTES // max(8 * dim, 1)))).toArrow().combine_chunks()
+    if not some.num_rows:
+        return np.zeros((0, dim), np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return _matrix(some.column("v").chunk(0), dim), some.column("row").to_numpy(), some.column("label").to_numpy()
+
+
+def _known(m: np.ndarray, row: np.ndarray, label: np.ndarray, sample: Sample) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Products of a block's anchors with each other and with the sample, whether labels are equal, and whether it is another row."""
+    new = ~np.isin(sample[1], row)
+    other, rows, labels = (np.concatenate(x) for x in ((m.astype(np.int64), sample[0][new]), (row, sample[1][new]), (label, sample[2][new])))
+    return _products(m, other), label[:, None] == labels, row[:, None] != rows
+
+
+def _floor(score: np.ndarray, k: int) -> np.ndarray:
+    """The k-th greatest of each row."""
+    n = score.shape[1]
+    return np.partition(score, n - k, axis=1)[:, n - k] if n >= k else np.full(len(score), LEAST)
+
+
+def _blocks(anchors: DataFrame, pivots: np.ndarray, dim: int, k: int, sample: Sample) -> DataFrame:
     """Anchors by cell as packed blocks, with their radius and, of each anchor, a score that its k-th positive reaches."""
     total = anchors.count()
     shared = anchors.sparkSession.sparkContext.broadcast(pivots)
+    known = anchors.sparkSession.sparkContext.broadcast(sample)
 
     def placed(batches):
         for b in batches:
@@ -147,9 +178,8 @@ def _blocks(anchors: DataFrame, pivots: np.ndarray, dim: int, k: int) -> DataFra
             for lo, hi in zip(*_runs(cell, most), strict=True):
                 s = b.slice(lo, hi - lo)
                 m, row, id_, label = _matrix(_column(s, "v"), dim), *(_column(s, n).to_numpy().astype(np.int64) for n in ("row", "id", "label"))
-                score = _products(m, m)
-                score[(label[:, None] != label) | (row[:, None] == row)] = LEAST
-                floor = np.partition(score, len(row) - k, axis=1)[:, len(row) - k] if len(row) > k else np.full(len(row), LEAST)
+                score, same, other = _known(m, row, label, known.value)
+                floor = _floor(np.where(same & other, score, LEAST), k)
                 q = (m.astype(np.float64) ** 2).sum(axis=1)
                 width, data = _pack(m)
                 yield _rows([(int(cell[lo]), part + made, float(_column(s, "far").to_numpy().max()), int(floor.min()), MOST, float(q.max()), width, data, row.tobytes(), id_.tobytes(), label.tobytes(), floor.tobytes(), None)], BLOCKS)
@@ -277,9 +307,10 @@ def _positives(pairs: DataFrame, dim: int, k: int) -> DataFrame:
     return found.withColumn("place", place).where(F.col("place") <= k)
 
 
-def _asked(blocks: DataFrame, positives: DataFrame, dim: int, k: int, n: int, band: tuple[int, int]) -> DataFrame:
+def _asked(blocks: DataFrame, positives: DataFrame, dim: int, k: int, n: int, band: tuple[int, int], sample: Sample) -> DataFrame:
     """Blocks with their positives and the range of scores that a negative can have."""
     each = positives.groupBy("block").agg(F.collect_list(F.struct("slot", "place", "id", "score")).alias("found"))  # k for each anchor of a block
+    known = blocks.sparkSession.sparkContext.broadcast(sample)
 
     def run(batches):
         for b in batches:
@@ -293,16 +324,16 @@ def _asked(blocks: DataFrame, positives: DataFrame, dim: int, k: int, n: int, ba
                 if not has.any():
                     continue
                 m = _unpack(r["width"], r["data"], dim)
-                score = _products(m, m)
+                score, same, _ = _known(m, _longs(r["rows"]), label, known.value)
                 low = np.full((size, k), MOST)
-                for j in range(k):  # the first n negatives within the block bound those of all
+                for j in range(k):  # the first n negatives among a few rows bound those of all
                     p = pos[1][:, j, None]
-                    s = np.where((label[:, None] != label) & (band[0] * p <= 100 * score) & (100 * score <= band[1] * p), score, LEAST)
-                    best = np.partition(s, size - n, axis=1)[:, size - n] if size >= n else np.full(size, LEAST)
-                    low[:, j] = np.maximum(best, -(-band[0] * pos[1][:, j] // 100))
+                    least = -_share(-p, band[0])
+                    best = _floor(np.where(~same & (score >= least) & (score <= _share(p, band[1])), score, LEAST), n)
+                    low[:, j] = np.maximum(best, least[:, 0])
                 low[~has] = MOST
                 floors = low.min(axis=1)
-                high = int((band[1] * pos[1] // 100).max())
+                high = int(_share(pos[1], band[1]).max())
                 q = float((m[has.any(axis=1)].astype(np.float64) ** 2).sum(axis=1).max())
                 yield _rows([(*(r[c] for c in ("cell", "block", "far")), int(floors.min()), high, q, *(r[c] for c in ("width", "data", "rows", "ids", "labels")), low.tobytes(), pos.tobytes())], BLOCKS)
 
@@ -313,7 +344,7 @@ def _negatives(pairs: DataFrame, dim: int, k: int, n: int, band: tuple[int, int]
     def begin(r):
         low = _longs(r["floors"])
         pos = _longs(r["positives"]).reshape(2, -1, k)
-        return {"block": r["block"], "m": _unpack(r["width"], r["data"], dim), "id": _longs(r["ids"]), "label": _longs(r["labels"]), "pos": pos, "high": band[1] * pos[1].max(axis=1) // 100, "kept": _Kept(len(low), n, low)}
+        return {"block": r["block"], "m": _unpack(r["width"], r["data"], dim), "id": _longs(r["ids"]), "label": _longs(r["labels"]), "pos": pos, "high": _share(pos[1].max(axis=1), band[1]), "kept": _Kept(len(low), n, low)}
 
     def step(s, r):
         score = _products(s["m"], _unpack(r["x_width"], r["x_data"], dim))
@@ -322,7 +353,7 @@ def _negatives(pairs: DataFrame, dim: int, k: int, n: int, band: tuple[int, int]
         got, id_ = score[a, b], _longs(r["x_ids"])[b]
         for j in range(k):
             p = s["pos"][1][a, j]
-            use = (p >= 0) & (band[0] * p <= 100 * got) & (100 * got <= band[1] * p)
+            use = (p >= 0) & (got >= -_share(-p, band[0])) & (got <= _share(p, band[1]))
             s["kept"].add(a[use] * k + j, got[use], id_[use])
 
     def end(s):
@@ -356,20 +387,18 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = 5, negatives: int
     count = max(1, min(PIVOTS, PIVOT_BYTES // max(8 * dim, 1), -(-size.anchors // CELL_ANCHORS)))
     chosen = anchors.select("v").orderBy(F.xxhash64("id"), "row").limit(count).toArrow()
     pivots = _matrix(chosen.column("v").combine_chunks(), dim)
-    blocks = _blocks(anchors, pivots, dim, positives)
+    sample = _sample(rows, dim)
+    blocks = _blocks(anchors, pivots, dim, positives, sample)
     found = _positives(_served(rows, blocks, pivots, dim, size.square), dim, positives)
-    asked = _asked(blocks, found, dim, positives, negatives, band)
+    asked = _asked(blocks, found, dim, positives, negatives, band, sample)
     return _negatives(_served(rows, asked, pivots, dim, size.square), dim, positives, negatives, band)
 
 
-_BAND = "80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score"
-
-
 def oracle_sql() -> str:
     """Every anchor against every row."""
-    return f"""WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+    return """WITH e AS (SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (SELECT a.id AS anchor, b.id, a.label = b.label AS same, CAST(list_inner_product(a.v, b.v) AS BIGINT) AS score FROM e a JOIN e b ON a.id % 100 = 0 AND a.id <> b.id),
 p AS (SELECT anchor, id, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, id) <= 5)
 SELECT p.anchor AS anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor, p.id ORDER BY n.score DESC, n.id) AS INTEGER) AS rank, n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
-FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND {_BAND} QUALIFY rank <= 5"""
+FROM p JOIN s n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score QUALIFY rank <= 5"""
