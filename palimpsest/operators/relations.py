@@ -9,15 +9,14 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.profile import round4
 from ..settings import DEFAULT, Settings
+from . import similarity
 from .components import star_components
-from .intervals import global_rank
 from .vectors import cosine, dot
 
 # Types of archives.
@@ -121,75 +120,77 @@ def all_pairs(fragments: DataFrame) -> DataFrame:
     return left.join(right, "e").where("a.seq < b.seq").select("a", "b")
 
 
-def _unit_rows(vectors: list) -> np.ndarray:
-    """Unit vectors, shorter ones filled with zeros; zeros where the cosine is defined as 0."""
-    m = np.zeros((len(vectors), max((len(v) for v in vectors if v is not None), default=0)))
-    for i, v in enumerate(vectors):
-        if v is not None:
-            m[i, : len(v)] = v
-    with np.errstate(all="ignore"):
-        norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        return np.where(np.isfinite(norm) & (norm > 0), m / norm, 0.0)
+#: Rows of a table of classes; kinds beyond it share the last class, which may match any.
+_ANY = similarity.CLASSES - 1
 
 
-def close_pairs(fragments: DataFrame, evidence: str | None = None, min_weight: float | None = None, s: Settings = DEFAULT, block: int = 4096) -> DataFrame:
-    """Pairs a, b (structs; a.seq < b.seq) that can be edges, at any distance: with ``edges`` the graph of ``all_pairs``.
+def _far_join(fragments: DataFrame, evidence: str | None, low: float, s: Settings) -> tuple[similarity.Join, similarity.Near]:
+    """Fragments in a similarity join by type class, and the test of pairs beyond ``near_pairs``.
 
-    Fragments go out in blocks of a fixed size and every task weighs its rows against a block by
-    one matrix product, so all pairs are looked at but only those within rounding of an edge leave
-    the task; ``edges`` measures these exactly.  All fragments are one evidence, or ``evidence``
-    names the column that tells them apart: blocks then follow its order, and a task leaves out
-    the rows of evidences that a block does not hold.
+    Classes tell types, texts and unknown sources apart: the least cosine that a pair needs
+    follows from what its types add to the weight, and from the proximity that is left beyond
+    the reach (all of it where a source is unknown, for then fragments are near in any source).
     """
-    low = s.min_edge_weight if min_weight is None else min_weight
-    total = s.similarity_weight + s.proximity_weight + s.type_weight
     code = lambda c: F.xxhash64(F.coalesce(c, F.lit("")))
-    one = F.lit(0).cast("bigint") if evidence is None else code(F.col(evidence).cast("string"))
-    kind = F.lower(F.coalesce("type_hint", F.lit("unknown")))
+    group = F.lit(0).cast("bigint") if evidence is None else code(F.col(evidence).cast("string"))
+    kind, source = F.lower(F.coalesce("type_hint", F.lit("unknown"))), F.coalesce(F.col("source").cast("string"), F.lit(""))
     rows = fragments.where("seq is not null").select(
-        F.col("seq").cast("bigint").alias("seq"), one.alias("evidence"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.col("offset").cast("double").alias("at"), F.col("length").cast("double").alias("length"),
-        code(kind).alias("kind"), (kind == "unknown").alias("unknown"), (F.coalesce("characterization", F.lit("binary")) == "text").alias("text"), F.col("vector").cast("array<double>").alias("vector"),
+        F.col("seq").cast("bigint").alias("id"), group.alias("group"), F.col("vector").cast("array<double>").alias("v"), kind.alias("kind"), (F.coalesce("characterization", F.lit("binary")) == "text").alias("text"),
+        code(source).alias("source"), (source != "").alias("known"), F.col("offset").cast("double").alias("at"), F.col("length").cast("double").alias("length"),
     )
-    rows = rows.withColumn("known", F.col("source") != "").withColumn("source", F.xxhash64("source"))
-    names = ["seq", "evidence", "source", "known", "at", "length", "kind", "unknown", "text"]
-
-    def columns(batch):
-        return {n: batch.column(batch.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names} | {"v": _unit_rows(batch.column(batch.schema.get_field_index("vector")).to_pylist())}
-
-    def met(a, b):
-        """Places in a and b of the pairs, a first, whose weight or similarity can reach the minimum."""
-        x = {n: a[n][:, None] for n in names}
-        width = min(a["v"].shape[1], b["v"].shape[1])
-        sim = np.maximum(a["v"][:, :width] @ b["v"][:, :width].T, 0)
+    common = rows.groupBy("kind", "text", "known").count().orderBy(F.desc("count"), "kind", "text", "known").limit(_ANY).collect()
+    number = rows.sparkSession.createDataFrame([(r.kind, r.text, r.known, i) for i, r in enumerate(common)], "kind string, text boolean, known boolean, class long")
+    rows = rows.join(F.broadcast(number), ["kind", "text", "known"], "left").withColumn("class", F.coalesce("class", F.lit(_ANY))).withColumn("unknown", F.col("kind") == "unknown").withColumn("kind", F.xxhash64("kind"))
+    total, far = s.similarity_weight + s.proximity_weight + s.type_weight, reach(s)
+
+    def match(x, y):
+        return 1.0 if x.kind == y.kind and x.kind != "unknown" else 0.85 if x.text and y.text else 0.20 if "unknown" in (x.kind, y.kind) else 0.0
+
+    least = np.zeros((similarity.CLASSES, similarity.CLASSES))
+    for i in range(len(least)):
+        for j in range(len(least)):
+            x, y = (common[k] if k < len(common) else None for k in (i, j))
+            type_, beyond = match(x, y) if x and y else 1.0, math.exp(-far / s.decay_bytes) if x and y and x.known and y.known else 1.0
+            need = (low * total - s.type_weight * type_ - s.proximity_weight * beyond) / s.similarity_weight if s.similarity_weight else -1.0
+            least[i, j] = min(s.min_similarity, need if need > 0 else -2.0) - SLACK
+
+    def near(a, b, cosines):
+        """Pairs whose weight or similarity can reach the minimum, but for those of ``near_pairs``."""
+        x = {n: a[n][:, None] for n in ("kind", "unknown", "text", "source", "known", "at", "length")}
+        sim = np.maximum(cosines, 0)
         gap = np.maximum(np.maximum(b["at"] - x["at"] - x["length"], x["at"] - b["at"] - b["length"]), 0)
-        prox = np.where(x["known"] & b["known"] & (x["source"] != b["source"]), 0, np.exp(-gap / s.decay_bytes))
+        both = x["known"] & b["known"]
+        prox = np.where(both & (x["source"] != b["source"]), 0, np.exp(-gap / s.decay_bytes))
         type_ = np.where((x["kind"] == b["kind"]) & ~x["unknown"], 1.0, np.where(x["text"] & b["text"], 0.85, np.where(x["unknown"] | b["unknown"], 0.20, 0.0)))
         weight = (s.similarity_weight * sim + s.proximity_weight * prox + s.type_weight * type_) / total
-        ok = ((weight >= low - SLACK) | (sim >= s.min_similarity - SLACK)) & (x["seq"] < b["seq"]) & (x["evidence"] == b["evidence"])
-        return np.nonzero(ok)
-
-    n = rows.count()
-    blocks = [rows]
-    if n > block:
-        ranked = global_rank(rows, [F.asc("evidence"), F.asc("seq")], "row")
-        blocks = [ranked.where(F.col("row").between(k + 1, k + block)).drop("row") for k in range(0, n, block)]
-    out = fragments.sparkSession.createDataFrame([], "u long, v long")
-    for part in blocks:
-        shared = fragments.sparkSession.sparkContext.broadcast(columns(part.toArrow().combine_chunks()))
-
-        def run(batches, shared=shared):
-            for b in batches:
-                b = b.filter(pa.array(np.isin(b.column(1).to_numpy(zero_copy_only=False), shared.value["evidence"])))
-                for k in range(0, b.num_rows, 1024):
-                    mine = columns(b.slice(k, 1024))
-                    i, j = met(shared.value, mine)
-                    yield pa.RecordBatch.from_arrays([pa.array(shared.value["seq"][i]), pa.array(mine["seq"][j])], names=["u", "v"])
-
-        out = out.unionByName(rows.mapInArrow(run, "u long, v long"))
-    whole = F.struct(*fragments.columns)
+        return ((weight >= low - SLACK) | (sim >= s.min_similarity - SLACK)) & ~(both & (x["source"] == b["source"]) & (gap <= far))
+
+    dim = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    return similarity.Join(rows.select("id", "group", "class", "v", "kind", "unknown", "text", "source", "known", "at", "length"), least, max(dim, 0)), near
+
+
+def close_pairs(fragments: DataFrame, evidence: str | None = None, min_weight: float | None = None, s: Settings = DEFAULT) -> DataFrame:
+    """Pairs a, b (structs; a.seq < b.seq) that can be edges, at any distance: with ``edges`` the graph of ``all_pairs``.
+
+    Near fragments of one source come from the join on bins; all others from an exact
+    similarity join, as beyond the reach an edge needs a cosine of 0.28 or more.  All
+    fragments are one evidence, or ``evidence`` names the column that tells them apart.
+    """
+    low = s.min_edge_weight if min_weight is None else min_weight
     same = F.lit(True) if evidence is None else F.col(f"a.{evidence}").eqNullSafe(F.col(f"b.{evidence}"))
-    left, right = fragments.select(F.col("seq").alias("u"), whole.alias("a")), fragments.select(F.col("seq").alias("v"), whole.alias("b"))
-    return out.distinct().join(left, "u").join(right, "v").where(same).select("a", "b")
+    there = fragments.where("seq is not null")
+    near = near_pairs(there.where("coalesce(source, '') <> ''"), s)
+    first = F.col("a.seq") < F.col("b.seq")
+    near = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b")).where(F.col("a.seq") != F.col("b.seq"))
+    whole = F.struct(*fragments.columns)
+    left, right = there.select(F.col("seq").alias("u"), whole.alias("a")), there.select(F.col("seq").alias("v"), whole.alias("b"))
+    far = similarity.links(*_far_join(fragments, evidence, low, s)).join(left, "u").join(right, "v").select("a", "b")
+    return near.unionByName(far).where(same)
+
+
+def pruned(fragments: DataFrame, evidence: str | None = None, s: Settings = DEFAULT) -> float:
+    """The share of pairs that the similarity join of ``close_pairs`` never multiplies."""
+    return 1.0 - _far_join(fragments, evidence, s.min_edge_weight, s)[0].share()
 
 
 def distance(s: Settings = DEFAULT) -> Column:

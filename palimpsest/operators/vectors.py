@@ -185,57 +185,5 @@ def cosine(a: Column, b: Column) -> Column:
 
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     c = F.when((norm > 0) & ~F.isnan(norm), dot(a, b) / norm).otherwise(0.0)
-    c = F.when(F.isnan(c), 0.0).otherwise(c)
+    c = F.when(F.isnan(c) | c.isNull(), 0.0).otherwise(c)
     return round4(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c)))
-
-
-def top_k(base: DataFrame, queries: DataFrame, k: int = 5, id_: str = "vec_id", vector: str = "embedding", block: int = 4096) -> DataFrame:
-    """query_id, id, similarity, place: the k most similar other rows of each query; ties by id.
-
-    Queries go out in blocks of a fixed size; every task scores its rows against a
-    block by one matrix product and keeps k for each query, so a query costs k rows a task.
-    """
-    spark = base.sparkSession
-    items = queries.select(F.col(id_).cast("bigint").alias("q"), F.col(vector).cast("array<double>").alias("v")).where("q is not null")
-    total = items.count()
-    blocks = max(1, -(-total // block))
-    out = None
-    for i in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).orderBy("q").collect()
-        if not part and out is not None:
-            continue
-        shared = spark.sparkContext.broadcast((np.array([r.q for r in part], np.int64), _unit([r.v for r in part])))
-
-        def run(batches, shared=shared):
-            ids, q = shared.value
-            best_s, best_i = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
-            for b in batches:
-                if not len(ids) or not b.num_rows:
-                    continue
-                own = b.column(0).to_numpy(zero_copy_only=False)
-                s = np.floor(np.clip(q @ _unit(b.column(1).to_pylist(), q.shape[1]).T, -1, 1) * 1e4 + 0.5 + 1e-7) / 1e4
-                s[ids[:, None] == own[None, :]] = -2
-                best_s = np.concatenate([best_s, s], axis=1)
-                best_i = np.concatenate([best_i, np.broadcast_to(own, s.shape)], axis=1)
-                keep = np.lexsort((best_i, -best_s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(best_s, keep, 1), np.take_along_axis(best_i, keep, 1)
-            ok = best_s.ravel() > -2
-            rows = np.repeat(ids, best_s.shape[1])[ok]
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(best_i.ravel()[ok]), pa.array(best_s.ravel()[ok])], names=["query_id", "id", "similarity"])
-
-        found = base.select(F.col(id_).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null").mapInArrow(run, "query_id long, id long, similarity double")
-        out = found if out is None else out.unionByName(found)
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
-    return out.withColumn("place", place).where(F.col("place") <= k)
-
-
-def _unit(vectors: list, dim: int = 0) -> np.ndarray:
-    dim = dim or max((len(v) for v in vectors if v is not None), default=1)
-    m = np.zeros((len(vectors), dim))
-    for i, v in enumerate(vectors):
-        if v is not None and len(v) == dim:
-            m[i] = np.nan_to_num(np.array(v, float), nan=0.0, posinf=0.0, neginf=0.0)
-    norm = np.linalg.norm(m, axis=1, keepdims=True)
-    return m / np.where(norm > 0, norm, 1)

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import profile, scoring, sensitivity
-from .operators import carve, formats, intervals, reassemble, relations, vectors
+from .operators import carve, formats, index, intervals, reassemble, relations, similarity, vectors
 from .plans import reports
 from .plans.engine import Engine
 from .settings import Settings
@@ -241,11 +241,44 @@ def cluster_roll_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.roll_up(relations.clusters(f, LOOSE)[0], f, LOOSE).select("label", "members", "inferred_type", "confidence", F.array_join(F.transform("member_ids", lambda x: x.cast("string")), ",").alias("member_ids"), "reason")
 
 
+def _vector_groups_sql(eps: float, samples: int) -> str:
+    """Density clusters on cosines alone, over all pairs of embeddings."""
+    return f"""RECURSIVE v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+every AS (SELECT a.id AS u, b.id AS v FROM v a JOIN v b ON a.id <> b.id AND 1.0::DOUBLE - greatest(0.0::DOUBLE, {_round_sql("list_cosine_similarity(a.v, b.v)")}) <= {eps}::DOUBLE),
+cores AS (SELECT id AS u FROM v LEFT JOIN every ON every.u = v.id GROUP BY id HAVING count(every.v) + 1 >= {samples}),
+both_ AS (SELECT e.u, e.v FROM every e JOIN cores c ON c.u = e.u JOIN cores d ON d.u = e.v),
+reached(u, r) AS (SELECT u, u FROM cores UNION SELECT b.v, reached.r FROM reached JOIN both_ b ON b.u = reached.u WHERE b.v > reached.r),
+owned AS (SELECT u AS id, min(r) AS label FROM reached GROUP BY u),
+labels AS (SELECT * FROM owned UNION ALL SELECT e.u, min(o.label) FROM every e JOIN owned o ON o.id = e.v WHERE e.u NOT IN (SELECT u FROM cores) GROUP BY e.u)"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+
+
+@query(f"WITH {_vector_groups_sql(0.62, 2)} SELECT id, label FROM labels")
+def vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters on vectors alone; random directions are nearly orthogonal, so the radius is wider than the engine's."""
+    return similarity.dense_groups(_vectors(spark, sf_dir), eps=0.62)[0]
+
+
+@query(f"WITH {_vector_groups_sql(0.66, 4)} SELECT label, count(*) AS members, CAST(sum(id) AS BIGINT) AS ids FROM labels GROUP BY label")
+def vector_dense_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cores need four points within reach: clusters with their members and the sum of these."""
+    found = similarity.dense_groups(_vectors(spark, sf_dir), eps=0.66, min_samples=4)[0]
+    return found.groupBy("label").agg(F.count("*").alias("members"), F.sum("id").alias("ids"))
+
+
+@query(f"WITH {_vector_groups_sql(0.66, 4)} SELECT id FROM v WHERE id NOT IN (SELECT id FROM labels)")
+def vector_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.dense_groups(_vectors(spark, sf_dir), eps=0.66, min_samples=4)[1]
+
+
 @query(f"""SELECT q.vec_id AS query_id, e.vec_id AS id, {_round_sql("list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))")} AS similarity,
 CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY {_round_sql("list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))")} DESC, e.vec_id) AS INTEGER) AS place FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0 QUALIFY place <= 5""")
 def similar_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
-    return vectors.top_k(e, e.where(F.pmod("vec_id", F.lit(20)) == 0), k=5)
+    return index.top_k(e, e.where(F.pmod("vec_id", F.lit(20)) == 0), k=5)
 
 
 # Intervals, recoverability, integrity

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import carve, formats, intervals, reassemble, relations, vectors
+from palimpsest.operators import carve, formats, intervals, reassemble, relations, similarity, vectors
 from palimpsest.operators.components import star_components
 from palimpsest.sources import evidence as ev
 from palimpsest.sources import fixtures as fx
@@ -80,18 +80,20 @@ def test_roll_up(spark):
     assert (r.member_ids, r.inferred_type, r.confidence) == ([0, 1], "pdf", 1.0)
 
 
-@pytest.mark.parametrize("block", [7, 4096])
-def test_edges_at_any_distance(spark, block):
+@pytest.mark.parametrize("block", [7, 1024])
+def test_edges_at_any_distance(spark, block, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "PIVOT_POINTS", 10 * block)
     rng = random.Random(3)
     far = [fragment(0, 0, unit(1)), fragment(1, 90_000_000, unit(1)), fragment(2, 0, unit(1), source="other", kind="jpeg")]
     rows = far + [fragment(i, rng.randrange(20) * 40_000, [rng.choice([0.0, 0.0, 1.0, 2.0]) for _ in range(6)] + [0.0] * 58, source=rng.choice(["one", "two"]), kind=rng.choice(["zip", "pdf", "unknown"])) for i in range(3, 40)]
     f = spark.createDataFrame(rows, SCHEMA)
     want = relations.edges(relations.all_pairs(f.withColumn("evidence", F.lit(1)))).collect()
-    got = relations.edges(relations.close_pairs(f, block=block)).collect()
+    got = relations.edges(relations.close_pairs(f)).collect()
     assert sorted(got) == sorted(want) and {(0, 1), (0, 2)} <= {(r.source_id, r.target_id) for r in got}
-    apart = relations.edges(relations.close_pairs(f, "source", block=block)).collect()
+    apart = relations.edges(relations.close_pairs(f, "source")).collect()
     assert sorted(apart) == sorted(relations.edges(relations.all_pairs(f.withColumn("evidence", F.col("source")))).collect())
-    assert relations.close_pairs(f.where("id < 0"), block=block).count() == 0
+    assert relations.close_pairs(f.where("id < 0")).count() == 0
 
 
 def test_cosine(spark):
