@@ -14,13 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import profile, scoring, sensitivity
-from .operators import carve, formats, index, intervals, reassemble, relations, similarity, vectors
-from .plans import reports
+from .operators import asof, carve, formats, index, intervals, orders, reassemble, relations, similarity, vectors
+from .plans import metrics, reports
 from .plans.engine import Engine
 from .settings import Settings
 from .sources import evidence as ev
 from .sources import fixtures
-from .streaming import watch
+from .streaming import sessions, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -538,6 +538,119 @@ def event_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watch.activity(table(spark, sf_dir, "events")).withColumn("total", F.floor(F.col("total") * 100 + 0.5) / 100)
 
 
+# Streams, as-of joins, agreement, orders
+
+
+_SESSIONS_SQL = """o AS (SELECT user_id, ts, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+s AS (SELECT *, sum(CASE WHEN p IS NULL OR ts - p > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM o),
+found AS (SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 6 HOUR AS ended, count(*) AS events, count(*) FILTER (event_type = 'error') AS errors FROM s GROUP BY user_id, k)"""
+
+
+@query(f"WITH {_SESSIONS_SQL} SELECT * FROM found")
+def event_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.sessions(table(spark, sf_dir, "events"))
+
+
+@query(f"WITH {_SESSIONS_SQL} SELECT * FROM found WHERE ended < (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE")
+def streamed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream, through duplicates, state and timers: cases that the last watermark closes."""
+    found = sessions.drained(sessions.cases(sessions.events_stream(spark, f"{sf_dir}/events.parquet", files=64)), "cases")[0]
+    return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
+
+
+@query("""SELECT e.event_id, e.user_id, e.ts, e.event_type, c.event_id AS view_id, c.ts AS view_ts, c.value AS view_value
+FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') c ON e.user_id = c.user_id AND e.ts > c.ts""")
+def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event that is no view with the last view of its user before it."""
+    e = table(spark, sf_dir, "events")
+    views = e.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
+    return asof.asof(e.where("event_type <> 'view'").select("event_id", "user_id", "ts", "event_type"), views, "ts", ("user_id",), {"event_id": "view_id", "ts": "view_ts", "value": "view_value"}, tie="event_id")
+
+
+@query("SELECT e.event_id, c.event_id AS error_id, CAST(epoch_us(e.ts) - epoch_us(c.ts) AS BIGINT) AS since_us FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') c ON e.ts > c.ts")
+def last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event with the last error of any user before it: a join without a key."""
+    e = table(spark, sf_dir, "events")
+    found = asof.asof(e.select("event_id", "ts"), e.where("event_type = 'error'").select("ts", "event_id"), "ts", (), {"event_id": "error_id", "ts": "error_ts"}, tie="event_id")
+    return found.select("event_id", "error_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("error_ts").cast("timestamp"))).alias("since_us"))
+
+
+def _kendall_sql(rows: str) -> str:
+    return f"""WITH r AS (SELECT row_number() OVER () AS i, a, b FROM ({rows}) WHERE a IS NOT NULL AND b IS NOT NULL),
+p AS (SELECT sign(x.a - y.a) AS sa, sign(x.b - y.b) AS sb FROM r x JOIN r y ON x.i < y.i),
+n AS (SELECT count(*) AS pairs, count(*) FILTER (sa * sb > 0) AS concordant, count(*) FILTER (sa * sb < 0) AS discordant, count(*) FILTER (sa <> 0) AS na, count(*) FILTER (sb <> 0) AS nb FROM p)
+SELECT pairs, concordant, discordant, pairs - concordant - discordant AS tied, coalesce({_round_sql("(concordant - discordant) / nullif(sqrt(na::DOUBLE * nb::DOUBLE), 0)")}, 0) AS tau FROM n"""
+
+
+@query(_kendall_sql("SELECT conv_id * 1000 + turn AS a, CAST(strlen(text) AS BIGINT) AS b FROM conversations"))
+def turn_order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order of turns against their length, over all turns as one sequence."""
+    c = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("a"), F.octet_length("text").cast("long").alias("b"))
+    return metrics.order_agreement(c, "a", "b")
+
+
+@query(_kendall_sql("SELECT n_chars AS a, CAST(length(source) * 100 + doc_id % 100 AS BIGINT) AS b FROM documents"))
+def document_order_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("n_chars").alias("a"), (F.length("source") * 100 + F.col("doc_id") % 100).cast("long").alias("b"))
+    return metrics.order_agreement(d, "a", "b")
+
+
+@query(f"""WITH {_vector_groups_sql(0.62, 2)}, r AS (SELECT e.label AS t, l.label AS f FROM embeddings e JOIN labels l ON l.id = e.vec_id),
+c AS (SELECT t, f, count(*)::DOUBLE AS n FROM r GROUP BY ALL), tn AS (SELECT t, sum(n) AS tn FROM c GROUP BY 1), fn AS (SELECT f, sum(n) AS fn FROM c GROUP BY 1),
+x AS (SELECT sum(n * (n - 1) / 2) AS both_, sum(n) AS items, sum(n * n / fn) / sum(n) AS p, sum(n * n / tn) / sum(n) AS r FROM c JOIN tn ON c.t IS NOT DISTINCT FROM tn.t JOIN fn ON c.f IS NOT DISTINCT FROM fn.f),
+y AS (SELECT x.*, (SELECT sum(tn * (tn - 1) / 2) FROM tn) AS a, (SELECT sum(fn * (fn - 1) / 2) FROM fn) AS b FROM x),
+z AS (SELECT *, a * b / (items * (items - 1) / 2) AS e, (a + b) / 2 AS m FROM y)
+SELECT CAST(items AS BIGINT) AS items, {_round_sql("(both_ - e) / (m - e)")} AS adjusted_rand, {_round_sql("p")} AS b3_precision, {_round_sql("r")} AS b3_recall, {_round_sql("2 * p * r / (p + r)")} AS b3_f1 FROM z""")
+def vector_cluster_agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters of vectors against the labels of the embeddings."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("truth"))
+    return metrics.cluster_agreement(vector_clusters(spark, sf_dir).join(e, "id"), "truth", "label")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(text, '') AS x, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations QUALIFY n <= 8),
+g AS (SELECT conv_id, turn, n, right(regexp_replace(x, '\\s+$', ''), 1) AS t, substr(regexp_replace(x, '^\\s+', ''), 1, 1) AS h, suffix(x, chr(10)) AS nl FROM c),
+e AS (SELECT conv_id, i, j, CASE WHEN j >= i THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END + {_RULE_SQL} AS s FROM (SELECT a.conv_id, a.turn AS i, b.turn AS j, a.t, b.h, a.nl FROM g a JOIN g b ON a.conv_id = b.conv_id AND a.turn <> b.turn)),
+p(conv_id, n, path, last, score) AS (SELECT conv_id, n, [turn], turn, 0.0::DOUBLE FROM g UNION ALL SELECT p.conv_id, n, list_append(path, j), j, score + s FROM p JOIN e ON e.conv_id = p.conv_id AND e.i = p.last AND NOT list_contains(path, j)),
+f AS (SELECT *, count(*) OVER (PARTITION BY conv_id, score) AS ties, row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, path DESC) AS place FROM p WHERE len(path) = n)
+SELECT conv_id, array_to_string(path, ',') AS turns, score, ties FROM f WHERE place = 1""")
+def text_order_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best order of the turns of every conversation of up to 12, with the number of orders that tie."""
+    found = orders.best_orders(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text")
+    return found.select(F.col("group").alias("conv_id"), F.array_join(F.transform("offsets", lambda x: x.cast("string")), ",").alias("turns"), "score", "ties")
+
+
+def proposed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders for conversations as an outside model may give them: backwards, some with a turn lost, named twice or unknown, some not at all."""
+    c = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("group"), F.col("turn").alias("id"))
+    k, place = F.col("group") % 5, -F.col("id")
+    lost = c.where(~((k == 1) & (F.col("id") == 0)) & (k != 4)).select("group", place.alias("place"), "id")
+    twice = c.where((k == 2) & (F.col("id") == 1)).select("group", F.lit(1).cast("long").alias("place"), "id")
+    unknown = c.where((k == 3) & (F.col("id") == 0)).select("group", F.lit(2).cast("long").alias("place"), (F.col("id") + 1000).alias("id"))
+    return lost.unionByName(twice).unionByName(unknown)
+
+
+_PROPOSED_SQL = """m AS (SELECT conv_id AS g, turn AS id FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT g, id, -id AS place FROM m WHERE NOT (g % 5 = 1 AND id = 0) AND g % 5 <> 4 UNION ALL SELECT g, id, 1 FROM m WHERE g % 5 = 2 AND id = 1 UNION ALL SELECT g, id + 1000, 2 FROM m WHERE g % 5 = 3 AND id = 0),
+v AS (SELECT g, CASE WHEN NOT EXISTS (SELECT 1 FROM o WHERE o.g = k.g) THEN 'no order given'
+  WHEN EXISTS (SELECT 1 FROM o WHERE o.g = k.g GROUP BY id HAVING count(*) > 1) THEN (SELECT count(*) FROM (SELECT id FROM o WHERE o.g = k.g GROUP BY id HAVING count(*) > 1)) || ' repeated'
+  WHEN EXISTS (SELECT id FROM o WHERE o.g = k.g EXCEPT SELECT id FROM m WHERE m.g = k.g) THEN (SELECT count(*) FROM (SELECT id FROM o WHERE o.g = k.g EXCEPT SELECT id FROM m WHERE m.g = k.g)) || ' unknown'
+  WHEN EXISTS (SELECT id FROM m WHERE m.g = k.g EXCEPT SELECT id FROM o WHERE o.g = k.g) THEN (SELECT count(*) FROM (SELECT id FROM m WHERE m.g = k.g EXCEPT SELECT id FROM o WHERE o.g = k.g)) || ' missing' ELSE '' END AS reason FROM (SELECT DISTINCT g FROM m) k)"""
+
+
+@query(f"WITH {_PROPOSED_SQL} SELECT g AS conv_id, reason = '' AS accepted, reason FROM v")
+def order_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("group"), F.col("turn").alias("id"))
+    return orders.divided(proposed_orders(spark, sf_dir), members).withColumnRenamed("group", "conv_id")
+
+
+@query(f"""WITH {_PROPOSED_SQL}, x AS (SELECT o.g, o.id, o.place AS pos FROM o JOIN v ON v.g = o.g AND reason = '' UNION ALL SELECT m.g, m.id, m.id FROM m JOIN v ON v.g = m.g AND reason <> '')
+SELECT g AS conv_id, id AS turn, row_number() OVER (PARTITION BY g ORDER BY pos, id) AS place FROM x""")
+def external_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns in the proposed order where it names each once, else as they stand."""
+    members = table(spark, sf_dir, "conversations").where("conv_id is not null").select(F.col("conv_id").alias("group"), F.col("turn").alias("id"), F.col("turn").alias("offset"))
+    return orders.external_order(proposed_orders(spark, sf_dir), members).select(F.col("group").alias("conv_id"), F.col("id").alias("turn"), "place")
+
+
 # Images and files made in code
 
 
