@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scoring, sensitivity
@@ -25,6 +28,8 @@ class Engine:
         self.tables: dict[str, DataFrame] = {"evidence": evidence}
         self._steps = [self.carve, self.profile, self.fingerprint, self.relate, self.reassemble, self.score, self.assess, self.rank]
         self._done = 0
+        self.listeners: list[Callable[[int, int, str], None]] = []
+        self._seconds: list[tuple[int, str, float, list[str]]] = []
 
     @classmethod
     def of(cls, spark: SparkSession, path: str) -> Engine:
@@ -32,10 +37,30 @@ class Engine:
 
     def stage(self, n: int) -> dict[str, DataFrame]:
         while self._done < n:
-            self._steps[self._done]()
+            step, known, began = self._steps[self._done], set(self.tables), time.perf_counter()
+            step()
             self._done += 1
+            self._seconds.append((self._done, step.__name__, time.perf_counter() - began, [t for t in self.tables if t not in known]))
+            for told in self.listeners:
+                told(self._done, len(self._steps), step.__name__)
         return self.tables
 
+    def telemetry(self) -> DataFrame:
+        """stage, name, seconds, table, rows: of each stage that ran, its time and the tables it made.
+
+        Rows are counted by an observation on one pass over each table.
+        """
+        out = []
+        for stage, name, seconds, made in self._seconds:
+            for table in made or [None]:
+                rows = None
+                if table is not None:
+                    seen = Observation(f"{name}-{table}")
+                    self.tables[table].observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+                    rows = seen.get["rows"]
+                out.append((stage, name, seconds, table, rows))
+        return self.spark.createDataFrame(out, "stage int, name string, seconds double, table string, rows long")
+
     def run(self) -> DataFrame:
         return self.stage(8)["ranked"]
 

@@ -651,87 +651,85 @@ def external_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.external_order(proposed_orders(spark, sf_dir), members).select(F.col("group").alias("conv_id"), F.col("id").alias("turn"), "place")
 
 
-# Images and files made in code
+# Files and images made of the documents
 
 
-def _values(names: str, rows: str) -> str:
-    return f"SELECT * FROM (VALUES {rows}) AS t({names})"
+#: Letters of a document's text and hash (sources/fixtures.py), by which the sizes of files go.
+_LETTERS = "docs AS (SELECT doc_id, 64 + 2 * CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents)"
+_KIND_SQL = f"""files AS (SELECT doc_id, n, list_extract({list(fixtures.KINDS)}, CAST(doc_id % {len(fixtures.KINDS)} AS INTEGER) + 1) AS kind, doc_id // {len(fixtures.KINDS)} % 2 = 1 AS damaged FROM docs)"""
+_JPEG, _ZIP = 136, 30 + 5 + 46 + 5 + 22  # bytes around the letters: headers and the end; headers, directory and end with a name of five
+#: By kind: validity and state of a whole and of a damaged file.
+_VERDICTS = ", ".join(f"('{k}', {v}, '{s}', {w}, '{t}')" for k, v, s, w, t in (
+    *((k, True, "STRUCTURALLY_VALID", False, "STRUCTURALLY_INVALID") for k in ("jpeg", "png", "gif", "bmp", "pdf", "text")), *((k, True, "COMPLETE_ARCHIVE", False, "STRUCTURALLY_INVALID") for k in ("zip", "docx", "tar", "bz2")),
+    *((k, True, "COMPLETE_ARCHIVE", True, "PARTIAL_ARCHIVE") for k in ("7z", "rar", "gz")), *((k, True, "STRUCTURALLY_VALID", True, "STRUCTURALLY_VALID") for k in ("wav", "sqlite")),
+))
 
 
-# Worked out from the layout of each image (sources/fixtures.py): sums of the lengths before a file
-@query(_values("source, id, \"offset\", length, type_hint, header_flag, footer_flag, group_id", """
-  ('multi_format', 'F0001', 64::BIGINT, 736::BIGINT, 'jpeg', true, true, NULL), ('multi_format', 'F0002', 64 + 736 + 64, 326, 'pdf', true, true, NULL),
-  ('multi_format', 'F0003', 64 + 736 + 64 + 326 + 64, 288, 'zip', true, true, NULL), ('multi_format', 'F0004', 64 + 736 + 64 + 326 + 64 + 288 + 64, 2 * 4096, 'sqlite', true, false, NULL),
-  ('twin_jpeg', 'F0001', 0, 736, 'jpeg', true, true, NULL), ('twin_jpeg', 'F0002', 736 + 64, 736, 'jpeg', true, true, NULL),
-  ('adjacent_jpegs', 'F0001', 64, 736, 'jpeg', true, true, NULL), ('adjacent_jpegs', 'F0002', 64 + 736 + 32, 736, 'jpeg', true, true, NULL),
-  ('disrupted_jpeg', 'F0001', 128, 250, 'jpeg', true, false, 'disrupted_jpeg_128'), ('disrupted_jpeg', 'F0002', 128 + 250 + 128, 736 - 400, 'jpeg', false, true, 'disrupted_jpeg_128'),
-  ('corrupt_stream', 'F0001', 0, 4 + 200, 'jpeg', true, false, 'disrupted_jpeg_0'), ('corrupt_stream', 'F0002', 4 + 200 + 128, 200 + 2, 'jpeg', false, true, 'disrupted_jpeg_0')"""))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+_CARVED_SQL = f"""images AS (SELECT doc_id, 'doc_' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS source, doc_id % 3 = 1 AS torn, n + {_JPEG} AS j, n + {_ZIP} AS z FROM docs),
+carved AS (SELECT doc_id, source, 1 AS k, 64 AS o, CASE WHEN torn THEN {fixtures.TORN} ELSE j END AS length, 'jpeg' AS kind, true AS header, NOT torn AS footer, CASE WHEN torn THEN 'disrupted_jpeg_64' END AS grp FROM images
+UNION ALL SELECT doc_id, source, 2, 64 + {fixtures.TORN} + 128, j - {fixtures.TORN}, 'jpeg', false, true, 'disrupted_jpeg_64' FROM images WHERE torn
+UNION ALL SELECT doc_id, source, CASE WHEN torn THEN 3 ELSE 2 END, 64 + j + CASE WHEN torn THEN 128 ELSE 0 END + 64, z, 'zip', true, true, NULL FROM images)"""
+
+
+@query(f"WITH {_LETTERS}, {_CARVED_SQL} SELECT source, 'F' || lpad(CAST(k AS VARCHAR), 4, '0') AS id, CAST(o AS BIGINT) AS \"offset\", length, kind AS type_hint, header AS header_flag, footer AS footer_flag, grp AS group_id FROM carved")
 def carve_images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return carve.carve(ev.chunked(fixtures.image_frame(spark))).select("source", "id", "offset", "length", "type_hint", "header_flag", "footer_flag", "group_id")
+    images = fixtures.text_images(_documents(spark, sf_dir))
+    return carve.carve(ev.chunked(images)).select("source", "id", "offset", "length", "type_hint", "header_flag", "footer_flag", "group_id")
 
 
-@query(_values("name, kind, valid, state", ", ".join(f"('{n}', '{k}', {v}, '{s}')" for n, k, v, s in (
-    ("jpeg", "jpeg", True, "STRUCTURALLY_VALID"), ("jpeg_cut", "jpeg", False, "STRUCTURALLY_INVALID"), ("png", "png", True, "STRUCTURALLY_VALID"), ("png_crc", "png", False, "STRUCTURALLY_INVALID"), ("gif", "gif", True, "STRUCTURALLY_VALID"),
-    ("bmp", "bmp", True, "STRUCTURALLY_VALID"), ("bmp_cut", "bmp", False, "STRUCTURALLY_INVALID"), ("tiff", "tiff", True, "STRUCTURALLY_VALID"), ("pcx", "pcx", True, "STRUCTURALLY_VALID"), ("pdf", "pdf", True, "STRUCTURALLY_VALID"),
-    ("pdf_empty", "pdf", False, "STRUCTURALLY_INVALID"), ("zip", "zip", True, "COMPLETE_ARCHIVE"), ("zip_no_end", "zip", False, "STRUCTURALLY_INVALID"), ("docx", "docx", True, "COMPLETE_ARCHIVE"), ("docx_bare", "docx", False, "STRUCTURALLY_INVALID"),
-    ("tar", "tar", True, "COMPLETE_ARCHIVE"), ("tar_sum", "tar", False, "STRUCTURALLY_INVALID"), ("7z", "7z", True, "COMPLETE_ARCHIVE"), ("7z_cut", "7z", True, "PARTIAL_ARCHIVE"), ("rar", "rar", True, "COMPLETE_ARCHIVE"),
-    ("rar_open", "rar", True, "PARTIAL_ARCHIVE"), ("wim", "wim", True, "STRUCTURALLY_VALID"), ("wav", "wav", True, "STRUCTURALLY_VALID"), ("sqlite", "sqlite", True, "STRUCTURALLY_VALID"), ("sqlite_cut", "sqlite", False, "STRUCTURALLY_INVALID"),
-    ("gz", "gz", True, "COMPLETE_ARCHIVE"), ("gz_cut", "gz", True, "PARTIAL_ARCHIVE"), ("bz2", "bz2", True, "COMPLETE_ARCHIVE"), ("text", "text", True, "STRUCTURALLY_VALID"), ("text_bad", "text", False, "STRUCTURALLY_INVALID"),
-))))
+@query(f"WITH {_LETTERS}, {_KIND_SQL} SELECT doc_id, kind, CASE WHEN damaged THEN w ELSE v END AS valid, CASE WHEN damaged THEN t ELSE s END AS state FROM files JOIN (VALUES {_VERDICTS}) AS x(kind, v, s, w, t) USING (kind)")
 def validate_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.sample_frame(spark).withColumn("v", formats.validate_format("kind", "data")).select("name", "kind", "v.valid", "v.state")
+    files = fixtures.wrapped_texts(_documents(spark, sf_dir))
+    return files.withColumn("v", formats.validate_format("kind", "data")).select(F.col("id").alias("doc_id"), "kind", "v.valid", "v.state")
 
 
-@query(_values("name, state, members, completeness, nested", ", ".join(f"('{n}', '{s}', '{m}', {c}::DOUBLE, 0::INTEGER)" for n, s, m, c in (
-    ("7z", "COMPLETE_ARCHIVE", "", 1.0), ("7z_cut", "PARTIAL_ARCHIVE", "", "(80 - 20) / 80.0"), ("bz2", "COMPLETE_ARCHIVE", "", 1.0), ("docx", "COMPLETE_ARCHIVE", "[Content_Types].xml,word/document.xml", 1.0), ("docx_bare", "COMPLETE_ARCHIVE", "a.txt,b.txt", 1.0),
-    ("gz", "COMPLETE_ARCHIVE", "", 1.0), ("gz_cut", "PARTIAL_ARCHIVE", "", 1.0), ("rar", "COMPLETE_ARCHIVE", "note.txt", 1.0), ("rar_open", "PARTIAL_ARCHIVE", "note.txt", 1.0), ("tar", "COMPLETE_ARCHIVE", "a.txt", 1.0),
-    ("wim", "STRUCTURALLY_VALID", "", 1.0), ("zip", "COMPLETE_ARCHIVE", "a.txt,b.txt", 1.0), ("zip_no_end", "PARTIAL_ARCHIVE", "a.txt,b.txt", 1.0),
-))))
+# Damaged archives: a ZIP without its directory's end still has members; a 7z file lacks the last 20 bytes of its packed size, header and 32 bytes before
+@query(f"""WITH {_LETTERS}, {_KIND_SQL}
+SELECT doc_id, kind, CASE WHEN damaged THEN 'PARTIAL_ARCHIVE' ELSE 'COMPLETE_ARCHIVE' END AS state, CASE kind WHEN 'zip' THEN 'a.txt,b.txt' WHEN 'docx' THEN '[Content_Types].xml,word/document.xml' WHEN 'tar' THEN 'a.txt' WHEN 'rar' THEN 'note.txt' ELSE '' END AS members,
+  CASE WHEN kind = '7z' AND damaged THEN {_round_sql("(n + 20) / (n + 40)::DOUBLE")} ELSE 1.0::DOUBLE END AS completeness, 0::INTEGER AS nested
+FROM files WHERE kind IN ('zip', 'docx', 'tar', '7z', 'rar', 'gz', 'bz2') AND NOT (damaged AND kind IN ('tar', 'bz2'))""")
 def archive_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fixtures.sample_frame(spark).withColumn("v", formats.validate_archive("data")).where("v.state <> 'STRUCTURALLY_INVALID'")
-    return found.select("name", "v.state", F.array_join("v.members", ",").alias("members"), "v.completeness", F.size(formats.nested_archives("data")).alias("nested"))
+    found = fixtures.wrapped_texts(_documents(spark, sf_dir)).withColumn("v", formats.validate_archive("data")).where("v.state <> 'STRUCTURALLY_INVALID'")
+    return found.select(F.col("id").alias("doc_id"), "kind", "v.state", F.array_join("v.members", ",").alias("members"), "v.completeness", F.size(formats.nested_archives("data")).alias("nested"))
 
 
-# A tar of a gzip file and a text: its members begin after headers of one block, and the stream is followed by other bytes
-@query(_values("parent_id, \"offset\", format, state", "('outer', 512::BIGINT, 'gz', 'PARTIAL_ARCHIVE'), ('outer', 1024, 'tar', 'COMPLETE_ARCHIVE')"))
+# The ZIP begins after one header of 512 bytes and is filled up to blocks of 512; the next header is the rest of the tar.
+# A ZIP's end is looked for in the last 65,557 bytes: beyond a longer rest of the tar (blocks, two empty ones, records of 10,240) only its members are found
+@query(f"""WITH {_LETTERS} SELECT CAST(doc_id AS VARCHAR) AS parent_id, 512::BIGINT AS "offset", 'zip' AS format, CASE WHEN ceil((2048 + ceil((n + {_ZIP}) / 512.0) * 512 + ceil(n / 512.0) * 512) / 10240.0) * 10240 - 512 - (n + {_ZIP}) > 65535 THEN 'VALID_MEMBER_ONLY' ELSE 'COMPLETE_ARCHIVE' END AS state FROM docs
+UNION ALL SELECT CAST(doc_id AS VARCHAR), CAST(512 + ceil((n + {_ZIP}) / 512.0) * 512 AS BIGINT), 'tar', 'COMPLETE_ARCHIVE' FROM docs""")
 def nested_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    outer = fixtures.tarred({"a.gz": fixtures.gzipped(), "b.txt": b"alpha"})
-    rows = spark.createDataFrame([("outer", bytearray(outer)), ("flat", bytearray(fixtures.gzipped())), ("none", None)], "candidate_id string, content binary")
-    return formats.nested(rows).select("parent_id", "offset", "format", "state")
+    return formats.nested(fixtures.text_boxes(_documents(spark, sf_dir))).select("parent_id", "offset", "format", "state")
 
 
-# Thirds of a stream of 900 bytes, the first stored second: only the order F0003, F0001, F0002 is a stream
-@query(_values("cluster_id, file_type, fragment_ids, status, structural_validity, ambiguous, archive_state, used_all_fragments", "('cluster_000', 'bz2', 'F0003,F0001,F0002', 'reconstructed', 1.0::DOUBLE, false, 'COMPLETE_ARCHIVE', true)"))
+@query("SELECT 'cluster_' || CASE WHEN doc_id < 100 THEN lpad(CAST(doc_id AS VARCHAR), 3, '0') ELSE CAST(doc_id AS VARCHAR) END AS cluster_id, 'bz2' AS file_type, 'F0003,F0001,F0002' AS fragment_ids, 'reconstructed' AS status, 1.0::DOUBLE AS structural_validity, false AS ambiguous, 'COMPLETE_ARCHIVE' AS archive_state, true AS used_all_fragments FROM documents")
 def archive_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = fixtures.bzipped(fixtures.noise(900, 8))
-    k = len(whole) // 3
-    parts = [("F0003", 1000, whole[:k]), ("F0001", 2000, whole[k : 2 * k]), ("F0002", 0, whole[2 * k :])]
-    rows = spark.createDataFrame([("cluster_000", "bz2", i, o, "bz2", bytearray(d)) for i, o, d in parts], "cluster_id string, inferred_type string, id string, offset long, type_hint string, data binary")
-    return reassemble.reassemble(rows).withColumn("fragment_ids", F.array_join("fragment_ids", ",")).drop("content", "parser_message")
-
-
-# Of whole files (validity 1, no gap): integrity 1, priority 0.60 + 0.10 * bytes / 65536.  Of the two split ones the cluster's confidence is its floor, 0.1
-_CANDIDATE_ROWS = """
-  (1, 1, 'jpeg', 'F0001', 736::BIGINT, 0::BIGINT, true), (1, 2, 'jpeg', 'F0002', 736, 0, true), (2, 1, 'jpeg', 'F0001,F0002', 204 + 202, 128, false), (3, 1, 'jpeg', 'F0001,F0002', 250 + 336, 128, true),
-  (4, 1, 'jpeg', 'F0001', 736, 0, true), (4, 2, 'pdf', 'F0002', 326, 0, true), (4, 3, 'zip', 'F0003', 288, 0, true), (4, 4, 'sqlite', 'F0004', 8192, 0, true), (5, 1, 'jpeg', 'F0001', 736, 0, true), (5, 2, 'jpeg', 'F0002', 736, 0, true)"""
+    found = reassemble.reassemble(fixtures.text_thirds(_documents(spark, sf_dir)))
+    return found.withColumn("fragment_ids", F.array_join("fragment_ids", ",")).drop("content", "parser_message")
 
 
-@query(f"""WITH f AS ({_values("source_no, seq, file_type, fragment_ids, recovered_bytes, missing_bytes, valid", _CANDIDATE_ROWS)}),
-g AS (SELECT *, recovered_bytes / (recovered_bytes + missing_bytes)::DOUBLE AS ratio, CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS v, CASE WHEN missing_bytes = 0 THEN 1.0::DOUBLE WHEN valid THEN 0.70::DOUBLE + 0.2::DOUBLE * 0.1::DOUBLE ELSE 0.40::DOUBLE + 0.2::DOUBLE * 0.1::DOUBLE END AS conf FROM f),
-h AS (SELECT *, {_round_sql("0.25::DOUBLE * conf + 0.25::DOUBLE * CASE WHEN missing_bytes = 0 THEN 1.0::DOUBLE ELSE " + _round_sql("ratio * 0.93::DOUBLE") + " END + 0.35::DOUBLE * v + 0.15::DOUBLE * (CASE WHEN valid THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END)")} AS integrity FROM g),
-s AS (SELECT *, {_round_sql("0.25::DOUBLE * integrity + 0.20::DOUBLE * " + _round_sql("ratio") + " + 0.15::DOUBLE * v + 0.10::DOUBLE * recovered_bytes / 65536.0::DOUBLE - CASE WHEN valid THEN 0.0::DOUBLE ELSE 0.075::DOUBLE END")} AS priority, 'recon_cluster_' || source_no || '_' || printf('%04d', seq) AS cid FROM h)
-SELECT row_number() OVER (ORDER BY priority DESC, integrity DESC, ratio DESC, recovered_bytes DESC, cid) AS rank, cid AS candidate_id, file_type, fragment_ids, recovered_bytes, missing_bytes, CASE WHEN NOT valid THEN 'PARTIALLY_RECONSTRUCTED' WHEN missing_bytes = 0 THEN 'FULLY_RECONSTRUCTED' ELSE 'STRUCTURALLY_VALID_PARTIAL' END AS recovery_status,
-  integrity AS composite_integrity_score, 'NONE' AS sensitivity_level, priority AS priority_score, CASE WHEN valid THEN 'validated/recovered_' ELSE 'partial/recovery_candidate_' END || cid || CASE file_type WHEN 'jpeg' THEN '.jpg' ELSE '.' || file_type END AS artifact_path FROM s""")
+# Of whole files (validity 1, no gap): integrity 1, priority 0.60 + 0.10 * bytes / 65536, at most 0.10.  Of torn ones the cluster's confidence is its floor, 0.1
+@query(f"""WITH {_LETTERS}, {_CARVED_SQL},
+f AS (SELECT dense_rank() OVER (ORDER BY source) AS no, min(k) AS k, kind, string_agg('F' || lpad(CAST(k AS VARCHAR), 4, '0'), ',' ORDER BY k) AS ids, CAST(sum(length) AS BIGINT) AS size, CASE WHEN count(*) > 1 THEN 128 ELSE 0 END AS gap FROM carved GROUP BY source, kind, coalesce(grp, CAST(k AS VARCHAR))),
+g AS (SELECT *, {_round_sql("size / (size + gap)::DOUBLE")} AS ratio, CASE WHEN gap = 0 THEN 1.0::DOUBLE ELSE {_round_sql("0.25::DOUBLE * 0.72::DOUBLE + 0.25::DOUBLE * " + _round_sql("size / (size + gap)::DOUBLE * 0.93::DOUBLE") + " + 0.5::DOUBLE")} END AS integrity FROM f),
+s AS (SELECT *, {_round_sql("0.25::DOUBLE * integrity + 0.20::DOUBLE * ratio + 0.15::DOUBLE + 0.10::DOUBLE * least(1.0::DOUBLE, size / 65536.0::DOUBLE)")} AS priority, 'recon_cluster_' || no || '_' || lpad(CAST(k AS VARCHAR), 4, '0') AS cid FROM g)
+SELECT row_number() OVER (ORDER BY priority DESC, integrity DESC, ratio DESC, size DESC, cid) AS rank, cid AS candidate_id, kind AS file_type, ids AS fragment_ids, size AS recovered_bytes, CAST(gap AS BIGINT) AS missing_bytes, CASE gap WHEN 0 THEN 'FULLY_RECONSTRUCTED' ELSE 'STRUCTURALLY_VALID_PARTIAL' END AS recovery_status,
+  integrity AS composite_integrity_score, 'NONE' AS sensitivity_level, priority AS priority_score, 'validated/recovered_' || cid || CASE kind WHEN 'jpeg' THEN '.jpg' ELSE '.zip' END AS artifact_path FROM s""")
 def recovered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = Engine(spark, fixtures.image_frame(spark))
+    """The whole engine over an image of each document."""
+    e = Engine(spark, fixtures.text_images(_documents(spark, sf_dir)))
     return e.run().select("rank", "candidate_id", "file_type", F.array_join("fragment_ids", ",").alias("fragment_ids"), "recovered_bytes", "missing_bytes", "recovery_status", "composite_integrity_score", "sensitivity_level", "priority_score", "artifact_path")
 
 
-# Listings of an archive of two members and a database of one table of one row
-@query(_values("name, entry, position, size, detail", "('zip', 'a.txt', 1, 30 * 6::BIGINT, 'member'), ('zip', 'b.txt', 2, 30 * 5, 'member'), ('sqlite', 'note', 1, 1, 'CREATE TABLE note (id INTEGER, body TEXT)')"))
+@query(f"""WITH {_LETTERS}, {_KIND_SQL}, z AS (SELECT * FROM files WHERE kind = 'zip' AND NOT damaged)
+SELECT CAST(doc_id AS VARCHAR) AS name, 'a.txt' AS entry, 1::INTEGER AS position, n AS size, 'member' AS detail FROM z UNION ALL SELECT CAST(doc_id AS VARCHAR), 'b.txt', 2, 64, 'member' FROM z
+UNION ALL SELECT CAST(doc_id AS VARCHAR), 'note', 1, 1, 'CREATE TABLE note (id INTEGER, body TEXT)' FROM files WHERE kind = 'sqlite' AND NOT damaged""")
 def content_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fixtures.sample_frame(spark).where("name in ('zip', 'sqlite', 'zip_no_end', 'sqlite_cut')")
-    return reports.listings(rows, "name", "kind", "data")
+    files = fixtures.wrapped_texts(_documents(spark, sf_dir)).where("kind in ('zip', 'sqlite') and not damaged")
+    return reports.listings(files.select(F.col("id").cast("string").alias("name"), "kind", "data"), "name", "kind", "data")
 
 
 @query("""WITH k AS (SELECT l_orderkey, CAST(sum(l_quantity) AS BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY 1)

@@ -1,4 +1,8 @@
-"""Small files and images made in code, for tests and for queries that need real bytes."""
+"""Files and images of every known format: small ones for tests, and ones that hold the texts of a table.
+
+``wrapped_texts`` and ``text_images`` make an evidence file or image of each row, so that carving,
+checks, archive search and the whole engine run over tables of any size.
+"""
 
 from __future__ import annotations
 
@@ -8,13 +12,13 @@ import io
 import sqlite3
 import struct
 import tarfile
-import tempfile
 import wave
 import zipfile
 import zlib
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def noise(n: int, seed: int = 1) -> bytes:
@@ -27,25 +31,30 @@ def noise(n: int, seed: int = 1) -> bytes:
     return bytes(out)
 
 
-def jpeg(seed: int = 3, scan: int = 600) -> bytes:
+def jpeg(seed: int = 3, scan: int = 600, body: bytes | None = None) -> bytes:
     segment = lambda kind, body: b"\xff" + bytes([kind]) + struct.pack(">H", len(body) + 2) + body
     head = b"\xff\xd8" + segment(0xE0, b"JFIF\0\1\1\0\0\1\0\1\0\0") + segment(0xDB, b"\0" + bytes(range(1, 65))) + segment(0xC0, b"\x08\0\x10\0\x10\1\1\x11\0")
-    return head + segment(0xC4, b"\0" + bytes([0, 1] + [0] * 14) + b"\5") + segment(0xDA, b"\1\1\0\0\x3f\0") + noise(scan, seed) + b"\xff\xd9"
+    return head + segment(0xC4, b"\0" + bytes([0, 1] + [0] * 14) + b"\5") + segment(0xDA, b"\1\1\0\0\x3f\0") + (noise(scan, seed) if body is None else body) + b"\xff\xd9"
 
 
-def png(width: int = 4, height: int = 4) -> bytes:
+def png(width: int = 4, height: int = 4, note: bytes = b"") -> bytes:
     chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
     raw = b"".join(b"\0" + bytes([x * 40 % 256 for x in range(width * 3)]) for _ in range(height))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + (chunk(b"tEXt", b"note\0" + note) if note else b"") + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
 
 
-def gif() -> bytes:
-    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\2\2\x44\1\0" + b";"
+def gif(note: bytes = b"") -> bytes:
+    blocks = b"".join(bytes([len(note[i : i + 255])]) + note[i : i + 255] for i in range(0, len(note), 255))
+    return b"GIF89a" + struct.pack("<HHBBB", 1, 1, 0x80, 0, 0) + b"\0\0\0\xff\xff\xff" + (b"!\xfe" + blocks + b"\0" if note else b"") + b"," + struct.pack("<HHHHB", 0, 0, 1, 1, 0) + b"\2\2\x44\1\0" + b";"
 
 
-def bmp(width: int = 4, height: int = 4) -> bytes:
+def bmp(width: int = 4, height: int = 4, body: bytes | None = None) -> bytes:
     line = (width * 24 + 31) // 32 * 4
-    body = bytes(i % 200 + 1 for i in range(line * height))
+    if body is not None:  # as many lines as the bytes fill
+        height = max(1, -(-len(body) // line))
+        body = body.ljust(line * height, b".")
+    else:
+        body = bytes(i % 200 + 1 for i in range(line * height))
     return b"BM" + struct.pack("<IHHI", 54 + len(body), 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, len(body), 2835, 2835, 0, 0) + body
 
 
@@ -71,9 +80,9 @@ def pdf(pages: int = 1) -> bytes:
     return out + f"xref\n0 {len(bodies) + 1}\n0000000000 65535 f \n{table}trailer\n<< /Size {len(bodies) + 1} /Root 1 0 R >>\nstartxref\n{len(out)}\n%%EOF".encode()
 
 
-def zipped(files: dict[str, bytes]) -> bytes:
+def zipped(files: dict[str, bytes], method: int = zipfile.ZIP_STORED) -> bytes:
     buffer = io.BytesIO()
-    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as z:
+    with zipfile.ZipFile(buffer, "w", method) as z:
         for name, data in files.items():
             z.writestr(zipfile.ZipInfo(name), data)
     return buffer.getvalue()
@@ -93,40 +102,39 @@ def tarred(files: dict[str, bytes]) -> bytes:
     return buffer.getvalue()
 
 
-def seven_zip(cut: int = 0) -> bytes:
-    packed, header = noise(40, 5), b"\1\4\6\0\1\x09\x28\0"
+def seven_zip(cut: int = 0, packed: bytes | None = None) -> bytes:
+    packed, header = noise(40, 5) if packed is None else packed, b"\1\4\6\0\1\x09\x28\0"
     tail = struct.pack("<QQI", len(packed), len(header), zlib.crc32(header))
     whole = b"7z\xbc\xaf\x27\x1c\0\4" + struct.pack("<I", zlib.crc32(tail)) + tail + packed + header
     return whole[: len(whole) - cut]
 
 
-def rar(ended: bool = True) -> bytes:
+def rar(ended: bool = True, data: bytes = b"data") -> bytes:
     block = lambda kind, body, flags=0: struct.pack("<HBHH", 0, kind, flags, 7 + len(body)) + body
     name = b"note.txt"
-    file_head = struct.pack("<IIBIIBBHI", 4, 4, 2, 0xDEADBEEF, 0, 29, 0x30, len(name), 0)
-    return b"Rar!\x1a\x07\0" + block(0x73, bytes(6)) + block(0x74, file_head + name, 0x8000) + b"data" + (block(0x7B, b"") if ended else b"")
+    file_head = struct.pack("<IIBIIBBHI", len(data), len(data), 2, 0xDEADBEEF, 0, 29, 0x30, len(name), 0)
+    return b"Rar!\x1a\x07\0" + block(0x73, bytes(6)) + block(0x74, file_head + name, 0x8000) + data + (block(0x7B, b"") if ended else b"")
 
 
 def wim() -> bytes:
     return b"MSWIM\0\0\0" + struct.pack("<IIII", 208, 0x00010D00, 0, 32768) + bytes(range(16)) + struct.pack("<HHI", 1, 1, 1) + bytes(160)
 
 
-def wav() -> bytes:
+def wav(frames: bytes | None = None) -> bytes:
     buffer = io.BytesIO()
     with wave.open(buffer, "wb") as w:
-        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(noise(200, 9))
+        w.setnchannels(1), w.setsampwidth(2), w.setframerate(8000), w.writeframes(noise(200, 9) if frames is None else frames + frames[: len(frames) % 2])
     return buffer.getvalue()
 
 
-def sqlite() -> bytes:
-    with tempfile.TemporaryDirectory() as d:
-        path = Path(d) / "x.db"
-        db = sqlite3.connect(path)
-        db.execute("CREATE TABLE note (id INTEGER, body TEXT)")
-        db.execute("INSERT INTO note VALUES (1, 'first')")
-        db.commit()
-        db.close()
-        return path.read_bytes()
+def sqlite(body: str = "first") -> bytes:
+    db = sqlite3.connect(":memory:")
+    db.execute("CREATE TABLE note (id INTEGER, body TEXT)")
+    db.execute("INSERT INTO note VALUES (1, ?)", (body,))
+    db.commit()
+    out = db.serialize()
+    db.close()
+    return out
 
 
 def gzipped(data: bytes = b"plain text " * 20) -> bytes:
@@ -173,3 +181,94 @@ def sample_frame(spark: SparkSession) -> DataFrame:
 
 def image_frame(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, bytearray(d)) for k, d in images().items()], "source_path string, content binary")
+
+
+TORN = 150
+#: Kinds of files made of texts, by number.
+KINDS = ("jpeg", "png", "gif", "bmp", "pdf", "zip", "docx", "tar", "7z", "rar", "wav", "sqlite", "gz", "bz2", "text")
+
+
+def letters(text: Column) -> Column:
+    """The bytes of a text as letters a to p, two a byte, after the 64 of its hash: no format's signature, no identifier."""
+    text = F.coalesce(text, F.lit(""))
+    return F.translate(F.lower(F.concat(F.sha2(text, 256), F.hex(F.encode(text, "UTF-8")))), "0123456789abcdef", "abcdefghijklmnop")
+
+
+def wrapped(kind: str, body: bytes, damaged: bool) -> bytes:
+    """A file of a kind around some letters, whole or damaged as that kind is."""
+    whole = {
+        "jpeg": lambda: jpeg(body=body), "png": lambda: png(note=body), "gif": lambda: gif(body), "bmp": lambda: bmp(body=body), "pdf": pdf, "zip": lambda: zipped({"a.txt": body, "b.txt": body[:64]}),
+        "docx": lambda: zipped({"[Content_Types].xml": b"<Types/>", "word/document.xml": b"<document>" + body + b"</document>"}), "tar": lambda: tarred({"a.txt": body}), "7z": lambda: seven_zip(packed=body),
+        "rar": lambda: rar(data=body), "wav": lambda: wav(body), "sqlite": lambda: sqlite(body.decode()), "gz": lambda: gzipped(body), "bz2": lambda: bzipped(body), "text": lambda: body,
+    }[kind]()
+    if not damaged:
+        return whole
+    if kind in ("zip", "docx"):
+        return whole[: whole.rfind(b"PK\x05\x06")]
+    if kind == "tar":
+        return b"X" + whole[1:]
+    if kind == "png":
+        return whole[:20] + b"\1" + whole[21:]
+    if kind == "pdf":
+        return b"%PDF-1.4\n" + body
+    if kind == "text":
+        return bytes(range(32)) * (len(body) // 16 + 1)
+    if kind == "rar":
+        return rar(False, body)
+    return whole[: len(whole) - 20]
+
+
+def _made(rows: DataFrame, make, id_: str, text: str, schema: str) -> DataFrame:
+    """``make(id, letters)`` gives the rows of each text."""
+
+    def run(batches):
+        for b in batches:
+            out = [r for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for r in make(k, x.encode())]
+            names = [c.split()[0] for c in schema.split(", ")]
+            kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kinds[c.split()[1]]) for i, c in enumerate(schema.split(", "))], names=names)
+
+    return rows.select(F.col(id_).cast("long"), letters(F.col(text))).mapInArrow(run, schema)
+
+
+def wrapped_texts(rows: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(id, kind, damaged, data): each text as a file, its kind by the id, every second run of kinds damaged."""
+
+    def make(k, body):
+        kind, damaged = KINDS[k % len(KINDS)], k // len(KINDS) % 2 == 1
+        return [(k, kind, damaged, wrapped(kind, body, damaged))]
+
+    return _made(rows, make, id_, text, "id long, kind string, damaged boolean, data binary")
+
+
+def text_images(rows: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(source_path, content): an image of each text with a JPEG, every third one torn by 128 zeros, and a ZIP, noise around them."""
+
+    def make(k, body):
+        a, n = jpeg(body=body), noise(64)
+        if k % 3 == 1:
+            a = a[:TORN] + bytes(128) + a[TORN:]
+        return [(f"doc_{k:09d}", n + a + n + zipped({"a.txt": body}) + n)]
+
+    return _made(rows, make, id_, text, "source_path string, content binary")
+
+
+def text_boxes(rows: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """(candidate_id, content): a tar of each text as a ZIP and as it is."""
+
+    def make(k, body):
+        return [(str(k), tarred({"a.zip": zipped({"x.txt": body}), "b.txt": body}))]
+
+    return _made(rows, make, id_, text, "candidate_id string, content binary")
+
+
+def text_thirds(rows: DataFrame, id_: str = "doc_id", text: str = "text") -> DataFrame:
+    """Members of a cluster a text: its bz2 stream in thirds, the first stored second; only the order F0003, F0001, F0002 is a stream."""
+
+    def make(k, body):
+        whole = bzipped(body)
+        n = len(whole) // 3
+        parts = (("F0003", 1000, whole[:n]), ("F0001", 2000, whole[n : 2 * n]), ("F0002", 0, whole[2 * n :]))
+        return [(f"cluster_{k:03d}", "bz2", i, o, "bz2", d) for i, o, d in parts]
+
+    return _made(rows, make, id_, text, "cluster_id string, inferred_type string, id string, offset long, type_hint string, data binary")

@@ -26,6 +26,16 @@ def test_engine_end_to_end(engine):
     assert scores == sorted(scores, reverse=True)
 
 
+def test_telemetry(spark):
+    e = Engine(spark, fx.image_frame(spark))
+    told = []
+    e.listeners.append(lambda k, n, name: told.append((k, n, name)))
+    e.stage(3)
+    rows = {r.table: r for r in e.telemetry().collect()}
+    assert told == [(1, 8, "carve"), (2, 8, "profile"), (3, 8, "fingerprint")]
+    assert rows["fragments"].rows == e.tables["fragments"].count() > 0 and all(r.seconds > 0 for r in rows.values())
+
+
 def test_headers_never_merge(engine):
     assert engine.tables["clusters"].where("members > 1").count() == 2
     assert engine.tables["clusters"].where("is_singleton").count() == 8
