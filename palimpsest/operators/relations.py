@@ -89,6 +89,7 @@ def basis() -> tuple[Column, Column]:
     return kind, type_
 
 
+# The phrases of an edge's reason.
 def reason() -> Column:
     x, y = F.col("a.type_hint"), F.col("b.type_hint")
     sim = F.col("similarity")
@@ -244,5 +245,6 @@ def roll_up(members: DataFrame, fragments: DataFrame, s: Settings = DEFAULT) ->
     mean = F.when(F.col("members") > 1, (F.col("total") - F.col("own")) / (F.col("members") * (F.col("members") - 1))).otherwise(0.5)
     out = own.join(dims, "label", "left").join(best, "label", "left").withColumn("inferred_type", F.coalesce("inferred_type", F.lit("unknown")))
     out = out.withColumn("confidence", round4(F.greatest(F.lit(0.1), F.least(F.lit(1.0), F.coalesce(mean, F.lit(0.5))))))
+    # The sentence of a cluster's reason
     why = F.format_string(f"%d fragments grouped (inferred type: '%s') with mean intra-cluster vector similarity of %.2f (conservative DBSCAN eps={s.eps:.2f})", F.col("members"), F.col("inferred_type"), F.col("confidence"))
     return out.select("label", "member_ids", "members", "inferred_type", "confidence", why.alias("reason"))

@@ -1,8 +1,8 @@
 """The recovery engine's queries over the driver's tables, and the same questions in DuckDB's SQL.
 
-Documents stand for evidence (their UTF-8 bytes), embeddings for fingerprints laid out
-along an image, lineitem for byte intervals of candidates, and generated files for what
-tables cannot hold (carving, format checks, archive search).
+Documents stand for evidence (their UTF-8 bytes, or files and images of every format made
+of them), embeddings for fingerprints laid out along an image, lineitem for byte intervals
+of candidates, events for what arrives, conversations for texts to be ordered.
 """
 
 from __future__ import annotations
@@ -355,6 +355,20 @@ def recoverability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("order_id", F.col("unique_bytes").alias("recovered_bytes"), F.col("gap_bytes").alias("missing_bytes"), "span_bytes", "ratio", "recovery_status", scoring.recovered_ok(F.col("validity"), F.col("recovery_status")).alias("recovered"))
 
 
+_RECOVERY_REASON_SQL = """CASE WHEN recovery_status = 'UNRECOVERABLE' OR unique_bytes = 0 THEN 'Candidate has no recoverable bytes or fragment members. Structural validation is not possible. Classified as UNRECOVERABLE.'
+  ELSE 'Candidate reconstructed from ' || fragments || CASE WHEN fragments = 1 THEN ' fragment. ' ELSE ' associated fragments. ' END || format('{:,}', unique_bytes) || ' bytes were recovered across a ' || format('{:,}', span_bytes) || '-byte observed span. '
+  || CASE WHEN gap_bytes > 0 THEN format('{:,}', gap_bytes) || ' bytes remain missing or unknown between associated fragments. ' ELSE 'No internal gaps were observed between associated fragments. ' END
+  || CASE WHEN recovery_status = 'RAW_BINARY_RECOVERY' THEN 'File type not structurally validated; preserved as raw binary salvage.' WHEN validity >= 1 THEN kind || ' structural validation succeeded.' ELSE kind || ' structural validation failed (' || message || ').' END
+  || ' The candidate is therefore classified as ' || recovery_status || '.' END"""
+
+
+@query(f"WITH {_CANDIDATES_SQL} SELECT order_id, {_RECOVERY_REASON_SQL} AS reason FROM (SELECT *, CASE WHEN g % 13 = 0 THEN 'RAW' ELSE 'PDF' END AS kind, CASE WHEN g % 10 = 0 THEN 'Member CRC check failed' ELSE 'ok' END AS message FROM c)")
+def recovery_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = assessed(spark, sf_dir)
+    why = scoring.recovery_reason(F.col("fragments"), F.col("unique_bytes"), F.col("span_bytes"), F.col("gap_bytes"), F.col("kind"), F.col("validity"), F.col("recovery_status"), F.col("parser_message"))
+    return a.select("order_id", why.alias("reason"))
+
+
 @query(f"WITH {_CANDIDATES_SQL} SELECT recovery_status, count(*) AS n, {_round_sql('avg(ratio)')} AS mean_ratio, CAST(sum(unique_bytes) AS BIGINT) AS recovered_bytes FROM c GROUP BY 1")
 def state_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessed(spark, sf_dir).groupBy("recovery_status").agg(F.count("*").alias("n"), profile.round4(F.avg("ratio")).alias("mean_ratio"), F.sum("unique_bytes").cast("bigint").alias("recovered_bytes"))
@@ -460,7 +474,7 @@ _PRIORITY_SQL = f"""{_levels_sql("documents", "doc_id")},
 base AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS recovered_bytes, coalesce(text, '') <> '' AND 1 - length(regexp_replace(coalesce(text, ''), '[^\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(coalesce(text, '')) >= 0.70 AS ok, coalesce(text, '') <> '' AS there FROM documents),
 p AS (SELECT doc_id, recovered_bytes, sensitivity_level, n_categories, {_round_sql("0.25::DOUBLE * (CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END) + 0.25::DOUBLE * (CASE WHEN there THEN 1 ELSE 0 END) + 0.35::DOUBLE * (CASE WHEN ok THEN 1 ELSE 0 END) + 0.15::DOUBLE * (CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.25::DOUBLE END)")} AS integrity, CASE WHEN there THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS ratio, CASE WHEN ok THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS validity,
   least(1.0, {_round_sql("CASE sensitivity_level WHEN 'HIGH' THEN 0.85::DOUBLE WHEN 'MEDIUM' THEN 0.55::DOUBLE WHEN 'LOW' THEN 0.25::DOUBLE ELSE 0::DOUBLE END + least(0.15::DOUBLE, n_categories * 0.05::DOUBLE)")}) AS sens FROM base JOIN levels USING (doc_id)),
-r AS (SELECT doc_id, recovered_bytes, sensitivity_level, integrity, ratio, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_round_sql("0.25::DOUBLE * integrity + 0.20::DOUBLE * ratio + 0.15::DOUBLE * validity + 0.30::DOUBLE * sens + 0.10::DOUBLE * least(1.0::DOUBLE, recovered_bytes / 65536.0::DOUBLE) - 0.10::DOUBLE * (CASE WHEN validity >= 1 THEN 0::DOUBLE ELSE 0.75::DOUBLE END)")})) AS priority_score FROM p)"""
+r AS (SELECT doc_id, recovered_bytes, sensitivity_level, n_categories, validity, integrity, ratio, greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_round_sql("0.25::DOUBLE * integrity + 0.20::DOUBLE * ratio + 0.15::DOUBLE * validity + 0.30::DOUBLE * sens + 0.10::DOUBLE * least(1.0::DOUBLE, recovered_bytes / 65536.0::DOUBLE) - 0.10::DOUBLE * (CASE WHEN validity >= 1 THEN 0::DOUBLE ELSE 0.75::DOUBLE END)")})) AS priority_score FROM p)"""
 _ORDER_SQL = "priority_score DESC, integrity DESC, ratio DESC, recovered_bytes DESC, doc_id"
 
 
@@ -474,6 +488,14 @@ def priority_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("doc_id", "sensitivity_level", "integrity", "priority_score", scoring.priority_label(F.col("priority_score")).alias("priority_label"), "rank")
 
 
+@query(f"""WITH {_PRIORITY_SQL} SELECT doc_id, CASE WHEN priority_score >= 0.7 THEN 'High' WHEN priority_score >= 0.4 THEN 'Medium' ELSE 'Low' END || printf(' investigative priority (score: %.4f). ', priority_score)
+  || CASE WHEN sensitivity_level <> 'NONE' THEN 'Contains ' || sensitivity_level || ' sensitivity data across ' || n_categories || ' category(ies).' ELSE 'Zero sensitive patterns detected.' END
+  || CASE WHEN validity >= 1 THEN ' File candidate is structurally valid.' ELSE ' Structural validation failed.' END || printf(' Observed recovery ratio is %.1f%%.', ratio * 100) || CASE WHEN validity >= 1 THEN '' ELSE ' Corruption penalty applied (75.0% estimated corruption).' END AS reason FROM r""")
+def priority_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    why = scoring.priority_reason(F.col("priority_score"), F.col("sensitivity_level"), F.col("n_categories"), F.col("validity"), F.col("ratio"), F.lit(False), F.col("corruption"))
+    return prioritized(spark, sf_dir).select("doc_id", why.alias("reason"))
+
+
 @query(f"WITH {_PRIORITY_SQL} SELECT doc_id, sensitivity_level, priority_score FROM r ORDER BY {_ORDER_SQL} LIMIT 20")
 def top_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prioritized(spark, sf_dir).orderBy(*_order()).limit(20).select("doc_id", "sensitivity_level", "priority_score")
