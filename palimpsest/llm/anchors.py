@@ -40,6 +40,7 @@ HEAVY = 512
 CHUNK = 1 << 14
 #: Keys (heavy prefixes, or documents that have them) that are sent to every task; more are joined by a shuffle.
 SENT_KEYS = 1 << 18
+SALTS = 64
 
 Tokens = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -369,8 +370,10 @@ def suffixes(batch: pa.RecordBatch, chunk: int = CHUNK) -> Iterator[tuple[int, i
 
 def parted(asked: DataFrame, heavy: DataFrame, many: int) -> tuple[DataFrame, DataFrame]:
     """Suffixes whose prefix is heavy, and the others."""
-    if many > SENT_KEYS:
-        return asked.join(heavy, "key", "left_semi"), asked.join(heavy, "key", "left_anti")
+    if many > SENT_KEYS:  # heavy keys are hot: each is dealt over some salts
+        salted = asked.withColumn("salt", F.pmod(F.xxhash64("uid", "begin"), F.lit(SALTS)))
+        keys = heavy.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+        return salted.join(keys, ["key", "salt"], "left_semi").select(asked.columns), salted.join(keys, ["key", "salt"], "left_anti").select(asked.columns)
     keys = asked.sparkSession.sparkContext.broadcast(np.array(sorted(r.key for r in heavy.collect()), np.int64))
 
     def only(wanted: bool):

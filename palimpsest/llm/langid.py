@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _LOWER, text_blocks, tidy, words
+from .common import _LOWER, BLOCK_BYTES, text_blocks, tidy, words
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -201,7 +201,7 @@ def predict(docs: DataFrame, names: list[str], logp: np.ndarray, text: str = "te
 
     def run(batches):
         names, logp = model.value
-        for rows, data, off in text_blocks(batches, text):
+        for rows, data, off in text_blocks(batches, text, BLOCK_BYTES * 8 // max(8, len(names))):  # a number a language for each n-gram
             lang, score = predict_block(data, off, names, logp)
             if keep:
                 yield rows.filter(pa.array([x != "und" for x in lang]))

@@ -87,6 +87,8 @@ class Vocabulary:
         self.ends = ends
         self.tokens = int(by_n["n"].sum()) + ends
         self.distinct = int(by_n["words"].sum()) + (ends > 0)
+        # common words too long for the dictionary go out by hash
+        self.long = {r.h: r.n for r in counts.where((F.col("n") >= self.least) & (F.octet_length("word") > WORD_BYTES)).select(F.sha2("word", 256).alias("h"), "n").collect()}
         rows = counts.where(self.inside()).select("word", "n").toPandas().sort_values(["n", "word"], ascending=[False, True])
         self.count = rows["n"].to_numpy(np.int64)
         words = [bytes(w) for w in rows["word"]]
@@ -262,15 +264,20 @@ def score(docs: DataFrame, held_out, doc_id: str = "doc_id", text: str = "text")
                 in_class = tokens[1:-1] < CLASSES
                 neural -= float(inside[tokens[1:-1][in_class]].sum()) - float(lg[in_class[places >= 0]].sum())
                 base = float(lg.sum()) + np.log10(vocab.ends + 0.1) - base_under * (len(words) + 1)
-                out.append((ids[k].as_py(), key, None, 0, len(words) + 1, len(known) + (vocab.ends > 0), base, neural))
-                if len(known) < len(words):
-                    cold = Counter([words[i] for i in np.flatnonzero(places < 0)])
-                    out += [(out[-1][0], key, w, m, 0, 0, 0.0, 0.0) for w, m in cold.items()]
+                cold, seen = Counter([words[i] for i in np.flatnonzero(places < 0)]), len(known) + (vocab.ends > 0)
+                for w in [w for w in cold if len(w) > WORD_BYTES] if vocab.long else []:
+                    count = vocab.long.get(hashlib.sha256(w).hexdigest())
+                    if count is not None:
+                        m = cold.pop(w)
+                        seen, part = seen + m, m * float(np.log10(count + 0.1))
+                        base, neural = base + part, neural + part
+                out.append((ids[k].as_py(), key, None, 0, len(words) + 1, seen, base, neural))
+                out += [(out[-1][0], key, w, m, 0, 0, 0.0, 0.0) for w, m in cold.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(kinds)], names=["doc_id", "key", "word", "m", "n_tokens", "n_known", "base", "neural"])
 
     found = stored(docs.mapInArrow(run, "doc_id long, key long, word binary, m long, n_tokens long, n_known long, base double, neural double"), "lm")
     whole = found.where("word is null").select("doc_id", "key", F.lit(1).alias("copies"), "n_tokens", "n_known", "base", "neural")
-    rare = counts.where(~vocab.inside())
+    rare = counts.where(F.col("n") < vocab.least)
     cold = found.where("word is not null").select("doc_id", "key", "word", "m").join(rare, "word", "left")
     part = F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)
     cold = cold.select("doc_id", "key", F.lit(0).alias("copies"), F.lit(0).alias("n_tokens"), F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0).alias("n_known"), part.alias("base"), part.alias("neural"))

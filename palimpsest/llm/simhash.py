@@ -10,9 +10,14 @@ at a time.  A tile returns a spanning forest of its links, never all pairs, and
 alternating star contractions join the forests into components.
 
 At D distinct fingerprints about 2 % of D*D/2 pairs are compared at a radius of 2
-(4 segments), about half at a radius of 6 (2 segments).
-A tile that holds more than ``TILE`` fingerprints is cut, and its pieces meet each
-piece of the other side once.
+(4 segments).  A tile that holds more than ``TILE`` fingerprints is cut, and its pieces
+meet each piece of the other side once.
+
+At a larger radius counts alone skip little.  There the bits are cut into one segment
+more than the radius, so that fingerprints within it agree in a whole segment: a tile
+holds the fingerprints of one pattern in one segment, and a larger tile is cut by
+population counts, whose pieces meet only within the radius.  At a radius of 6 that is
+1.2 % of all pairs, and a fingerprint goes to 7 tiles.
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; fewer than three words are one shingle; equal texts have equal fingerprints
@@ -33,15 +38,15 @@ from pyspark.sql import functions as F
 
 from ..operators.components import star_components
 from .anchors import numbered
-from .common import bucket_count, id_text, lowered, stored, text_blocks, tidy, words
+from .common import bucket_count, id_text, lowered, mixed, stored, text_blocks, tidy, words
 
 TILE = 1 << 14
 SHINGLE = 3
 
 
-def segments_for(radius: int) -> int:
-    """More segments skip more tile pairs but send a fingerprint to more tiles; beyond a radius of 2 the copies outgrow the gain."""
-    return 4 if radius <= 2 else 2
+SEGMENTS = 4
+#: The largest radius at which tiles go by the population counts of segments.
+BY_COUNTS = 2
 
 
 def fingerprints_of(data: np.ndarray, off: np.ndarray) -> np.ndarray:
@@ -145,13 +150,124 @@ def _tile_links(own: np.ndarray, other: np.ndarray, radius: int, block: int = 20
     return np.concatenate(a_out), np.concatenate(b_out)
 
 
+def _compare(radius: int):
+    """Links of dealt fingerprints: rows (tile, piece, side, fp) in order of tile and piece."""
+
+    def compare(batches):
+        left: pd.DataFrame | None = None
+
+        def done(df: pd.DataFrame) -> pa.RecordBatch:
+            us, vs = [], []
+            fp, side = df["fp"].to_numpy().view(np.uint64), df["side"].to_numpy()
+            tile, piece = df["tile"].to_numpy(), df["piece"].to_numpy()
+            cuts = np.flatnonzero((np.diff(tile) != 0) | (np.diff(piece) != 0)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(tile)], strict=True):
+                s = side[lo:hi]
+                if (s == 0).any() and hi - lo > 1:
+                    u, v = _tile_links(fp[lo:hi][s == 0], fp[lo:hi][s == 1], radius)
+                    us.append(u), vs.append(v)
+            u = np.concatenate([*us, np.zeros(0, np.uint64)]).view(np.int64)
+            v = np.concatenate([*vs, np.zeros(0, np.uint64)]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
+
+        for b in batches:
+            df = b.to_pandas()
+            df = df if left is None else pd.concat([left, df], ignore_index=True)
+            last = (df["tile"] == df["tile"].iat[-1]) & (df["piece"] == df["piece"].iat[-1]) if len(df) else np.zeros(0, bool)
+            left = df[last]
+            if len(df) > len(left):
+                yield done(df[~last])
+        if left is not None and len(left):
+            yield done(left)
+
+    return compare
+
+
+def _segments(radius: int) -> list[tuple[int, int]]:
+    """Shift and width of radius + 1 segments of 64 bits."""
+    cuts = [64 * k // (radius + 1) for k in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _pieces(size: np.ndarray, tile: int, radius: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Of a tile with ``size`` fingerprints of each population count: the first piece and the number of pieces of each count, and
+    the pairs of pieces that can hold links."""
+    first, many, span = np.zeros(65, np.int64), np.ones(65, np.int64), []
+    pc = 0
+    while pc < 65:
+        to, total = pc + 1, int(size[pc])
+        while to < 65 and total + size[to] <= tile:
+            total += int(size[to])
+            to += 1
+        first[pc:to], many[pc:to] = len(span), max(1, -(-total // tile))
+        span += [(pc, to - 1)] * int(many[pc])
+        pc = to
+    return first, many, [(p, q) for p in range(len(span)) for q in range(p, len(span)) if span[q][0] - span[p][1] <= radius]
+
+
+def _links_by_pattern(distinct: DataFrame, radius: int, tile: int) -> DataFrame:
+    """``links`` by equal segments: (segment, pattern) is a tile, a large one is cut by population counts."""
+    segments = _segments(radius)
+    width = max(w for _, w in segments)
+    if width > 16:
+        raise ValueError("a radius of 3 or more")
+
+    def tiles(fp):
+        for k, (shift, bits) in enumerate(segments):
+            yield (np.int64(k) << width) + ((fp >> np.uint64(shift)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+
+    def count(batches):
+        total = np.zeros((len(segments) << width) * 65, np.int64)
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            pc = np.bitwise_count(fp).astype(np.int64)
+            for t in tiles(fp):
+                np.add.at(total, t * 65 + pc, 1)
+        full = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(full // 65), pa.array(full % 65), pa.array(total[full])], names=["tile", "pc", "n"])
+
+    large = distinct.mapInArrow(count, "tile long, pc long, n long").groupBy("tile", "pc").agg(F.sum("n").alias("n"))
+    large = large.join(large.groupBy("tile").agg(F.sum("n").alias("total")).where(F.col("total") > tile), "tile").collect()  # 65 rows a tile at most
+    sizes: dict[int, np.ndarray] = {}
+    for r in large:
+        sizes.setdefault(r.tile, np.zeros(65, np.int64))[r.pc] = r.n
+    cut = distinct.sparkSession.sparkContext.broadcast({t: _pieces(n, tile, radius) for t, n in sizes.items()})
+
+    def deal(batches):
+        def out(t, piece, side, fp):
+            return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(t, len(fp))), pa.array(np.full(len(fp), piece, np.int64)), pa.array(np.full(len(fp), side, np.int8)), pa.array(fp.view(np.int64))], names=["tile", "piece", "side", "fp"])
+
+        known = np.array(sorted(cut.value), np.int64)
+        for b in batches:
+            fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            pc = np.bitwise_count(fp).astype(np.int64)
+            part = (mixed(fp) >> np.uint64(1)).astype(np.int64)
+            for t in tiles(fp):
+                split = np.isin(t, known)
+                yield out(t[~split], 0, 0, fp[~split])
+                for one in np.unique(t[split]):
+                    mine = np.flatnonzero(t == one)
+                    first, many, pairs = cut.value[int(one)]
+                    own = first[pc[mine]] + part[mine] % many[pc[mine]]
+                    for p, q in pairs:
+                        number = (p << 31) + q
+                        yield out(one, number, 0, fp[mine[own == p]])
+                        if q > p:
+                            yield out(one, number, 1, fp[mine[own == q]])
+
+    dealt = distinct.select("fp").mapInArrow(tidy(deal), "tile long, piece long, side byte, fp long")
+    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(tidy(_compare(radius)), "u long, v long")
+
+
 def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
     """Links (u > v, as longs) that connect exactly what distances within the radius connect.
 
     ``distinct`` has one column fp of distinct longs.
     """
     spark = distinct.sparkSession
-    segments = segments_for(radius)
+    if radius > BY_COUNTS:
+        return _links_by_pattern(distinct, radius, tile)
+    segments = SEGMENTS
     steps = np.array(_steps(radius, segments))
     base = 64 // segments + 1
     weight = base ** np.arange(segments)
@@ -207,35 +323,8 @@ def links(distinct: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
                             keys.append(np.full(int(up.sum()), t)), pieces.append((p * (n + m) + part[up]).astype(np.int32)), sides.append(np.ones(int(up.sum()), np.int8)), values.append(mine[up])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(pieces)), pa.array(np.concatenate(sides)), pa.array(np.concatenate(values).view(np.int64))], names=["tile", "piece", "side", "fp"])
 
-    def compare(batches):
-        left: pd.DataFrame | None = None
-
-        def done(df: pd.DataFrame) -> pa.RecordBatch:
-            us, vs = [], []
-            fp, side = df["fp"].to_numpy().view(np.uint64), df["side"].to_numpy()
-            key = df["tile"].to_numpy() * (1 << 31) + df["piece"].to_numpy()
-            cuts = np.flatnonzero(np.diff(key)) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(key)], strict=True):
-                s = side[lo:hi]
-                if (s == 0).any() and hi - lo > 1:
-                    u, v = _tile_links(fp[lo:hi][s == 0], fp[lo:hi][s == 1], radius)
-                    us.append(u), vs.append(v)
-            u = np.concatenate([*us, np.zeros(0, np.uint64)]).view(np.int64)
-            v = np.concatenate([*vs, np.zeros(0, np.uint64)]).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], names=["u", "v"])
-
-        for b in batches:
-            df = b.to_pandas()
-            df = df if left is None else pd.concat([left, df], ignore_index=True)
-            last = (df["tile"] == df["tile"].iat[-1]) & (df["piece"] == df["piece"].iat[-1]) if len(df) else np.zeros(0, bool)
-            left = df[last]
-            if len(df) > len(left):
-                yield done(df[~last])
-        if left is not None and len(left):
-            yield done(left)
-
     dealt = distinct.select("fp").mapInArrow(tidy(deal), "tile long, piece int, side byte, fp long")
-    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(tidy(compare), "u long, v long")
+    return dealt.repartition(bucket_count(distinct, 1 << 20), "tile", "piece").sortWithinPartitions("tile", "piece").mapInArrow(tidy(_compare(radius)), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
