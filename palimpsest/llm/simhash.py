@@ -17,7 +17,7 @@ At a larger radius counts alone skip little.  There the bits are cut into one se
 more than the radius, so that fingerprints within it agree in a whole segment: a tile
 holds the fingerprints of one pattern in one segment, and a larger tile is cut by
 population counts, whose pieces meet only within the radius.  At a radius of 6 that is
-1.2 % of all pairs, and a fingerprint goes to 7 tiles.
+1.3 % of all pairs, and a fingerprint goes to 7 tiles.
 
 Defined results: a null or blank text has fingerprint zero and links like any
 other; fewer than three words are one shingle; equal texts have equal fingerprints
