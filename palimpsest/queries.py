@@ -580,21 +580,24 @@ def streamed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started", "ended")})
 
 
-@query("""SELECT e.event_id, e.user_id, e.ts, e.event_type, c.event_id AS view_id, c.ts AS view_ts, c.value AS view_value
+@query("""SELECT e.event_id, e.user_id, e.ts, e.event_type, coalesce(c.event_id, -1) AS view_id, coalesce(c.ts, e.ts) AS view_ts, coalesce(c.value, -1) AS view_value
 FROM (SELECT * FROM events WHERE event_type <> 'view') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') c ON e.user_id = c.user_id AND e.ts > c.ts""")
 def last_view(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event that is no view with the last view of its user before it."""
+    """Every event that is no view with the last view of its user before it; -1 and its own time where there is none."""
     e = table(spark, sf_dir, "events")
     views = e.where("event_type = 'view'").select("user_id", "ts", "event_id", "value")
-    return asof.asof(e.where("event_type <> 'view'").select("event_id", "user_id", "ts", "event_type"), views, "ts", ("user_id",), {"event_id": "view_id", "ts": "view_ts", "value": "view_value"}, tie="event_id")
+    found = asof.asof(e.where("event_type <> 'view'").select("event_id", "user_id", "ts", "event_type"), views, "ts", ("user_id",), {"event_id": "view_id", "ts": "view_ts", "value": "view_value"}, tie="event_id")
+    none = {"view_id": F.lit(-1), "view_ts": F.col("ts"), "view_value": F.lit(-1.0)}
+    return found.withColumns({c: F.coalesce(F.col(c), v) for c, v in none.items()})
 
 
-@query("SELECT e.event_id, c.event_id AS error_id, CAST(epoch_us(e.ts) - epoch_us(c.ts) AS BIGINT) AS since_us FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') c ON e.ts > c.ts")
+@query("SELECT e.event_id, coalesce(c.event_id, -1) AS error_id, coalesce(CAST(epoch_us(e.ts) - epoch_us(c.ts) AS BIGINT), -1) AS since_us FROM events e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'error') c ON e.ts > c.ts")
 def last_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event with the last error of any user before it: a join without a key."""
     e = table(spark, sf_dir, "events")
     found = asof.asof(e.select("event_id", "ts"), e.where("event_type = 'error'").select("ts", "event_id"), "ts", (), {"event_id": "error_id", "ts": "error_ts"}, tie="event_id")
-    return found.select("event_id", "error_id", (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("error_ts").cast("timestamp"))).alias("since_us"))
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("error_ts").cast("timestamp"))
+    return found.select("event_id", F.coalesce("error_id", F.lit(-1)).alias("error_id"), F.coalesce(since, F.lit(-1)).alias("since_us"))
 
 
 def _kendall_sql(rows: str) -> str:

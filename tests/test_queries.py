@@ -22,9 +22,11 @@ def duck():
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and math.isnan(v)):
+    if v is None or str(v) in ("NaT", "<NA>") or (isinstance(v, float) and math.isnan(v)):
         return None
-    return float(v) if isinstance(v, float) else str(v)
+    if isinstance(v, float):  # a whole number beside nulls is a float in pandas
+        return str(int(v)) if v.is_integer() else float(v)
+    return str(v)
 
 
 def rows(df):
