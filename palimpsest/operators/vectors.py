@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -167,10 +169,11 @@ def pair_vectors(df: DataFrame, id_: str = "id", data: str = "data", dim: int =
     return rows.mapInArrow(project, T.StructType([rows.schema["id"], T.StructField("vector", T.ArrayType(T.DoubleType()))]))
 
 
-def fingerprints(df: DataFrame, id_: str = "id", data: str = "data", kind: str = "characterization") -> DataFrame:
-    """(id, vector, method): text fragments by hashed tokens, binary and mixed ones by byte pairs."""
+def fingerprints(df: DataFrame, id_: str = "id", data: str = "data", kind: str = "characterization", dense: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(id, vector, method): text fragments by hashed tokens, or as ``dense`` embeds (id, text); binary and mixed ones by byte pairs."""
     text = F.col(kind) == "text"
-    one = df.where(text).select(F.col(id_).alias("id"), text_vector(F.try_validate_utf8(F.col(data).cast("string"))).alias("vector"), F.lit("hashed_tokens").alias("method"))
+    texts = df.where(text).select(F.col(id_).alias("id"), F.try_validate_utf8(F.col(data).cast("string")).alias("text"))
+    one = dense(texts) if dense else texts.select("id", text_vector("text").alias("vector"), F.lit("hashed_tokens").alias("method"))
     two = pair_vectors(df.where(~text | F.col(kind).isNull()), id_, data).withColumn("method", F.lit("pair_tfidf_svd"))
     return one.unionByName(two)
 

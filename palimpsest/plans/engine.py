@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import scoring, sensitivity
 from ..functions.profile import characterize
 from ..operators import carve as carving
-from ..operators import formats, intervals, reassemble, relations, vectors
+from ..operators import embedding, formats, intervals, reassemble, relations, vectors
 from ..settings import DEFAULT, Settings
 from ..sources import evidence as ev
 from ..storage import stored
@@ -20,11 +20,12 @@ from ..storage import stored
 class Engine:
     """Stages over evidence (source_path, content, ...): each a table, built once and stored.
 
-    ``stage(n)`` gives the tables known after stage n, 1 to 8.
+    ``stage(n)`` gives the tables known after stage n, 1 to 8.  ``encoder`` embeds text
+    fragments in place of hashed tokens.
     """
 
-    def __init__(self, spark: SparkSession, evidence: DataFrame, settings: Settings = DEFAULT):
-        self.spark, self.s = spark, settings
+    def __init__(self, spark: SparkSession, evidence: DataFrame, settings: Settings = DEFAULT, encoder: embedding.Hook | None = None):
+        self.spark, self.s, self.encoder = spark, settings, encoder
         self.tables: dict[str, DataFrame] = {"evidence": evidence}
         self._steps = [self.carve, self.profile, self.fingerprint, self.relate, self.reassemble, self.score, self.assess, self.rank]
         self._done = 0
@@ -78,7 +79,8 @@ class Engine:
 
     def fingerprint(self) -> None:
         t = self.tables
-        t["features"] = stored(vectors.fingerprints(t["characterized"], "seq", "data"), "features")
+        dense = (lambda rows: embedding.embed(rows, self.encoder, dim=self.s.dimension)) if self.encoder else None
+        t["features"] = stored(vectors.fingerprints(t["characterized"], "seq", "data", dense=dense), "features")
 
     def relate(self) -> None:
         t = self.tables

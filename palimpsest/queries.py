@@ -14,12 +14,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import profile, scoring, sensitivity
-from .operators import asof, carve, formats, index, intervals, orders, reassemble, relations, similarity, vectors
+from .operators import asof, carve, embedding, formats, index, intervals, orders, reassemble, relations, similarity, vectors
 from .plans import metrics, reports
 from .plans.engine import Engine
 from .settings import Settings
 from .sources import evidence as ev
 from .sources import fixtures
+from .storage import stored
 from .streaming import sessions, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -281,6 +282,40 @@ def similar_fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.top_k(e, e.where(F.pmod("vec_id", F.lit(20)) == 0), k=5)
 
 
+# Words weigh tf * idf by bucket of their MD5's first two bytes and go to four signed places by its next eight; the mean of all vectors is taken off
+_DENSE_SQL = f"""w AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) AS word FROM documents) GROUP BY ALL),
+h AS (SELECT word, md5(word) AS h, CAST('0x' || substr(md5(word), 1, 4) AS BIGINT) AS bucket FROM (SELECT DISTINCT word FROM w)),
+n AS (SELECT count(DISTINCT doc_id) AS n FROM w),
+idf AS (SELECT bucket, ln((n + 1)::DOUBLE / (count(DISTINCT doc_id) + 1)) + 1 AS idf FROM w JOIN h USING (word), n GROUP BY bucket, n),
+spots AS (SELECT word, bucket, CAST('0x' || substr(h, 5 + 2 * k, 2) AS BIGINT) % 64 AS place, 1 - 2 * (CAST('0x' || substr(h, 13 + 2 * k, 2) AS BIGINT) & 1) AS sign FROM h, (SELECT unnest(range(4)) AS k)),
+x AS (SELECT doc_id, place, sum(tf * idf * sign) AS x FROM w JOIN spots USING (word) JOIN idf USING (bucket) GROUP BY ALL),
+u AS (SELECT doc_id, place, CAST(floor(x / sqrt(sum(x * x) OVER (PARTITION BY doc_id)) * 1e6 + 0.5) AS BIGINT) AS u FROM x),
+mean AS (SELECT place, sum(u) AS total FROM u GROUP BY place),
+centred AS (SELECT d.doc_id, p.place, CAST(coalesce(u, 0) * n - coalesce(total, 0) AS DOUBLE) AS c FROM (SELECT DISTINCT doc_id FROM w) d CROSS JOIN (SELECT unnest(range(64)) AS place) p CROSS JOIN n LEFT JOIN u ON u.doc_id = d.doc_id AND u.place = p.place LEFT JOIN mean ON mean.place = p.place),
+dense AS (SELECT doc_id, place, CAST(floor(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)) * 1e6 + 0.5) AS BIGINT) AS millionths FROM centred)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, vector, method) of all documents by a projection learned from them."""
+    docs = table(spark, sf_dir, "documents")
+    return embedding.embed(docs, embedding.learn(docs).hook(), "doc_id")
+
+
+@query(f"WITH {_DENSE_SQL} SELECT doc_id, 'sparse_projection' AS method, CAST(place AS INTEGER) AS place, millionths FROM dense WHERE millionths <> 0")
+def dense_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _dense(spark, sf_dir).select(F.col("id").alias("doc_id"), "method", F.posexplode("vector").alias("place", "x"))
+    return rows.select("doc_id", "method", "place", F.floor(F.col("x") * 1e6 + 0.5).alias("millionths")).where("millionths <> 0")
+
+
+@query(f"""WITH {_DENSE_SQL}, v AS (SELECT doc_id, list(millionths / 1e6::DOUBLE ORDER BY place) AS v FROM dense GROUP BY doc_id),
+s AS (SELECT q.doc_id AS query_id, e.doc_id AS id, {_round_sql("list_cosine_similarity(q.v, e.v)")} AS similarity FROM v q JOIN v e ON q.doc_id <> e.doc_id WHERE q.doc_id % 20 = 0)
+SELECT query_id, id, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS INTEGER) AS place FROM s QUALIFY place <= 5""")
+def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of the similarity index over the documents' embeddings; texts without a word take no part."""
+    e = stored(_dense(spark, sf_dir).where(F.col("method") == "sparse_projection"), "dense")
+    return index.top_k(e, e.where(F.pmod("id", F.lit(20)) == 0), k=5, id_="id", vector="vector")
+
+
 # Intervals, recoverability, integrity
 
 
