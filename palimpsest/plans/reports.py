@@ -8,12 +8,13 @@ import zipfile
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.profile import round4
 from ..operators.formats import nested_archives
+from ..operators.intervals import global_rank
 
 
 def hex_preview(df: DataFrame, key: str, data: str = "data", width: int = 16) -> DataFrame:
@@ -25,6 +26,114 @@ def hex_preview(df: DataFrame, key: str, data: str = "data", width: int = 16) ->
     return lines.select(key, F.col("line_offset").cast("bigint").alias("line_offset"), spaced.alias("hex_bytes"), F.regexp_replace(F.decode(part, "ISO-8859-1"), r"[^\x20-\x7E]", ".").alias("ascii"))
 
 
+def _places(c: Column, n: int) -> Column:
+    """``c`` as text with ``n`` decimals; ties go up, null is 0."""
+    return F.format_string(f"%.{n}f", F.floor(F.coalesce(c.cast("double"), F.lit(0.0)) * 10**n + 0.5 + 1e-7) / 10**n)
+
+
+# The lines for bytes left out and for no bytes.
+def hex_dump(df: DataFrame, key: str, data: str = "data", most: int = 512, width: int = 16) -> DataFrame:
+    """key, line_no, line: a dump of the first ``most`` bytes as text; a last line counts the bytes left out, one line stands for no bytes (or null).
+
+    Keys are taken to be distinct; rows of one key have their lines side by side."""
+    whole = df.select(key, F.coalesce(F.col(data), F.lit(b"")).alias("whole"))
+    rows = hex_preview(whole.select(key, F.substring("whole", 1, most).alias("data")), key, width=width)
+    line = F.format_string(f"%08X  %-{3 * width}s  |%s|", "line_offset", "hex_bytes", "ascii")
+    n = F.octet_length("whole")
+    more = whole.where(n > most).select(key, F.lit(-(-most // width) + 1).cast("bigint").alias("line_no"), F.concat(F.lit("... ["), F.format_number(n - most, 0), F.lit(" additional bytes truncated for display]")).alias("line"))
+    none = whole.where(n == 0).select(key, F.lit(1).cast("bigint").alias("line_no"), F.lit("Empty data stream (0 bytes).").alias("line"))
+    return rows.select(key, F.floor(F.col("line_offset") / width + 1).alias("line_no"), line.alias("line")).unionByName(more).unionByName(none)
+
+
+#: Which states make which table of recovered files.
+_TABLES = {"Partial Candidates": ("PARTIALLY_RECONSTRUCTED", "PARTIAL_RECONSTRUCTION"), "Raw Binary Salvage": ("RAW_BINARY_RECOVERY",), "Invalid Reconstructions": ("STRUCTURALLY_INVALID", "INVALID_RECONSTRUCTION", "UNRECOVERABLE")}
+
+
+def file_tables(ranked: DataFrame) -> DataFrame:
+    """Recovered files as an analyst reads them: a row for each table that a candidate belongs to, numbers as text.
+
+    Every candidate is in ``All Candidates`` and in at most one other table; ambiguous ones are
+    in no other, and a candidate that was recovered is in ``Validated Recoveries`` whatever its state.
+    """
+    state, percent = F.col("recovery_status"), lambda c: F.concat(_places(F.col(c) * 100, 1), F.lit("%"))
+    own = F.when(F.col("is_successfully_recovered"), "Validated Recoveries")
+    for name, states in _TABLES.items():
+        own = own.when(state.isin(*states), name)
+    size = lambda c: F.concat(F.format_number(F.coalesce(c, F.lit(0)), 0), F.lit(" B"))
+    return ranked.select(
+        F.explode(F.array_compact(F.array(F.lit("All Candidates"), own))).alias("tab"),
+        "candidate_id",
+        F.upper("file_type").alias("file_type"),
+        state.alias("recovery_state"),
+        size(F.col("recovered_bytes")).alias("recovered"),
+        size(F.col("missing_bytes")).alias("missing"),
+        percent("observed_recovery_ratio").alias("ratio"),
+        F.when(F.col("structural_validity") >= 1, "VALID").otherwise("FAILED").alias("parser"),
+        percent("composite_integrity_score").alias("integrity"),
+        _places(F.col("priority_score"), 4).alias("priority"),
+        F.coalesce(F.concat(F.substring("artifact_sha256", 1, 16), F.lit("...")), F.lit("—")).alias("sha256"),
+    )
+
+
+def ranked_or_found(assessed: DataFrame, orphans: DataFrame, ranked: DataFrame | None = None) -> DataFrame:
+    """place, kind ('candidate', 'file' or 'orphan'), id, file_type, bytes, state, priority_score: one listing of a run, ranked or not.
+
+    With a ranking its candidates come first, by rank; candidates that it lacks (all of them
+    without one) follow as files by id with no priority, orphan fragments last by place.
+    """
+    shape = lambda df, kind, order, id_, type_, size, state, score: df.select(F.lit(kind).alias("kind"), order.cast("bigint").alias("_o"), F.col(id_).cast("string").alias("id"), F.col(type_).alias("file_type"), F.col(size).cast("bigint").alias("bytes"), state.alias("state"), score.cast("double").alias("priority_score"))
+    none = F.lit(None)
+    left = assessed if ranked is None else assessed.join(ranked.select("candidate_id").distinct(), "candidate_id", "left_anti")
+    files = shape(left, "file", F.lit(0), "candidate_id", "file_type", "recovered_bytes", F.col("recovery_status"), none)
+    alone = shape(orphans, "orphan", F.col("seq"), "id", "type_hint", "length", F.lit("ORPHAN"), none)
+    rows = files.unionByName(alone)
+    if ranked is not None:
+        rows = rows.unionByName(shape(ranked, "candidate", F.col("rank"), "candidate_id", "file_type", "recovered_bytes", F.col("recovery_status"), F.col("priority_score")))
+    return global_rank(rows, [F.asc("kind"), F.asc("_o"), F.asc("id")], "place").drop("_o")
+
+
+#: Sections of the account, in their order.
+SECTIONS = ("summary", "evidence", "findings", "integrity", "attention", "limits", "conclusion")
+_LIMITS = (("observed", "A valid structure says that a file can be read, not that it is the file that was once stored."), ("unknown", "Bytes that no fragment holds are missing for good; nothing was filled in."), ("unknown", "Names, folders and times of files were not among the evidence."))
+
+
+def narrative_sections(ranked: DataFrame, evidence: dict, fragments: int, clusters: int, orphans: int, attention: float = 0.5) -> DataFrame:
+    """section, place, basis, line: a whole account of a run in seven sections, by rules alone.
+
+    ``basis`` says whether a line was observed, inferred or is unknown.  Every candidate has
+    its lines in ``findings`` and ``integrity``, and in ``attention`` if it is sensitive or its
+    priority is above that share; ``place`` is its rank there.  Nothing passes through the
+    driver: the account is as long as the ranking.  Sections without a candidate have one line
+    that says so.
+    """
+    spark = ranked.sparkSession
+    lines = lambda section, rows: spark.createDataFrame([(section, n, b, x) for n, (b, x) in enumerate(rows, 1)], "section string, place long, basis string, line string")
+    t = ranked.agg(F.count("*").alias("n"), F.count_if("is_successfully_recovered").alias("good"), F.count_if(F.col("recovery_status").isin(*_TABLES["Partial Candidates"])).alias("part"), F.count_if(F.col("recovery_status").isin(*_TABLES["Invalid Reconstructions"])).alias("bad"))
+    told = F.col("recovery_status").isNotNull()
+    each = lambda section, basis, text, where=told: ranked.where(where).select(F.lit(section).alias("section"), F.col("rank").cast("bigint").alias("place"), F.lit(basis).alias("basis"), text.alias("line"))
+    total = lambda section, text: t.select(F.lit(section).alias("section"), F.lit(1).cast("bigint").alias("place"), F.lit("observed").alias("basis"), text.alias("line"))
+    empty = lambda section, where, text: ranked.agg(F.count_if(where).alias("n")).where("n = 0").select(F.lit(section).alias("section"), F.lit(1).cast("bigint").alias("place"), F.lit("observed").alias("basis"), F.lit(text).alias("line"))
+    kind, urgent = F.upper(F.coalesce("file_type", F.lit("unknown"))), (F.col("sensitivity_level") != "NONE") | (F.col("priority_score") > attention)
+    two = lambda c: _places(F.col(c), 2)
+    name = F.concat(F.col("candidate_id"), F.lit(" ("), kind, F.lit(")"))
+    parts = [
+        total("summary", F.format_string("%d candidates: %d recovered, %d in part, %d invalid.", "n", "good", "part", "bad")),
+        lines("evidence", [("observed", f"{evidence.get('source_path') or 'unnamed evidence'}, {evidence.get('size_bytes', 0):,} bytes."), ("observed", f"SHA-256 {evidence.get('sha256') or 'unknown'}."), ("observed", f"{fragments:,} fragments were carved."), ("inferred", f"{clusters:,} clusters were formed of them; {orphans:,} fragments belong to none.")]),
+        each("findings", "inferred", F.concat(name, F.lit(": "), F.col("recovery_status"), F.lit(", "), F.format_number(F.coalesce("recovered_bytes", F.lit(0)), 0), F.lit(" bytes found, "), F.format_number(F.coalesce("missing_bytes", F.lit(0)), 0), F.lit(" missing."))),
+        empty("findings", told, "No candidate was rebuilt."),
+        each("integrity", "inferred", F.concat(name, F.lit(": confidence "), two("reconstruction_confidence"), F.lit(", validity "), two("structural_validity"), F.lit(", completeness "), two("completeness"), F.lit(", corruption "), two("corruption_estimate"), F.lit("."))),
+        empty("integrity", told, "No candidate was scored."),
+        each("attention", "observed", F.concat(name, F.lit(": "), F.col("sensitivity_level"), F.lit(" sensitivity ["), F.array_join("categories", ", "), F.lit("], priority "), _places(F.col("priority_score"), 4), F.lit(".")), urgent),
+        empty("attention", urgent, "No candidate is sensitive or of raised priority."),
+        lines("limits", _LIMITS),
+        total("conclusion", F.format_string("%d of %d candidates passed their format's check and can be examined.", "good", "n")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def overview(ranked: DataFrame) -> DataFrame:
     """One row of totals over ranked candidates."""
     state = lambda s: F.count_if(F.col("recovery_status") == s)

@@ -414,6 +414,73 @@ def type_state_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assessed(spark, sf_dir).rollup("kind", "recovery_status").agg(F.count("*").alias("n"))
 
 
+
+# Reports over ranked candidates
+
+
+def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as ranked candidates, in the engine's columns; every 19th is sensitive."""
+    a = assessed(spark, sf_dir)
+    high = F.pmod("order_id", F.lit(19)) == 0
+    level, categories = F.when(high, "HIGH").otherwise("NONE"), F.when(high, F.array(F.lit("EMAIL"))).otherwise(F.array().cast("array<string>"))
+    score = scoring.priority(F.col("composite"), F.col("ratio"), F.col("validity"), F.col("unique_bytes"), level, F.size(categories), F.col("ambiguous"), F.col("corruption"))
+    rows = a.select(
+        "order_id", F.col("order_id").cast("string").alias("candidate_id"), F.col("kind").alias("file_type"), "recovery_status", scoring.recovered_ok(F.col("validity"), F.col("recovery_status")).alias("is_successfully_recovered"),
+        F.col("unique_bytes").alias("recovered_bytes"), F.col("gap_bytes").alias("missing_bytes"), F.col("ratio").alias("observed_recovery_ratio"), F.col("confidence").alias("reconstruction_confidence"), "completeness",
+        F.col("validity").alias("structural_validity"), F.col("corruption").alias("corruption_estimate"), F.col("composite").alias("composite_integrity_score"), level.alias("sensitivity_level"), categories.alias("categories"), score.alias("priority_score"), F.sha2(F.col("order_id").cast("string"), 256).alias("artifact_sha256"),
+    )
+    return intervals.global_rank(rows, [F.desc("priority_score"), F.desc("composite_integrity_score"), F.desc("observed_recovery_ratio"), F.desc("recovered_bytes"), F.asc("order_id")])
+
+
+_RANKED_SQL = f"""{_CANDIDATES_SQL}, scored AS (SELECT *, CAST(g AS VARCHAR) AS candidate_id, CASE WHEN g % 13 = 0 THEN 'RAW' ELSE 'PDF' END AS file_type, g % 19 = 0 AS high, recovery_status IN ('FULLY_RECONSTRUCTED', 'STRUCTURALLY_VALID_PARTIAL') AS good,
+  greatest(0.0::DOUBLE, least(1.0::DOUBLE, {_round_sql("0.25::DOUBLE * composite + 0.20::DOUBLE * ratio + 0.15::DOUBLE * validity + 0.30::DOUBLE * (CASE WHEN g % 19 = 0 THEN 0.9::DOUBLE ELSE 0::DOUBLE END) + 0.10::DOUBLE * least(1.0::DOUBLE, unique_bytes / 65536.0::DOUBLE) - (CASE WHEN status = 'ambiguous' THEN 0.15::DOUBLE ELSE 0::DOUBLE END) - 0.10::DOUBLE * corruption")})) AS priority FROM c),
+ranked AS (SELECT *, row_number() OVER (ORDER BY priority DESC, composite DESC, ratio DESC, unique_bytes DESC, g) AS rank FROM scored)"""
+
+
+def _places_sql(x: str, n: int) -> str:
+    return f"printf('%.{n}f', floor(({x})::DOUBLE * 1e{n} + 0.5 + 1e-7) / 1e{n})"
+
+
+@query(f"""WITH {_RANKED_SQL}, own AS (SELECT *, CASE WHEN good THEN 'Validated Recoveries' WHEN recovery_status = 'PARTIALLY_RECONSTRUCTED' THEN 'Partial Candidates' WHEN recovery_status = 'RAW_BINARY_RECOVERY' THEN 'Raw Binary Salvage' WHEN recovery_status IN ('STRUCTURALLY_INVALID', 'UNRECOVERABLE') THEN 'Invalid Reconstructions' END AS tab FROM ranked),
+t AS (SELECT * FROM own WHERE tab IS NOT NULL UNION ALL SELECT * REPLACE ('All Candidates' AS tab) FROM own)
+SELECT tab, candidate_id, file_type, recovery_status AS recovery_state, format('{{:,}} B', unique_bytes) AS recovered, format('{{:,}} B', gap_bytes) AS missing, {_places_sql("ratio * 100", 1)} || '%' AS ratio, CASE WHEN validity >= 1 THEN 'VALID' ELSE 'FAILED' END AS parser,
+{_places_sql("composite * 100", 1)} || '%' AS integrity, {_places_sql("priority", 4)} AS priority, substr(sha256(candidate_id), 1, 16) || '...' AS sha256 FROM t""")
+def recovered_file_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.file_tables(ranked_orders(spark, sf_dir))
+
+
+@query(f"""WITH {_RANKED_SQL}, named AS (SELECT *, candidate_id || ' (' || file_type || ')' AS name FROM ranked),
+t AS (SELECT count(*) AS n, count(*) FILTER (good) AS ok, count(*) FILTER (recovery_status = 'PARTIALLY_RECONSTRUCTED') AS part, count(*) FILTER (recovery_status IN ('STRUCTURALLY_INVALID', 'UNRECOVERABLE')) AS bad FROM ranked)
+SELECT 'summary' AS section, 1::BIGINT AS place, 'observed' AS basis, n || ' candidates: ' || ok || ' recovered, ' || part || ' in part, ' || bad || ' invalid.' AS line FROM t
+UNION ALL SELECT 'conclusion', 1, 'observed', ok || ' of ' || n || ' candidates passed their format''s check and can be examined.' FROM t
+UNION ALL SELECT 'findings', rank, 'inferred', name || ': ' || recovery_status || ', ' || format('{{:,}}', unique_bytes) || ' bytes found, ' || format('{{:,}}', gap_bytes) || ' missing.' FROM named
+UNION ALL SELECT 'integrity', rank, 'inferred', name || ': confidence ' || {_places_sql("confidence", 2)} || ', validity ' || {_places_sql("validity", 2)} || ', completeness ' || {_places_sql("completeness", 2)} || ', corruption ' || {_places_sql("corruption", 2)} || '.' FROM named
+UNION ALL SELECT 'attention', rank, 'observed', name || ': ' || CASE WHEN high THEN 'HIGH sensitivity [EMAIL]' ELSE 'NONE sensitivity []' END || ', priority ' || {_places_sql("priority", 4)} || '.' FROM named WHERE high OR priority > 0.5""")
+def run_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The account's sections that follow from the orders; what the caller tells of the evidence is left to the tests."""
+    told = reports.narrative_sections(ranked_orders(spark, sf_dir), {}, 0, 0, 0)
+    return told.where(~F.col("section").isin("evidence", "limits"))
+
+
+@query(f"""WITH {_vector_groups_sql(0.66, 4)}, {_RANKED_SQL}, shown AS (SELECT 'candidate' AS kind, rank AS o, candidate_id AS id, lower(file_type) AS file_type, unique_bytes AS bytes, recovery_status AS state, priority AS priority_score FROM ranked WHERE priority >= 0.4
+UNION ALL SELECT 'file', 0, candidate_id, lower(file_type), unique_bytes, recovery_status, NULL FROM ranked WHERE priority < 0.4
+UNION ALL SELECT 'orphan', id, CAST(id AS VARCHAR), 'vector', 4096, 'ORPHAN', NULL FROM v WHERE id NOT IN (SELECT id FROM labels))
+SELECT row_number() OVER (ORDER BY kind, o, id) AS place, kind, id, file_type, CAST(bytes AS BIGINT) AS bytes, state, priority_score FROM shown""")
+def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of priority 0.4 or more as ranked, all others as found, then the vectors that no cluster holds."""
+    ranked = ranked_orders(spark, sf_dir)
+    alone = vector_orphans(spark, sf_dir).select(F.col("id").alias("seq"), "id", F.lit("vector").alias("type_hint"), F.lit(4096).alias("length"))
+    return reports.ranked_or_found(ranked, alone, ranked.where("priority_score >= 0.4"))
+
+
+@query("""WITH h AS (SELECT page_id, hex(encode(html)) AS h, CAST(strlen(html) AS BIGINT) AS n FROM pages WHERE html <> ''), o AS (SELECT *, unnest(range(0, least(n, 512), 16)) AS o FROM h), p AS (SELECT *, substr(h, 2 * o + 1, 2 * least(16, 512 - o)) AS x FROM o)
+SELECT page_id, CAST(o // 16 + 1 AS BIGINT) AS line_no, printf('%08X  %-48s  |%s|', o, trim(regexp_replace(x, '(..)', '\\1 ', 'g')), list_aggregate(list_transform(regexp_extract_all(x, '..'), lambda c: CASE WHEN c BETWEEN '20' AND '7E' THEN chr(CAST('0x' || c AS INTEGER)) ELSE '.' END), 'string_agg', '')) AS line FROM p
+UNION ALL SELECT page_id, 33, '... [' || format('{:,}', n - 512) || ' additional bytes truncated for display]' FROM h WHERE n > 512
+UNION ALL SELECT page_id, 1, 'Empty data stream (0 bytes).' FROM pages WHERE coalesce(html, '') = ''""")
+def hex_dumps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.hex_dump(table(spark, sf_dir, "pages").select("page_id", F.encode("html", "UTF-8").alias("data")), "page_id")
+
+
 # Sensitivity
 
 

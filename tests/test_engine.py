@@ -57,6 +57,49 @@ def test_reports(engine):
     assert "Observed" in reports.narrative(ranked, model=lambda t: 1 / 0)
 
 
+def test_recovered_file_tables(engine):
+    rows = reports.file_tables(engine.tables["ranked"]).collect()
+    by = {t: [r for r in rows if r.tab == t] for t in {r.tab for r in rows}}
+    assert {t: len(r) for t, r in by.items()} == {"All Candidates": 10, "Validated Recoveries": 9, "Partial Candidates": 1}
+    assert all(r.parser == "VALID" and r.ratio.endswith("%") and len(r.sha256) == 19 for r in by["Validated Recoveries"])
+
+
+def test_account_in_sections(engine, spark):
+    ranked = engine.tables["ranked"]
+    told = reports.narrative_sections(ranked, {"source_path": "x", "size_bytes": 9862, "sha256": "ab"}, 12, 10, 0, attention=2.0).collect()
+    assert {r.section for r in told} == set(reports.SECTIONS)
+    by = {s: [r.line for r in sorted(told, key=lambda r: r.place) if r.section == s] for s in reports.SECTIONS}
+    assert by["summary"] == ["10 candidates: 9 recovered, 1 in part, 0 invalid."] and by["conclusion"][0].startswith("9 of 10 ")
+    assert by["evidence"][0] == "x, 9,862 bytes." and len(by["findings"]) == len(by["integrity"]) == 10
+    sensitive = ranked.where("sensitivity_level <> 'NONE'").count()
+    assert len(by["attention"]) == max(1, sensitive)
+    none = reports.narrative_sections(ranked.limit(0), {}, 0, 0, 0).collect()
+    assert {r.section for r in none} == set(reports.SECTIONS)
+    assert [r.line for r in none if r.section == "findings"] == ["No candidate was rebuilt."]
+
+
+def test_listing_without_a_ranking(engine):
+    assessed, orphans = engine.tables["assessed"], engine.tables["orphans"]
+    n, m = assessed.count(), orphans.count()
+    rows = sorted(reports.ranked_or_found(assessed, orphans).collect())
+    assert [r.kind for r in rows] == ["file"] * n + ["orphan"] * m and [r.place for r in rows] == list(range(1, n + m + 1))
+    assert all(r.priority_score is None for r in rows)
+    ranked = engine.tables["ranked"]
+    both = sorted(reports.ranked_or_found(assessed, orphans, ranked.where("rank <= 4")).collect())
+    assert [r.kind for r in both] == ["candidate"] * 4 + ["file"] * (n - 4) + ["orphan"] * m
+    assert [r.id for r in both[:4]] == [r.candidate_id for r in ranked.orderBy("rank").limit(4).collect()]
+
+
+def test_hex_dump(spark):
+    rows = spark.createDataFrame([(1, bytearray(b"Hello\x00world, again")), (2, bytearray()), (3, None), (4, bytearray(600))], "k int, data binary")
+    got = {}
+    for r in sorted(reports.hex_dump(rows, "k").collect()):
+        got.setdefault(r.k, []).append(r.line)
+    assert got[1] == ["00000000  48 65 6C 6C 6F 00 77 6F 72 6C 64 2C 20 61 67 61  |Hello.world, aga|", f"00000010  {'69 6E':<48}  |in|"]
+    assert got[2] == got[3] == ["Empty data stream (0 bytes)."]
+    assert len(got[4]) == 33 and got[4][-1] == "... [88 additional bytes truncated for display]"
+
+
 def test_empty_evidence(spark):
     e = Engine(spark, fx.image_frame(spark).where("source_path = 'no_header'"))
     assert e.run().count() == 0
