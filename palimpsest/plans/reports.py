@@ -89,7 +89,7 @@ def ranked_or_found(assessed: DataFrame, orphans: DataFrame, ranked: DataFrame |
     rows = files.unionByName(alone)
     if ranked is not None:
         rows = rows.unionByName(shape(ranked, "candidate", F.col("rank"), "candidate_id", "file_type", "recovered_bytes", F.col("recovery_status"), F.col("priority_score")))
-    return global_rank(rows, [F.asc("kind"), F.asc("_o"), F.asc("id")], "place").drop("_o")
+    return global_rank(rows, [F.asc("kind"), F.asc("_o"), F.asc("id")], "place").select("place", *[c for c in rows.columns if c != "_o"])
 
 
 #: Sections of the account, in their order.
