@@ -95,7 +95,7 @@ def test_hex_dump(spark):
     got = {}
     for r in sorted(reports.hex_dump(rows, "k").collect()):
         got.setdefault(r.k, []).append(r.line)
-    assert got[1] == ["00000000  48 65 6C 6C 6F 00 77 6F 72 6C 64 2C 20 61 67 61  |Hello.world, aga|", f"00000010  {'69 6E':<48}  |in|"]
+    assert got[1] == [f"00000000  {'48 65 6C 6C 6F 00 77 6F 72 6C 64 2C 20 61 67 61':<48}  |Hello.world, aga|", f"00000010  {'69 6E':<48}  |in|"]
     assert got[2] == got[3] == ["Empty data stream (0 bytes)."]
     assert len(got[4]) == 33 and got[4][-1] == "... [88 additional bytes truncated for display]"
 
