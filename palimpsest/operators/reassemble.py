@@ -91,8 +91,9 @@ def accepted_order(given: list[str] | None, members: list[str]) -> tuple[bool, s
 def archive_search(kind: str, parts: list[tuple[str, int, bytes]], width: int = WIDTH, depth: int = DEPTH) -> tuple[list[int], bool, str, str]:
     """Places in order, validity, message and state: fragments by offset first, else a bounded beam search.
 
-    The search starts at the first fragment with the format's header, and returns the
-    first prefix that is valid; states are kept by completeness, then offsets.
+    The search starts at the first fragment with the format's header.  It returns the first prefix
+    that is a complete archive, and only where there is none the first one that is valid in part;
+    states are kept by completeness, then offsets.
     """
     by_offset = sorted(range(len(parts)), key=lambda i: (parts[i][1], parts[i][0]))
     verify = ARCHIVES[kind]
@@ -100,18 +101,18 @@ def archive_search(kind: str, parts: list[tuple[str, int, bytes]], width: int =
     if told.valid and told.state == COMPLETE:
         return by_offset, True, told.message, told.state
     first = next((i for i in by_offset if STARTS[kind](parts[i][2], 0)), by_offset[0])
-    states = [[first]]
+    states, partial = [([first], verify(parts[first][2]))], None
     for _ in range(min(depth, len(parts))):
-        grown = []
-        for order in states:
-            verdict = verify(b"".join(parts[i][2] for i in order))
-            if verdict.valid:
-                return order, True, verdict.message, verdict.state
-            grown += [([*order, i], verify(b"".join(parts[j][2] for j in [*order, i])).completeness) for i in by_offset if i not in order]
-        grown.sort(key=lambda g: (-g[1], [parts[i][1] for i in g[0]]))
-        states = [g[0] for g in grown[:width]]
-        if not states:
-            break
+        valid = [s for s in states if s[1].valid]
+        found = next((s for s in valid if s[1].state == COMPLETE), None)
+        if found:
+            return found[0], True, found[1].message, found[1].state
+        partial = partial or next(iter(valid), None)
+        grown = [([*order, i], verify(b"".join(parts[j][2] for j in [*order, i]))) for order, _ in states for i in by_offset if i not in order]
+        grown.sort(key=lambda g: (-g[1].completeness, [parts[i][1] for i in g[0]]))
+        states = grown[:width]
+    if partial:
+        return partial[0], True, partial[1].message, partial[1].state
     return by_offset, told.valid, told.message, told.state
 
 

@@ -1,3 +1,4 @@
+import bz2
 import random
 
 import pytest
@@ -170,6 +171,17 @@ def test_archive_search_uses_all_pieces():
     assert (order, valid, state) == ([0, 1, 2], True, formats.COMPLETE)
 
 
+def test_archive_search_goes_on_beyond_a_partial_prefix():
+    whole = bz2.compress(random.Random(8).randbytes(250_000), 1)  # three blocks: the first third alone is a partial stream
+    k = len(whole) // 3
+    parts = [("c", 1000, whole[:k]), ("a", 2000, whole[k : 2 * k]), ("b", 0, whole[2 * k :])]
+    assert formats.bzip2(whole[:k]).state == formats.PARTIAL
+    order, valid, _, state = reassemble.archive_search("bz2", parts)
+    assert (order, valid, state) == ([0, 1, 2], True, formats.COMPLETE)
+    order, valid, _, state = reassemble.archive_search("bz2", [parts[0], parts[2]])  # the middle is lost
+    assert (order, valid, state) == ([0], True, formats.PARTIAL)
+
+
 def test_text_order():
     order, score, ties = reassemble.text_order(["a", "b"], [0, 100], ["First sentence.", "Second one."])
     assert (order, score, ties) == ([0, 1], 3.0, 1)
