@@ -144,6 +144,13 @@ def test_carving_is_the_same_in_small_chunks(spark):
     assert cut(97) == cut(1 << 20)
 
 
+def test_images_of_texts_hold_no_chance_signature(spark):
+    texts = ["text 6446603", "text 17650020", "plain"]  # the letters' checksums hold BZh and the start of a JPEG
+    rows = spark.createDataFrame([(3 * i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = carve.carve(ev.chunked(fx.text_images(rows))).select("source", "type_hint").collect()
+    assert sorted((r.source[-1], r.type_hint) for r in found) == [(k, t) for k in "036" for t in ("jpeg", "zip")]
+
+
 BAD = {"jpeg_cut", "png_crc", "bmp_cut", "pdf_empty", "zip_no_end", "docx_bare", "tar_sum", "sqlite_cut", "text_bad"}
 
 
@@ -164,6 +171,13 @@ def test_archive_states():
     assert formats.check("odd", b"x").message == "No validator for type 'odd'"
 
 
+def test_two_bytes_make_no_nested_stream(spark):
+    inside = fx.noise(512) + b"\x1f\x8b" + fx.noise(700)  # as compressed bytes hold by chance
+    real = fx.noise(512) + fx.gzipped() + fx.noise(700)
+    rows = spark.createDataFrame([("chance", bytearray(inside)), ("stream", bytearray(real))], "candidate_id string, content binary")
+    assert [(r.parent_id, r.offset, r.format) for r in formats.nested(rows).collect()] == [("stream", 512, "gz")]
+
+
 def test_archive_search_uses_all_pieces():
     whole = fx.bzipped(fx.noise(900, 8))
     k = len(whole) // 3
@@ -172,7 +186,7 @@ def test_archive_search_uses_all_pieces():
 
 
 def test_archive_search_goes_on_beyond_a_partial_prefix():
-    whole = bz2.compress(random.Random(8).randbytes(250_000), 1)  # three blocks: the first third alone is a partial stream
+    whole = bz2.compress(random.Random(8).randbytes(600_000), 1)  # seven blocks: the first third alone is a partial stream
     k = len(whole) // 3
     parts = [("c", 1000, whole[:k]), ("a", 2000, whole[k : 2 * k]), ("b", 0, whole[2 * k :])]
     assert formats.bzip2(whole[:k]).state == formats.PARTIAL
