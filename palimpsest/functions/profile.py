@@ -61,6 +61,8 @@ def window_entropies(data: bytes, window: int, step: int) -> tuple[np.ndarray, n
         return np.zeros(0, np.int64), np.zeros(0)
     count = 1 + -(-max(0, n - window) // step)
     x = np.frombuffer(data, np.uint8)
+    seen = np.bincount(x, minlength=256) > 0
+    x, wide = (np.cumsum(seen) - 1)[x], int(seen.sum())  # only bytes that occur are counted
     k = window // step
     table = np.arange(window + 1) * np.log2(np.maximum(np.arange(window + 1), 1))
     start = np.arange(count) * step
@@ -69,8 +71,8 @@ def window_entropies(data: bytes, window: int, step: int) -> tuple[np.ndarray, n
     for lo in range(0, count, BLOCK):
         m = min(BLOCK, count - lo)
         part = x[lo * step : (lo + m - 1 + k) * step]
-        cells = np.bincount(np.arange(len(part)) // step * 256 + part, minlength=(m + k) * 256).reshape(-1, 256).astype(np.int32)
-        total = np.cumsum(np.concatenate([np.zeros((1, 256), np.int32), cells]), axis=0, dtype=np.int32)
+        cells = np.bincount(np.arange(len(part)) // step * wide + part, minlength=(m + k) * wide).reshape(-1, wide).astype(np.int32)
+        total = np.cumsum(np.concatenate([np.zeros((1, wide), np.int32), cells]), axis=0, dtype=np.int32)
         own[lo : lo + m] = table[total[k : k + m] - total[:m]].sum(axis=1)
     return start, four(np.maximum(0.0, np.log2(size) - own / size))
 

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from itertools import permutations
+from itertools import groupby, permutations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +22,8 @@ EXTENSIONS = {
     "rar": ".rar", "wim": ".wim", "gz": ".gz", "gzip": ".gz", "bz2": ".bz2", "bzip2": ".bz2", "sqlite": ".sqlite", "db": ".sqlite", "wav": ".wav", "text": ".txt", "txt": ".txt", "raw": ".bin", "bin": ".bin",
 }
 WIDTH, DEPTH, SMALL = 8, 12, 6
+#: Candidates that leave a task together, at most.
+OUT_ROWS, OUT_BYTES = 1024, 8 << 20
 
 
 def magic(data: bytes) -> str:
@@ -120,22 +122,22 @@ CANDIDATE = "cluster_id string, file_type string, fragment_ids array<string>, co
 
 
 def reassemble(members: DataFrame, propose: Callable[[list[str], list[str]], list[str] | None] | None = None) -> DataFrame:
-    """A candidate for each cluster: ``members`` has cluster_id, inferred_type, id, offset, type_hint, data.
+    """A candidate for each cluster: ``members`` has cluster_id, inferred_type, id, offset, type_hint, data, and may have
+    parts, the number of the cluster's members: one alone stays in the task that has read it.
 
     More than six texts go by offset, or by the order of ids that ``propose`` (ids, texts) gives if it names
     each fragment once; else the message says why it was not taken.
 
     One cluster's members are read together (they become one file); clusters are bounded
-    by the density rule's reach, and the content by 2 GB, Spark's limit of a cell.
+    by the density rule's reach, and the content by 2 GB, Spark's limit of a cell.  A task gets
+    many clusters, sorted, in one stream: a group each would cost more than the work in it.
     """
 
-    def one(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["offset", "id"])
-        cluster = df["cluster_id"].iat[0]
-        parts = [(i, int(o), bytes(d) if d is not None else b"") for i, o, d in zip(df["id"], df["offset"], df["data"], strict=True)]
-        kind = infer_type(df["inferred_type"].iat[0], list(df["type_hint"]), parts[0][2])
+    def one(cluster: str, rows: list[tuple]) -> tuple:
+        parts = [(i, int(o), d or b"") for _, _, i, o, _, d in rows]
+        kind = infer_type(rows[0][1], [r[4] for r in rows], parts[0][2])
         if not any(p[2] for p in parts):
-            return pd.DataFrame([(cluster, kind, [p[0] for p in parts], b"", "cluster_only", 0.0, "No bytes to reassemble", False, "UNRECOVERABLE", True)], columns=names)
+            return cluster, kind, [p[0] for p in parts], b"", "cluster_only", 0.0, "No bytes to reassemble", False, "UNRECOVERABLE", True
         order, ambiguous, state, told = list(range(len(parts))), False, "", ""
         if kind in ARCHIVES:
             order, valid, message, state = archive_search(archive_kind(parts[0][2]) or kind, parts)
@@ -156,7 +158,28 @@ def reassemble(members: DataFrame, propose: Callable[[list[str], list[str]], lis
             if ambiguous:
                 message = f"Ambiguous candidate: {ties} orders tie at continuity {score:.2f}; {message}"
         status = "ambiguous" if ambiguous else "reconstructed" if valid else "validation_failed"
-        return pd.DataFrame([(cluster, kind, [parts[i][0] for i in order], b"".join(parts[i][2] for i in order), status, validity, message, ambiguous, state, len(order) == len(parts))], columns=names)
+        return cluster, kind, [parts[i][0] for i in order], b"".join(parts[i][2] for i in order), status, validity, message, ambiguous, state, len(order) == len(parts)
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    def run(batches):
+        out, size = [], 0
+        each = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
+        for cluster, rows in groupby(each, lambda r: r[0]):
+            out.append(one(cluster, list(rows)))
+            size += len(out[-1][3])
+            if len(out) >= OUT_ROWS or size >= OUT_BYTES:
+                yield batch(out)
+                out, size = [], 0
+        if out:
+            yield batch(out)
 
     names = [x.strip().split(" ")[0] for x in CANDIDATE.split(",")]
-    return members.groupBy("cluster_id").applyInPandas(one, CANDIDATE)
+    kinds = [pa.string(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.string(), pa.float64(), pa.string(), pa.bool_(), pa.string(), pa.bool_()]
+    columns = ["cluster_id", "inferred_type", "id", "offset", "type_hint", "data"]
+    counted = "parts" in members.columns
+    dealt = (members.where("parts > 1") if counted else members).select(*columns).repartition("cluster_id").sortWithinPartitions("cluster_id", "offset", "id")
+    if counted:
+        dealt = dealt.unionByName(members.where("parts = 1").select(*columns))
+    return dealt.mapInArrow(run, CANDIDATE)
