@@ -17,21 +17,35 @@ STRETCH = 1 << 24
 
 
 def _merge(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Islands of (begin, stop) by keys; intervals that overlap or touch are one."""
-    by = W.partitionBy(*keys).orderBy("begin", "stop")
-    before = F.max("stop").over(by.rowsBetween(W.unboundedPreceding, -1))
-    df = df.withColumn("fresh", F.when(before.isNull() | (F.col("begin") > before), 1).otherwise(0))
-    df = df.withColumn("island", F.sum("fresh").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    return df.groupBy(*keys, "island").agg(F.min("begin").alias("begin"), F.max("stop").alias("stop"), F.min("first").alias("first"), F.max("last").alias("last")).drop("island")
+    """Islands of (begin, stop) by keys; intervals that overlap or touch are one.
 
-
-def islands(df: DataFrame, group: str = "group", begin: str = "begin", length: str = "length", id_: str = "id") -> DataFrame:
-    """group, begin, stop, first_id (of the earliest interval), last_id (of the one that ends last).  Empty intervals are dropped."""
+    Sorted rows are read in order and only those that open or close an island go on, so
+    nothing is held for each island.  first_id and last_id are kept where ``df`` has them.
+    """
+    ids = [c for c in ("first_id", "last_id") if c in df.columns]
+    by = W.partitionBy(*keys).orderBy("begin", *ids[:1], "stop")
+    to_here, before = by.rowsBetween(W.unboundedPreceding, 0), by.rowsBetween(W.unboundedPreceding, -1)
+    df = df.select(*keys, "begin", *ids, "stop", F.max("stop").over(before).alias("before"), F.max(F.struct("stop", *ids[1:])).over(to_here).alias("upto"), F.lead("begin").over(by).alias("next"))
+    opens = F.col("before").isNull() | F.coalesce(F.col("begin") > F.col("before"), F.lit(False))
+    closes = F.col("next").isNull() | F.coalesce(F.col("next") > F.col("upto.stop"), F.lit(True))
+    some = df.select("*", opens.alias("opens"), closes.alias("closes")).where("opens or closes")
+    end = F.when(F.col("closes"), F.col("upto")).otherwise(F.lead("upto").over(by))
+    found = some.withColumn("end", end).where("opens")
+    return found.select(*keys, "begin", F.col("end.stop").alias("stop"), *ids[:1], *[F.col(f"end.{c}").alias(c) for c in ids[1:]])
+
+
+def islands(df: DataFrame, group: str = "group", begin: str = "begin", length: str = "length", id_: str | None = "id", buckets: int | None = None) -> DataFrame:
+    """group, begin, stop, first_id (of the earliest interval), last_id (of the one that ends last).  Empty intervals are dropped.
+
+    Without ``id_`` there are no ids.  ``buckets``: how many pieces each exchange takes, if more than the session's setting.
+    """
     at, n = F.col(begin).cast("bigint"), F.col(length).cast("bigint")
-    rows = df.where(n > 0).select(F.col(group).alias("group"), at.alias("begin"), (at + n).alias("stop"), F.col(id_).alias("id"))
-    rows = rows.select("group", "begin", "stop", F.struct("begin", "id").alias("first"), F.struct("stop", "id").alias("last"), F.floor(F.col("begin") / STRETCH).alias("stretch"))
-    some = _merge(rows, ["group", "stretch"]).drop("stretch")
-    return _merge(some, ["group"]).select("group", "begin", "stop", F.col("first.id").alias("first_id"), F.col("last.id").alias("last_id"))
+    ids = [F.col(id_).alias("first_id"), F.col(id_).alias("last_id")] if id_ else []
+    rows = df.where(n > 0).select(F.col(group).alias("group"), at.alias("begin"), (at + n).alias("stop"), *ids)
+    rows = rows.withColumn("stretch", F.floor(F.col("begin") / STRETCH))
+    dealt = lambda x, *by: x.repartition(buckets, *by) if buckets and buckets > int(x.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) else x
+    some = _merge(dealt(rows, "group", "stretch"), ["group", "stretch"]).drop("stretch")
+    return _merge(dealt(some, "group"), ["group"])
 
 
 def gaps(found: DataFrame) -> DataFrame:
@@ -41,10 +55,10 @@ def gaps(found: DataFrame) -> DataFrame:
     return nxt.select("group", F.col("stop").alias("gap_start"), F.col("next_begin").alias("gap_end"), (F.col("next_begin") - F.col("stop")).alias("gap_length"), F.col("last_id").alias("prev_id"), "next_id")
 
 
-def coverage(df: DataFrame, group: str = "group", begin: str = "begin", length: str = "length", id_: str = "id") -> DataFrame:
-    """group, fragments, raw_bytes, unique_bytes, overlap_bytes, gap_count, gap_bytes, span_bytes, ranges."""
+def coverage(df: DataFrame, group: str = "group", begin: str = "begin", length: str = "length", buckets: int | None = None) -> DataFrame:
+    """group, fragments, raw_bytes, unique_bytes, overlap_bytes, gap_count, gap_bytes, span_bytes, ranges; ``buckets`` as for ``islands``."""
     raw = df.groupBy(F.col(group).alias("group")).agg(F.count("*").alias("fragments"), F.sum(F.greatest(F.col(length).cast("bigint"), F.lit(0))).alias("raw_bytes"))
-    one = islands(df, group, begin, length, id_).groupBy("group").agg(
+    one = islands(df, group, begin, length, None, buckets).groupBy("group").agg(
         F.sum(F.col("stop") - F.col("begin")).alias("unique_bytes"),
         (F.count("*") - 1).alias("gap_count"),
         (F.max("stop") - F.min("begin")).alias("span"),

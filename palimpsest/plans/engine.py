@@ -139,7 +139,7 @@ class Engine:
         t = self.tables
         frags = t["members"].join(t["nodes"], "seq").join(t["clusters"].select("label", "cluster_id"), "label")
         flags = frags.groupBy("cluster_id").agg(F.count("*").alias("fragment_count"), F.sum("length").alias("raw_length"), F.max("header_flag").alias("header"), F.max("footer_flag").alias("footer"))
-        cover = intervals.coverage(frags, "cluster_id", "offset", "length", "id").withColumnRenamed("group", "cluster_id")
+        cover = intervals.coverage(frags, "cluster_id", "offset", "length").withColumnRenamed("group", "cluster_id")
         c = t["candidates"].drop("content").join(flags, "cluster_id").join(cover.drop("fragments"), "cluster_id").join(t["clusters"].select("cluster_id", F.col("confidence").alias("cluster_confidence")), "cluster_id")
         ok = (F.col("status") == "reconstructed") | (F.col("structural_validity") >= 1.0)
         c = c.withColumn("stage5_structural_validity", F.col("structural_validity")).withColumn("success", ok)

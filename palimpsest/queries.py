@@ -20,7 +20,7 @@ from .plans.engine import Engine
 from .settings import Settings
 from .sources import evidence as ev
 from .sources import fixtures
-from .storage import stored
+from .storage import bucket_count, stored
 from .streaming import sessions, watch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -319,12 +319,21 @@ def similar_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Intervals, recoverability, integrity
 
 
+#: File bytes of an exchange's piece of lines: some tens of times that when sorted, next to another task's.
+LINE_BYTES = 4 << 20
+
+
 def line_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of an order as byte ranges of a candidate: start at the part's key, as long as the quantity."""
     l_ = table(spark, sf_dir, "lineitem")
     return l_.select(F.col("l_orderkey").alias("group"), F.col("l_partkey").alias("begin"), F.col("l_quantity").cast("bigint").alias("length"), F.col("l_linenumber").cast("bigint").alias("id"))
 
 
+def line_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_intervals(spark, sf_dir)
+    return intervals.coverage(lines, buckets=bucket_count(lines, LINE_BYTES)).drop("ranges")
+
+
 _ISLANDS_SQL = """iv AS (SELECT l_orderkey AS g, l_partkey AS b, l_partkey + CAST(l_quantity AS BIGINT) AS e, CAST(l_linenumber AS BIGINT) AS id FROM lineitem WHERE CAST(l_quantity AS BIGINT) > 0),
 f AS (SELECT *, CASE WHEN b <= max(e) OVER (PARTITION BY g ORDER BY b, e, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM iv),
 n AS (SELECT *, sum(fresh) OVER (PARTITION BY g ORDER BY b, e, id) AS island FROM f),
@@ -335,12 +344,13 @@ cover AS (SELECT raw.g, fragments, raw_bytes, CAST(sum(e - b) AS BIGINT) AS uniq
 
 @query(f"WITH {_COVER_SQL} SELECT g AS \"group\", fragments, raw_bytes, unique_bytes, raw_bytes - unique_bytes AS overlap_bytes, gap_count, span_bytes - unique_bytes AS gap_bytes, span_bytes FROM cover")
 def interval_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.coverage(line_intervals(spark, sf_dir)).drop("ranges")
+    return line_coverage(spark, sf_dir)
 
 
 @query(f"WITH {_ISLANDS_SQL} SELECT g AS \"group\", e AS gap_start, nb AS gap_end, nb - e AS gap_length, last_id AS prev_id, nf AS next_id FROM (SELECT *, lead(b) OVER w AS nb, lead(first_id) OVER w AS nf FROM islands WINDOW w AS (PARTITION BY g ORDER BY b)) WHERE nb IS NOT NULL")
 def interval_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.gaps(intervals.islands(line_intervals(spark, sf_dir)))
+    lines = line_intervals(spark, sf_dir)
+    return intervals.gaps(intervals.islands(lines, buckets=bucket_count(lines, LINE_BYTES)))
 
 
 @query("SELECT doc_id, source, CAST(coalesce(sum(strlen(coalesce(text, ''))) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS \"offset\", CAST(strlen(coalesce(text, '')) AS BIGINT) AS length FROM documents")
@@ -351,7 +361,7 @@ def image_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as candidates, with status, message and flags derived from their keys; some count as empty, with gaps known or not."""
-    c = intervals.coverage(line_intervals(spark, sf_dir)).drop("ranges").withColumnRenamed("group", "order_id")
+    c = line_coverage(spark, sf_dir).withColumnRenamed("group", "order_id")
     k = lambda n: F.pmod("order_id", F.lit(n))
     status = F.when(k(11) == 0, "cluster_only").when(k(7) == 0, "ambiguous").when(k(5) == 0, "validation_failed").otherwise("reconstructed")
     c = c.withColumn("status", status).withColumn("parser_message", F.when(k(10) == 0, "Member CRC check failed").otherwise("ok")).withColumn("ambiguous", F.col("status") == "ambiguous")
@@ -427,9 +437,11 @@ def ranked_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = a.select(
         "order_id", F.col("order_id").cast("string").alias("candidate_id"), F.col("kind").alias("file_type"), "recovery_status", scoring.recovered_ok(F.col("validity"), F.col("recovery_status")).alias("is_successfully_recovered"),
         F.col("unique_bytes").alias("recovered_bytes"), F.col("gap_bytes").alias("missing_bytes"), F.col("ratio").alias("observed_recovery_ratio"), F.col("confidence").alias("reconstruction_confidence"), "completeness",
-        F.col("validity").alias("structural_validity"), F.col("corruption").alias("corruption_estimate"), F.col("composite").alias("composite_integrity_score"), level.alias("sensitivity_level"), categories.alias("categories"), score.alias("priority_score"), F.sha2(F.col("order_id").cast("string"), 256).alias("artifact_sha256"),
+        F.col("validity").alias("structural_validity"), F.col("corruption").alias("corruption_estimate"), F.col("composite").alias("composite_integrity_score"), score.alias("priority_score"),
     )
-    return intervals.global_rank(rows, [F.desc("priority_score"), F.desc("composite_integrity_score"), F.desc("observed_recovery_ratio"), F.desc("recovered_bytes"), F.asc("order_id")])
+    ranked = intervals.global_rank(rows, [F.desc("priority_score"), F.desc("composite_integrity_score"), F.desc("observed_recovery_ratio"), F.desc("recovered_bytes"), F.asc("order_id")])
+    # what follows from the key alone is not sorted with the rows
+    return ranked.select("*", level.alias("sensitivity_level"), categories.alias("categories"), F.sha2(F.col("order_id").cast("string"), 256).alias("artifact_sha256"))
 
 
 _RANKED_SQL = f"""{_CANDIDATES_SQL}, scored AS (SELECT *, CAST(g AS VARCHAR) AS candidate_id, CASE WHEN g % 13 = 0 THEN 'RAW' ELSE 'PDF' END AS file_type, g % 19 = 0 AS high, recovery_status IN ('FULLY_RECONSTRUCTED', 'STRUCTURALLY_VALID_PARTIAL') AS good,
@@ -468,8 +480,9 @@ UNION ALL SELECT 'orphan', id, CAST(id AS VARCHAR), 'vector', 4096, 'ORPHAN', NU
 SELECT row_number() OVER (ORDER BY kind, o, id) AS place, kind, id, file_type, CAST(bytes AS BIGINT) AS bytes, state, priority_score FROM shown""")
 def run_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of priority 0.4 or more as ranked, all others as found, then the vectors that no cluster holds."""
-    ranked = ranked_orders(spark, sf_dir)
+    # first what needs Python workers: executors' heaps grow with the orders, and hardly shrink
     alone = vector_orphans(spark, sf_dir).select(F.col("id").alias("seq"), "id", F.lit("vector").alias("type_hint"), F.lit(4096).alias("length"))
+    ranked = ranked_orders(spark, sf_dir)
     return reports.ranked_or_found(ranked, alone, ranked.where("priority_score >= 0.4"))
 
 
